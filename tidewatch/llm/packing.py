@@ -25,7 +25,7 @@ GRID = 64
 #: Tokens gathered before the dynamic program runs; its last sequence is carried over.
 STREAM = 1 << 19
 #: Words whose ids a worker keeps, twice: beyond that a new generation starts and the one before last goes.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 600_000
 
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
