@@ -24,7 +24,7 @@ def frames(spark, sf):
 
 def gaf(f: str) -> str:
     p = "over (partition by entity, w, ch)"
-    return CELLS + f""", th as (select entity, w, ch, i, acos(least(1.0, greatest(-1.0, case when max(v) {p} - min(v) {p} > 1e-8 * greatest(1.0, abs(max(v) {p})) then 2 * (v - min(v) {p}) / (max(v) {p} - min(v) {p}) - 1 else 0 end))) as th from cells),
+    return CELLS + f""", th as materialized (select entity, w, ch, i, acos(least(1.0, greatest(-1.0, case when max(v) {p} - min(v) {p} > 1e-8 * greatest(1.0, abs(max(v) {p})) then 2 * (v - min(v) {p}) / (max(v) {p} - min(v) {p}) - 1 else 0 end))) as th from cells),
 m as (select a.entity, a.w, a.i, b.i as j, avg({f}) as v from th a join th b using (entity, w, ch) group by a.entity, a.w, a.i, b.i)
 select entity, w, i, j, round(case when max(v) over (partition by entity, w) - min(v) over (partition by entity, w) > 1e-12 then (v - min(v) over (partition by entity, w)) / (max(v) over (partition by entity, w) - min(v) over (partition by entity, w)) else 0.5 end, 6) + 0 as v from m"""
 
