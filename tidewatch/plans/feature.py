@@ -10,8 +10,8 @@ E = ["entity"]
 EW = ["entity", "w"]
 
 #: Windows of 8 steps every 24, for the pairwise queries.
-CELLS = ", cells as materialized (select entity, t // 24 as w, cast(t % 24 as bigint) as i, ch, v from fx_long where t % 24 < 8 and t < 480)"
-FRAMES = ", fr as materialized (select entity, t // 24 as w, cast(t % 24 as bigint) as i, [x0 / 1000, x3] as x from fx_daily where t % 24 < 8 and t < 480)"
+CELLS = ", cells as materialized (select entity, t // 24 as w, cast(t % 24 as bigint) as i, ch, v from fx_long where t % 24 < 8 and t // 24 < 20)"
+FRAMES = ", fr as materialized (select entity, t // 24 as w, cast(t % 24 as bigint) as i, [x0 / 1000, x3] as x from fx_daily where t % 24 < 8 and t // 24 < 20)"
 
 
 def cells(spark, sf):
