@@ -25,7 +25,7 @@ GRID = 64
 #: Tokens gathered before the dynamic program runs; its last sequence is carried over.
 STREAM = 1 << 19
 #: Words whose ids a worker keeps, twice: beyond that a new generation starts and the one before last goes.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -239,7 +239,6 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str =
     names = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # nothing here makes cycles, and the collector would walk the known words again and again
         tool, end = tokens_of(path), np.array([end_id], "<u4").tobytes()
         upper = TaskContext.get().partitionId() << 33
 
@@ -255,11 +254,15 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str =
 
         rows: list[tuple] = []
         key_type = KEY_TYPES.get(kind, pa.int64())
-        for k, s, n, crc, total, seq, off in pieces(stream(), tool.sentence_end, size):
-            rows.append((k, s, n, crc, total, upper + seq, off))
-            if len(rows) == 10_000:
-                yield flush(rows, key_type)
-                rows = []
+        gc.disable()  # nothing here makes cycles, and the collector would walk the known words again and again
+        try:
+            for k, s, n, crc, total, seq, off in pieces(stream(), tool.sentence_end, size):
+                rows.append((k, s, n, crc, total, upper + seq, off))
+                if len(rows) == 10_000:
+                    yield flush(rows, key_type)
+                    rows = []
+        finally:
+            gc.enable()
         if rows:
             yield flush(rows, key_type)
 

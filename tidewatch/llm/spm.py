@@ -262,9 +262,12 @@ def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = coder(path)
         gc.disable()  # nothing here makes cycles, and the collector would walk the known words again and again
-        for b in batches:
-            got = [tool.digest(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.string()), pa.array([x[2] for x in got], pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for b in batches:
+                got = [tool.digest(t or "") for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.string()), pa.array([x[2] for x in got], pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            gc.enable()
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
