@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.llm.scratch import cut
+
 #: Notices to look for.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -66,7 +68,8 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     not below its number of shingles; windows are two steps long, so one holds each occurrence whole.
     """
     rows = F.array(*[F.struct(F.lit(k).alias("template"), F.lit(v).alias("text")) for k, v in templates.items()])
-    one = spark.range(1).select(F.explode(rows).alias("t")).select("t.template", F.array_distinct(shingles(words(F.col("t.text")))).alias("all"))
+    apart = spark.range(1).select(F.explode(rows).alias("t")).select("t.template", F.explode(F.array(words(F.col("t.text")))).alias("ws"))
+    one = apart.select("template", F.array_distinct(shingles(F.col("ws"))).alias("all"))
     step = F.pow(2.0, F.ceil(F.log2(F.size("all").cast("double")))).cast("int")
     return one.select("template", F.explode("all").alias("shingle"), F.size("all").alias("total"), step.alias("step"))
 
@@ -87,9 +90,12 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, key: str = "doc_id", tex
     steps = [1 << b for b in range(longest.bit_length() + 1)]
     gate = r"(?<![\p{L}\p{N}])(?:" + "|".join(anchors(templates)) + r")(?![\p{L}\p{N}])"
     some = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.lower("text").rlike(gate))
-    found = some.select("key", F.posexplode(shingles(words(F.col("text")))).alias("at", "shingle"))
+    # the words stand in a row of their own, so that a shingle reads them instead of splitting the text anew
+    apart = some.select("key", F.explode(F.array(words(F.col("text")))).alias("ws"))
+    found = apart.select("key", F.posexplode(shingles(F.col("ws"))).alias("at", "shingle"))
     # a shingle that no template has cannot add to a containment: only those of templates go on
     found = found.join(F.broadcast(known.select("shingle").distinct()), "shingle", "left_semi")
+    found, _ = cut(spark, found)  # the texts are read once
     sizes = F.array(*[F.lit(s) for s in steps])
     placed = found.select("key", "shingle", "at", F.explode(sizes).alias("step")).join(F.broadcast(known.select("step").distinct()), "step", "left_semi")
     placed = placed.select("key", "step", "shingle", "at", F.explode(F.array(F.floor(F.col("at") / F.col("step")), F.floor(F.col("at") / F.col("step")) - 1)).alias("window"))
