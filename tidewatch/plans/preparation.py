@@ -1,11 +1,13 @@
 """Queries of sources, cleaning, windows, smoothing, normalising and fusion."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import fusion, post, prep, windows
 from tidewatch.plans import fixtures as fx
 from tidewatch.plans.registry import query
 from tidewatch.sources import series_io
+from tidewatch.sources.shared import new_folder
 
 E = ["entity"]
 EV = ["entity", "view"]
@@ -48,9 +50,51 @@ def _(spark, sf):
     return series_io.concat_entities(fx.daily(spark, sf)).select("entity", "t", "label")
 
 
-@query("read_scores", "select entity, view, t, round(s, 6) + 0 as s from fx_scores where view in ('level', 'dev')")
+def halves(spark, sf):
+    """Days as vectors, each half's steps counted from 0; train labels are not told."""
+    d = fx.daily(spark, sf)
+    half = F.floor(F.count("*").over(Window.partitionBy("entity")) / 2)
+    train = F.col("t") < half
+    return d.select("entity", F.when(train, "train").otherwise("test").alias("split"), F.when(train, F.col("t")).otherwise(F.col("t") - half).alias("t"), F.array("x0", "x1", "x2", "x3").alias("x"), F.when(train, 0).otherwise(F.col("label")).alias("label"))
+
+
+HALVES = ", hv as (select *, cast(floor(count(*) over (partition by entity) / 2.0) as bigint) as half from fx_split) select entity, split, case when split = 'train' then t else t - half end as t, round(x0, 6) + 0 as x0, round(x1, 6) + 0 as x1, round(x2, 6) + 0 as x2, round(x3, 6) + 0 as x3, case when split = 'train' then 0 else label end as label from hv"
+
+
+@query("read_entity_csv", HALVES)
+def _(spark, sf):
+    """Written as a tree of headerless files and read back."""
+    root = new_folder(spark)
+    series_io.write_entity_csv(halves(spark, sf), root)
+    return series_io.read_entity_csv(spark, root).select("entity", "split", "t", *[F.col("x")[i].alias(f"x{i}") for i in range(4)], "label")
+
+
+@query("read_feature_csv", " select entity, t, round(x0, 6) + 0 as x0, round(x3, 6) + 0 as x1, label from fx_daily")
+def _(spark, sf):
+    """Written as headed files with a time column, labels apart, and read back."""
+    root, d = new_folder(spark), fx.daily(spark, sf)
+    heads = d.select("entity").distinct()
+    cell = lambda *c: F.concat_ws(",", *[F.col(x).cast("string") for x in c]).alias("line")
+    head = lambda names: heads.select("entity", F.lit(-1).cast("long").alias("t"), F.lit(names).alias("line"))
+    series_io.write_lines(head("timestamp_(min),a,b").unionByName(d.select("entity", "t", cell("t", "x0", "x3"))), f"{root}/data")
+    series_io.write_lines(head("timestamp,label").unionByName(d.select("entity", "t", cell("t", "label"))), f"{root}/labels")
+    return series_io.read_feature_csv(spark, f"{root}/data", f"{root}/labels").select("entity", "t", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"), "label")
+
+
+@query("read_metrics", ", m as (select entity, view, count(*) as n, sum(label) as positives, avg(s) as mean from fx_scores group by entity, view) select entity, view, n, cast(positives as bigint) as positives, round(mean, 6) + 0 as mean from m")
+def _(spark, sf):
+    """A metrics ledger written as JSON files and collected again."""
+    path = new_folder(spark)
+    series_io.write_metrics(fx.scores(spark, sf).groupBy("entity", "view").agg(F.count("*").alias("n"), F.sum("label").alias("positives"), F.avg("s").alias("mean")), path)
+    return series_io.read_metrics(spark, path, "entity long, view string, n long, positives long, mean double").drop("path")
+
+
+@query("read_scores", "select entity, view, t, round(s, 6) + 0 as s from fx_scores where view in ('level', 'jump')")
 def _(spark, sf):
-    return fx.scores(spark, sf).where(F.col("view").isin("level", "dev")).select("entity", "view", "t", "s")
+    """A ledger written by view, of which two views are read."""
+    path = new_folder(spark)
+    series_io.write_scores(fx.scores(spark, sf), path)
+    return series_io.read_scores(spark, path, ["level", "jump", "absent"]).select("entity", "view", "t", "s")
 
 
 @query("validate_series", """, x as (select *, case when entity % 5 = 1 and t = 3 then cast('nan' as double) else v end as w from fx_series where not (entity % 5 = 2 and t = 0))

@@ -14,24 +14,51 @@ def stem(path: str = "path"):
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
+def series_name(path: str = "path"):
+    """The entity of a file: the folder ``entity=NAME`` that it lies in, or else its own stem."""
+    return F.coalesce(F.nullif(F.regexp_extract(path, "/entity=([^/]+)/", 1), F.lit("")), stem(path))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """``entity, t, line`` as one text file an entity, its lines in order of t."""
+    lines.repartition("entity").sortWithinPartitions("entity", "t").select("entity", "line").write.partitionBy("entity").text(path)
+
+
+def write_entity_csv(series: DataFrame, root: str) -> None:
+    """``entity, split, t, x, label`` as the tree that :func:`read_entity_csv` reads."""
+    line = F.array_join(F.transform("x", lambda v: v.cast("string")), ",", "")
+    for split in ("train", "test"):
+        write_lines(series.where(F.col("split") == split).select("entity", "t", line.alias("line")), f"{root}/{split}")
+    write_lines(series.where("split = 'test'").select("entity", "t", F.col("label").cast("string").alias("line")), f"{root}/test_label")
+
+
 def read_entity_csv(spark: SparkSession, root: str) -> DataFrame:
-    """``entity, split, t, x, label`` of a tree of headerless files under train, test and test_label."""
+    """``entity, split, t, x, label`` of a tree of headerless files under train, test and test_label.
+
+    Cells that are no numbers are null; train rows and test rows without a label line have label 0.
+    """
     vec = F.transform(F.split("line", ","), lambda c: F.trim(c).try_cast("double"))
-    part = lambda name: file_lines(spark, f"{root}/{name}").select(stem().alias("entity"), "t", vec.alias("x"))
+    part = lambda name: file_lines(spark, f"{root}/{name}").select(series_name().alias("entity"), "t", vec.alias("x"))
     labels = part("test_label").select("entity", "t", F.get("x", F.lit(0)).cast("int").alias("label"))
     train = part("train").select("entity", F.lit("train").alias("split"), "t", "x", F.lit(0).alias("label"))
     test = part("test").join(labels, ["entity", "t"], "left").select("entity", F.lit("test").alias("split"), "t", "x", F.coalesce("label", F.lit(0)).alias("label"))
     return train.unionByName(test)
 
 
-def read_feature_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``t, x`` of a headed file; columns that name a time are dropped."""
+def read_feature_csv(spark: SparkSession, path: str, labels: str | None = None) -> DataFrame:
+    """``entity, t, x, label`` of headed files; columns that name a time are dropped.
+
+    ``labels``: files of the same names whose last column is the label; without them all labels are 0.
+    """
     lines = file_lines(spark, path)
-    head = lines.where("t = 0").select("path", F.split("line", ",").alias("names"))
-    body = lines.where("t > 0").join(F.broadcast(head), "path")
+    head = lines.where("t = 0").select("path", F.split("line", ",").alias("names"))  # one row a file, joined where it is small
     cells = F.zip_with("names", F.split("line", ","), lambda n, c: F.struct(F.lower(F.trim(n)).alias("n"), F.trim(c).try_cast("double").alias("c")))
     kept = F.filter(cells, lambda p: ~p["n"].rlike("^(timestamp|date|time)"))
-    return body.select((F.col("t") - 1).alias("t"), F.transform(kept, lambda p: p["c"]).alias("x"))
+    body = lines.where("t > 0").join(head, "path").select(series_name().alias("entity"), (F.col("t") - 1).alias("t"), F.transform(kept, lambda p: p["c"]).alias("x"))
+    if labels is None:
+        return body.withColumn("label", F.lit(0))
+    told = file_lines(spark, labels).where("t > 0").select(series_name().alias("entity"), (F.col("t") - 1).alias("t"), F.element_at(F.split("line", ","), -1).try_cast("double").cast("int").alias("label"))
+    return body.join(told, ["entity", "t"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
 def parse_archive_series(df: DataFrame, path: str = "path", t: str = "t") -> DataFrame:
@@ -69,13 +96,17 @@ def concat_entities(df: DataFrame, entity: str = "entity", t: str = "t") -> Data
 
 
 def write_scores(df: DataFrame, path: str) -> None:
-    """Partitioned by entity and view, so that readers prune."""
+    """Partitioned by view, so that readers prune."""
     df.write.mode("overwrite").partitionBy("view").parquet(path)
 
 
 def read_scores(spark: SparkSession, path: str, views: list[str] | None = None) -> DataFrame:
+    """The ledger, or those of the ``views`` that it has; an error if it has none of them."""
     df = spark.read.parquet(path)
-    return df.where(F.col("view").isin(*views)) if views else df
+    df = df.where(F.col("view").isin(*views)) if views else df
+    if df.isEmpty():
+        raise ValueError(f"no scores of {views or 'any view'} in {path}")
+    return df
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
