@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators import metrics, post
+from tidewatch.operators import fusion, metrics, post, prep
 
 
 def settings(df: DataFrame, name: str, values: list) -> DataFrame:
@@ -75,6 +75,69 @@ def grid_loo(grid: DataFrame, group: list[str], entity: str) -> DataFrame:
     return first_best(ok.withColumn("others", others), [*group, entity], ["window", "alpha", "auc_roc"], "others")
 
 
+def grid_on_parts(pairs: DataFrame, keys: list[str], windows: list[int], alphas: list[float], ratio: float = 0.5) -> DataFrame:
+    """:func:`grid_scores` of the validation prefix and of the rest, each normalised by itself: adds ``split``."""
+    return grid_scores(prep.temporal_val_split(pairs, keys, ratio), [*keys, "split"], windows, alphas)
+
+
+def grid_val(grid: DataFrame, group: list[str]) -> DataFrame:
+    """``group, scope, window, alpha, val, test``: chosen by the mean on validation, reported on the rest.
+
+    Scope ``own``: each group's best setting; scope ``global``: the setting of the best mean over all
+    groups, of those that every group has.
+    """
+    setting = ["window", "alpha", "o"]
+    mean = grid.groupBy(*group, "split", *setting).agg(F.round(F.avg("auc_roc"), 9).alias("auc"))
+    val = mean.where("split = 'val' and auc is not null").drop("split").withColumnRenamed("auc", "val")
+    test = mean.where("split = 'test'").drop("split").withColumnRenamed("auc", "test")
+    own = first_best(val, group, setting, "val").withColumn("scope", F.lit("own"))
+    each = val.groupBy(*setting).agg(F.round(F.avg("val"), 9).alias("over_all"), F.count("*").alias("n"))
+    each = each.withColumn("most", F.max("n").over(Window.partitionBy())).where("n = most")  # one row a setting
+    best = first_best(each, [], setting, "over_all").drop("over_all")
+    one = val.join(F.broadcast(best), setting).withColumn("scope", F.lit("global"))
+    return own.unionByName(one).join(test, [*group, *setting], "left").select(*group, "scope", "window", "alpha", "val", "test")
+
+
+def weighted(pairs: DataFrame, keys: list[str], method: str, weight: float) -> DataFrame:
+    """weight * a + (1 - weight) * b of the pair's z-scores, ranks or [0, 1] scores: ``keys, t, label, s``."""
+    scale = {"zscore": lambda c: post.zscore(F.col(c), Window.partitionBy(*keys)), "rank": lambda c: post.average_rank(keys, c) / F.count("*").over(Window.partitionBy(*keys)), "minmax": lambda c: post.minmax(F.col(c), Window.partitionBy(*keys))}[method]
+    z = pairs.select(*keys, "t", "label", scale("a").alias("a"), scale("b").alias("b"))
+    return z.select(*keys, "t", "label", (F.lit(weight) * F.col("a") + (1 - F.lit(weight)) * F.col("b")).alias("s"))
+
+
+def finished_auc(df: DataFrame, keys: list[str], window: int, smooth: str = "mean") -> DataFrame:
+    """AUC of scores that are smoothed (an even window takes one more step) and taken to [0, 1]."""
+    window += 1 - window % 2
+    out = {"mean": post.smooth_mean, "median": post.smooth_median}[smooth](df, keys, window) if window > 1 else df
+    return metrics.auc_roc(post.norm_minmax(out, keys).withColumn("s", F.round("s", 9)), keys)
+
+
+def apply_config(pairs: DataFrame, keys: list[str], dataset: str, configs: dict) -> DataFrame:
+    """``dataset, keys, before, after, delta``: each data set's ``(method, weight, window, smooth)`` against ranks' mean over 7 steps.
+
+    Data sets without a configuration are left out.
+    """
+    where = pairs.select(dataset, *keys).distinct() if dataset not in keys else None
+    rows = pairs.where(F.col(dataset).isin(*configs))
+    before = finished_auc(weighted(rows, keys, "rank", 0.5), keys, 7).withColumnRenamed("auc_roc", "before")
+    parts = [finished_auc(weighted(rows.where(F.col(dataset) == name), keys, method, weight), keys, window, smooth) for name, (method, weight, window, smooth) in configs.items()]
+    after = parts[0]
+    for p in parts[1:]:
+        after = after.unionByName(p)
+    out = before.join(after.withColumnRenamed("auc_roc", "after"), keys)
+    out = out if where is None else out.join(where, keys)
+    return out.select(*dict.fromkeys([dataset, *keys]), "before", "after", (F.col("after") - F.col("before")).alias("delta"))
+
+
+def ensemble_auto(df: DataFrame, keys: list[str], window: int = 7, methods: tuple[str, ...] = ("mean_disagree", "mean", "max", "rank_mean")) -> DataFrame:
+    """``keys, method, auc_roc`` of the ensemble that the labels favour (an oracle), of equals the first method."""
+    parts = [finished_auc(fusion.ensemble(df, keys, m), keys, window).withColumn("method", F.lit(m)).withColumn("o", F.lit(i)) for i, m in enumerate(methods)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return first_best(out.withColumn("auc_roc", F.round("auc_roc", 9)), keys, ["method"], "auc_roc")
+
+
 def ablation_delta(ledger: DataFrame, entity: list[str], axis: str, reference: str, metric: str) -> DataFrame:
     """Mean and median over entities of each variant's metric less the reference's."""
     ref = ledger.where(F.col(axis) == reference).select(*entity, F.col(metric).alias("ref"))

@@ -30,6 +30,15 @@ def swept(window: int, out: str) -> str:
 {out} as (select entity, alpha, o, case when sum(label) > 0 and sum(label) < count(*) then (sum(case when label = 1 then r end) - sum(label) * (sum(label) + 1) / 2.0) / (cast(sum(label) as double) * (count(*) - sum(label))) end as auc_roc from {out}_r group by entity, alpha, o)"""
 
 
+def auc_of(src: str, out: str, by: str, window: int) -> str:
+    """Tables that smooth ``src``'s scores, take them to [0, 1] and give ``out(by, auc_roc)``."""
+    p, part = window // 2, f"over (partition by {by})"
+    return f""", {out}_e as (select *, count(*) over w as n, row_number() over (partition by {by} order by t) - 1 as i, first_value(s) over f as fa, last_value(s) over f as la from {src} window w as (partition by {by}), f as (partition by {by} order by t rows between unbounded preceding and unbounded following)),
+{out}_s as (select {by}, t, label, case when n <= {window} then avg(s) {part} else (sum(s) over (partition by {by} order by t rows between {p} preceding and {p} following) + greatest(0, {p} - i) * fa + greatest(0, i + {p} - n + 1) * la) / {window} end as s from {out}_e),
+{out}_m as (select {by}, label, round(case when max(s) {part} > min(s) {part} then (s - min(s) {part}) / (max(s) {part} - min(s) {part}) else 0 end, 9) as s from {out}_s), {out}_r as (select *, rank() over (partition by {by} order by s) + (count(*) over (partition by {by}, s) - 1) / 2.0 as r from {out}_m),
+{out} as (select {by}, case when sum(label) > 0 and sum(label) < count(*) then (sum(case when label = 1 then r end) - sum(label) * (sum(label) + 1) / 2.0) / (cast(sum(label) as double) * (count(*) - sum(label))) end as auc_roc from {out}_r group by {by})"""
+
+
 def two(spark, sf):
     return fusion.pair(fx.scores(spark, sf), E, "dev", "jump")
 
@@ -75,6 +84,52 @@ def _(spark, sf):
     return sweeps.grid_loo(sweeps.grid_scores(two(spark, sf), E, [3, 7], ALPHAS).withColumn("ds", F.col("entity") % 4), ["ds"], "entity")
 
 
+PARTS = PR + """, sl as (select *, case when t < greatest(1, least(floor(n / 2.0), n - 1)) then 'val' else 'test' end as split from (select *, count(*) over (partition by entity) as n from pr)),
+zv as (select entity, split, t, label, case when stddev_pop(a) over g > 1e-8 then (a - avg(a) over g) / stddev_pop(a) over g else 0 end as a, case when stddev_pop(b) over g > 1e-8 then (b - avg(b) over g) / stddev_pop(b) over g else 0 end as b from sl window g as (partition by entity, split))""" + AL
+GRID_VAL = PARTS + ", fv as (select entity, split, alpha, o, t, label, alpha * a + (1 - alpha) * b as s from zv, al)" + auc_of("fv", "v3", "entity, split, alpha, o", 3) + auc_of("fv", "v7", "entity, split, alpha, o", 7) + """,
+gv as (select entity, split, 3 as win, alpha, o, auc_roc from v3 union all select entity, split, 7, alpha, o + 5, auc_roc from v7),
+mv as (select entity % 4 as ds, split, win, alpha, o, round(avg(auc_roc), 9) as auc from gv group by entity % 4, split, win, alpha, o),
+vl as (select ds, win, alpha, o, auc as val from mv where split = 'val' and auc is not null), ow as (select *, 'own' as scope from vl qualify row_number() over (partition by ds order by val desc, o) = 1),
+ea as (select win, alpha, o, round(avg(val), 9) as a, count(*) as n from vl group by win, alpha, o), eb as (select * from ea where n = (select max(n) from ea)), be as (select o from eb order by a desc, o limit 1),
+bo as (select ds, win, alpha, o, val, scope from ow union all select ds, win, alpha, o, val, 'global' from vl where o in (select o from be))
+select ds, scope, cast(win as bigint) as "window", round(alpha, 6) + 0 as alpha, round(val, 6) + 0 as val, round(te.auc, 6) + 0 as test from bo left join (select ds, o, auc from mv where split = 'test') te using (ds, o)"""
+
+
+@query("grid_val", GRID_VAL)
+def _(spark, sf):
+    return sweeps.grid_val(sweeps.grid_on_parts(two(spark, sf), E, [3, 7], ALPHAS).withColumn("ds", F.col("entity") % 4), ["ds"])
+
+
+#: A configuration for each of four groups of entities.
+CONFIGS = {0: ("zscore", 0.35, 21, "mean"), 1: ("rank", 0.8, 21, "mean"), 2: ("zscore", 0.2, 20, "mean"), 3: ("minmax", 0.2, 7, "mean")}
+RANK_OF = "(rank() over (partition by entity order by {c}) + (count(*) over (partition by entity, {c}) - 1) / 2.0) / count(*) over (partition by entity)"
+UNIT_OF = "case when max({c}) over (partition by entity) > min({c}) over (partition by entity) then ({c} - min({c}) over (partition by entity)) / (max({c}) over (partition by entity) - min({c}) over (partition by entity)) else 0 end"
+PLAIN_Z = "case when stddev_pop({c}) over (partition by entity) > 0 then ({c} - avg({c}) over (partition by entity)) / stddev_pop({c}) over (partition by entity) else 0 end"
+
+
+def configured() -> str:
+    scale = {"zscore": PLAIN_Z, "rank": RANK_OF, "minmax": UNIT_OF}
+    mix = lambda kind, w, c: f"select entity, t, label, cast({w} as double) * ({scale[kind].format(c='a')}) + (1 - cast({w} as double)) * ({scale[kind].format(c='b')}) as s from pr where entity % 4 in ({c})"
+    sql = PR + f", c9 as ({mix('rank', 0.5, '0, 1, 2, 3')})" + auc_of("c9", "before9", "entity", 7)
+    for c, (kind, w, window, _) in CONFIGS.items():
+        sql += f", c{c} as ({mix(kind, w, c)})" + auc_of(f"c{c}", f"after{c}", "entity", window + 1 - window % 2)
+    return sql + ", af as (" + " union all ".join(f"select * from after{c}" for c in CONFIGS) + ") select entity % 4 as ds, entity, round(x.auc_roc, 6) + 0 as before, round(y.auc_roc, 6) + 0 as after, round(y.auc_roc - x.auc_roc, 6) + 0 as delta from before9 x join af y using (entity)"
+
+
+@query("apply_config", configured())
+def _(spark, sf):
+    return sweeps.apply_config(two(spark, sf).withColumn("ds", F.col("entity") % 4), E, "ds", CONFIGS)
+
+
+VRANK = "(rank() over (partition by entity, view order by s) + (count(*) over (partition by entity, view, s) - 1) / 2.0) / count(*) over (partition by entity, view)"
+AUTO = f", vr as (select *, {VRANK} as r from fx_scores), em as (select entity, t, max(label) as label, avg(s) as m, stddev_pop(s) as d, max(s) as x, avg(r) as r from vr group by entity, t), eu as (" + " union all ".join(f"select entity, {o} as o, '{m}' as method, t, label, {e} as s from em" for o, (m, e) in enumerate({"mean_disagree": "m + cast(0.5 as double) * d", "mean": "m", "max": "x", "rank_mean": "r"}.items())) + ")"
+
+
+@query("ensemble_auto", AUTO + auc_of("eu", "ea", "entity, o, method", 7) + " select entity, method, round(round(auc_roc, 9), 6) + 0 as auc_roc from ea where auc_roc is not null qualify row_number() over (partition by entity order by round(auc_roc, 9) desc, o) = 1")
+def _(spark, sf):
+    return sweeps.ensemble_auto(fx.scores(spark, sf), E)
+
+
 # ------------------------------------------------------------------ M: a ledger of three methods
 
 LEDGER = AUC + CURVE + AP + BEST + ", lg as (select entity, entity % 4 as ds, view as method, auc_roc, auc_pr, best_f1 from auc join ap using (entity, view) join b1 using (entity, view))"
