@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import fusion, metrics, stats, sweeps
+from tidewatch.operators import fusion, metrics, regime, stats, sweeps
 from tidewatch.plans import fixtures as fx
 from tidewatch.plans.evaluation import AP, AUC, BEST, CURVE
 from tidewatch.plans.registry import query
@@ -251,6 +251,17 @@ def _(spark, sf):
     return stats.spearman(diffs(spark, sf).join(x, "entity"), ["ds"], "x", "d")
 
 
+def regime_records(spark, sf):
+    """One record an entity: how much it gains, and what its series is like."""
+    shape = fx.series(spark, sf).groupBy("entity").agg(F.count("*").cast("double").alias("steps"), F.avg("label").alias("anomaly_ratio"), F.stddev_pop("v").alias("spread"))
+    return diffs(spark, sf).join(shape, "entity")
+
+
+@query("gain_logit_lodo")
+def _(spark, sf):
+    return regime.gain_logit(regime_records(spark, sf), "ds", ["steps", "anomaly_ratio", "spread"], "d")
+
+
 @query("gain_table", LEDGER + ", g as (select a.ds, a.entity, a.auc_roc - b.auc_roc as gain from lg a join lg b using (ds, entity) where a.method = 'dev' and b.method = 'jump') select ds, entity, round(gain, 6) + 0 as gain, case when gain > 0 then 'gain' when gain < 0 then 'loss' else 'even' end as regime from g")
 def _(spark, sf):
     return stats.gain_table(ledger(spark, sf), ["ds", "entity"], "auc_roc", "dev", "jump")
