@@ -89,7 +89,8 @@ def test_lof(points):
     assert [got[90 + i] for i in range(len(test))] == pytest.approx(dense[near].mean(axis=1) / mine)
 
 
-def test_knn_of_many_blocks(points):
+def test_knn_of_many_blocks(points, monkeypatch):
+    monkeypatch.setattr(scorers, "BLOCK_ROWS", 20)
     train, test, df = points
     want = np.sort(np.sqrt(((test[:, None] - train[None]) ** 2).sum(axis=2)), axis=1)[:, :5].mean(axis=1)
     got = by_t(scorers.knn_score(df.where("split = 'test'"), df.where("split = 'train'"), K))
@@ -103,6 +104,13 @@ def test_isolation_forest_ranks_an_outlier_first(points):
     assert got == by_t(scorers.isolation_forest(df.repartition(5), K, trees=50))
 
 
+def test_isolation_forest_samples_are_whole_and_of_one_hash_order(spark):
+    rows = [("a", "train", i, [float(np.sin(i)), i % 7.0]) for i in range(4000)]
+    got = by_t(scorers.isolation_forest(spark.createDataFrame(rows, VECTORS), K, trees=4, sample=64))
+    # equal vectors score alike, and 2 ** -(mean depth / c(64)) lies about a half where trees hold 64 rows
+    assert abs(np.mean(list(got.values())) - 0.5) < 0.08
+
+
 def test_transport_plan_has_uniform_marginals_and_the_gibbs_form(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2, 4, 3)) * 0.3

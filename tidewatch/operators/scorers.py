@@ -111,12 +111,18 @@ def knn_score(test: DataFrame, train: DataFrame, keys: list[str], k: int = 5, id
     return near.groupBy(*keys, id).agg(F.avg("d").alias("s"))
 
 
-def nearest_rows(test: DataFrame, train: DataFrame, keys: list[str], k: int, id: str, f: str, blocks: int = 8) -> DataFrame:
+#: Train rows of a key that one task of the neighbour search holds, about.
+BLOCK_ROWS = 2000
+
+
+def nearest_rows(test: DataFrame, train: DataFrame, keys: list[str], k: int, id: str, f: str) -> DataFrame:
     """``keys, id, other, d``: the k nearest train rows of each test row.
 
     Each key's train rows lie in hashed blocks, its test rows in hashed groups, and one task meets one
-    block with one group.
+    block with one group; the largest key sets the number of both, so that tasks stay small.
     """
+    most = train.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    blocks = max(2, -(-most // BLOCK_ROWS))
     spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = test.select(*keys, F.col(id).alias("id"), F.col(f).alias("f")).withColumn("g", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("b", spread)
     right = train.select(*keys, F.col(id).alias("id"), F.col(f).alias("f")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("g", spread)
@@ -229,9 +235,14 @@ def isolation_forest(df: DataFrame, keys: list[str], trees: int = 100, sample: i
     """
     import pickle
 
-    train = df.where("split = 'train'").select(*keys, F.col(id).alias("id"), F.col(f).alias("f"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "tree").orderBy(F.xxhash64("tree", "id", F.lit(seed)), "id"))
-    some = train.withColumn("rk", rank).where(F.col("rk") <= sample)
+    train = df.where("split = 'train'").select(*keys, F.col(id).alias("id"), F.col(f).alias("f"))
+    # only rows that can be in a tree's sample are sent: hashes below the share that holds it, widened by eight deviations
+    share = F.least(F.lit(1.0), (sample + 8 * sample**0.5 + 32) / F.col("size"))
+    hashed = F.xxhash64("tree", "id", F.lit(seed))
+    spread = train.join(train.groupBy(*keys).agg(F.count("*").alias("size")), keys).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    spread = spread.withColumn("h", hashed).where((F.col("h") / 2.0**64 + 0.5) <= share)
+    rank = F.row_number().over(Window.partitionBy(*keys, "tree").orderBy("h", "id"))
+    some = spread.withColumn("rk", rank).where(F.col("rk") <= sample).drop("size", "h")
 
     def plant(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf.sort_values("rk")["f"].to_numpy())

@@ -83,7 +83,7 @@ def effect_label(d: Column) -> Column:
     return F.when(F.abs(d) < 0.2, "Negligible").when(F.abs(d) < 0.5, "Small").when(F.abs(d) < 0.8, "Medium").otherwise("Large")
 
 
-def bootstrap_ci(values: DataFrame, group: list[str], v: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
+def bootstrap_ci(values: DataFrame, group: list[str], v: str, resamples: int = 10_000, seed: int = 42) -> DataFrame:
     """Percentile interval of the mean; draws come from a hash of resample, place and seed, so they repeat."""
     by = Window.partitionBy(*group)
     ranked = values.select(*group, v, (F.row_number().over(by.orderBy(v)) - 1).alias("i"), F.count("*").over(by).alias("n"))
