@@ -255,7 +255,19 @@ def _(spark, sf):
     return scorers.pca_recon(vectors(spark, sf), E)
 
 
-@query("lof_score")
+def near_sql(out: str, own: str, other: str) -> str:
+    """The 20 nearest rows ``o`` of ``other`` to each row of ``own``, itself left out."""
+    d = "sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x3 - b.x3) * (a.x3 - b.x3))"
+    return f"{out} as (select * from (select a.entity, a.t, b.t as o, {d} as d, row_number() over (partition by a.entity, a.t order by {d}, b.t) as r from {own} a join {other} b on a.entity = b.entity and a.t <> b.t) where r <= 20)"
+
+
+LOF = ", tr as (select * from fx_split where split = 'train'), te as (select * from fx_split where split = 'test'), " + near_sql("ow", "tr", "tr") + ", " + near_sql("nn", "te", "tr") + """,
+kd as (select entity, t as o, max(d) as kd from ow group by entity, t), ld as (select entity, t as o, 1 / (avg(greatest(kd, d)) + 1e-10) as lrd from ow join kd using (entity, o) group by entity, t),
+lm as (select entity, t, 1 / (avg(greatest(kd, d)) + 1e-10) as mine, avg(lrd) as theirs from nn join kd using (entity, o) join ld using (entity, o) group by entity, t)
+select entity, t, round(theirs / mine, 6) + 0 as s from lm"""
+
+
+@query("lof_score", LOF)
 def _(spark, sf):
     v = vectors(spark, sf, ("x0", "x3"))
     return scorers.lof_score(v.where("split = 'test'"), v.where("split = 'train'"), E)
