@@ -191,3 +191,11 @@ def test_quality(spark, empty):
     assert all(got[i] for i in range(60)) and not any(got[100 + i] for i in range(30)) and len(got) == 91
     kept = quality.keep_good(spark, df, labels)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} - {None} == set(range(60))
+
+
+def test_top_word_counts_the_whole_text():
+    top = quality.FEATURES.index("top_word")
+    between = [f"a{i}" if i % 2 == 0 else "b" for i in range(16)]
+    tail = [f"w{i}" for i in range(2000)] + ["spam"] * 6000
+    for words, most in ((between, 8), (tail, 6000)):
+        assert quality.features(" ".join(words))[top] == most / len(words)
