@@ -2,6 +2,7 @@
 
 import hashlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -199,3 +200,30 @@ def test_top_word_counts_the_whole_text():
     tail = [f"w{i}" for i in range(2000)] + ["spam"] * 6000
     for words, most in ((between, 8), (tail, 6000)):
         assert quality.features(" ".join(words))[top] == most / len(words)
+
+
+def test_stage_keeps_one_of_pairs_of_similarity_four_fifths(spark, empty):
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(120):
+        words = [f"w{n}" for n in rng.integers(0, 5000, rng.integers(60, 300))]
+        texts.append(words)
+        for edits in rng.integers(1, 8, 2):
+            copy = list(words)
+            for at in rng.integers(0, len(words), edits):
+                copy[at] = f"x{rng.integers(0, 5000)}"
+            texts.append(copy)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i - i % 3, i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert len(set(root)) < len(root) - 100
+    rows = [(i, " ".join(w), 7, "k", 1) for i, w in enumerate(texts)] + [(1000, None, 7, "k", 1), (1001, " ", 7, "k", 1), (None, texts[0][0], 7, "k", 1), (0, " ".join(texts[0]), 7, "k", 1)]
+    kept = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, DOCS).repartition(3), "")
+    assert kept.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
+    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [*sorted(set(root)), 1000]
+    assert kept.where("doc_id is null").count() == 1
+    assert corpus_pipeline.one_of_each(spark, empty, "").count() == 0

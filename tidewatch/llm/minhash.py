@@ -1,0 +1,154 @@
+"""Near copies by MinHash bands: pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.llm.scratch import cut
+from tidewatch.llm.simhash import CHUNK, components
+
+#: Words of a shingle, and the similarity from which two texts are near copies, as a fraction.
+WIDTH, ALIKE, OF = 5, 4, 5
+#: A pair of similarity s meets in a bucket with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9998 at 0.8.
+BANDS, ROWS = 16, 4
+SEEDS, FACTORS = np.random.default_rng(20240901).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+FACTORS = FACTORS * np.uint64(2) + np.uint64(1)
+SMALL, LARGE = np.uint64(29), np.uint64(32)
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> LARGE)) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> SMALL)) * MIX
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the lower-cased words' shingles; all words are one shingle of a shorter text."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    of = {w: xxhash.xxh64_intdigest(w, 42) for w in set(words)}
+    h = np.fromiter(map(of.__getitem__, words), np.uint64, len(words))
+    width = min(width, len(words))
+    out = np.full(len(words) - width + 1, width, np.uint64)
+    for i in range(width):
+        out = mixed(out + h[i : len(words) - width + 1 + i])
+    return np.unique(out)
+
+
+def bands(s: np.ndarray) -> np.ndarray:
+    """One 64-bit key a band of the set's MinHashes."""
+    low = np.full(len(SEEDS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(s), CHUNK):
+        part = s[at : at + CHUNK]
+        for i in range(len(SEEDS)):
+            low[i] = min(low[i], mixed((part ^ SEEDS[i]) * FACTORS[i]).min())
+    key = np.zeros(BANDS, np.uint64)
+    for column in low.reshape(BANDS, ROWS).T:
+        key = mixed(key + column)
+    return key
+
+
+def digest(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes(), 42)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets are near copies; the size of the smaller bounds the similarity."""
+    if len(a) > len(b):
+        a, b = b, a
+    if OF * len(a) < ALIKE * len(b):
+        return False
+    if not len(b):
+        return True
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return OF * both >= ALIKE * (len(a) + len(b) - both)
+
+
+def bucket_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Index pairs of near copies that join the same members as all near pairs of the bucket do.
+
+    A member is compared with each group so far until one of the group is a near copy, and that one is
+    asked first from then on: a group around one text costs a comparison a member.
+    """
+    out, groups = [], []
+    for x in range(len(sets)):
+        mine, rest = [x], []
+        for g in groups:
+            n = next((n for n, y in enumerate(g) if alike(sets[y], sets[x])), None)
+            if n is None:
+                rest.append(g)
+                continue
+            g[0], g[n] = g[n], g[0]
+            out.append((g[0], x))
+            g += mine
+            mine = g
+        groups = [*rest, mine]
+    return out
+
+
+def near_links(members: DataFrame) -> DataFrame:
+    """Verified links ``(u, v)`` from ``members(bucket, fp, shingles)``, whose buckets are met whole, one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fps, sets = None, [], []
+
+        def flush() -> pa.RecordBatch:
+            found = bucket_links(sets)
+            return pa.RecordBatch.from_arrays([pa.array([fps[i] for i, _ in found], pa.int64()), pa.array([fps[j] for _, j in found], pa.int64())], names=["u", "v"])
+
+        for b in batches:
+            for bucket, fp, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if bucket != now:
+                    if len(fps) > 1:
+                        yield flush()
+                    now, fps, sets = bucket, [], []
+                fps.append(fp)
+                sets.append(np.frombuffer(raw.as_buffer(), np.uint64))
+        if len(fps) > 1:
+            yield flush()
+
+    dealt = members.select("bucket", "fp", "shingles").repartition("bucket").sortWithinPartitions("bucket", "fp")
+    return dealt.mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose key is the smallest that near copies reach, one row a key; rows without a key stay.
+
+    Null and empty texts are copies of each other; texts of any length are read whole; texts of equal
+    shingles meet in one aggregate; each link between others is verified on the whole shingle sets.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py()) for t in b.column(1)]
+            fp = pa.array(np.array([digest(s) for s in sets], np.uint64).view(np.int64), pa.int64())
+            keys = pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), fp, keys], names=["key", "fp", "bands"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py()) for t in b.column(0)]
+            fp = pa.array(np.array([digest(s) for s in sets], np.uint64).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(1), fp, pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "made", "shingles"])
+
+    known = docs.where(F.col(key).isNotNull())
+    prints, _ = cut(spark, known.select(F.col(key), F.col(text)).mapInArrow(sign, f"key {kind}, fp bigint, bands array<bigint>"))
+    groups = prints.groupBy("fp").agg(F.min("key").alias("low"), F.first("bands").alias("bands"))
+    keyed = groups.select("fp", F.posexplode("bands").alias("band", "value"))
+    # buckets of the same members are met once: two hashes of the members and their number name a bucket
+    named = keyed.groupBy("band", "value").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("a"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("b")).where("n > 1")
+    named = named.groupBy("n", "a", "b").agg(F.min(F.struct("band", "value")).alias("bucket")).select(F.col("bucket.band").alias("band"), F.col("bucket.value").alias("value"))
+    members, _ = cut(spark, keyed.join(named, ["band", "value"]).select(F.xxhash64("band", "value").alias("bucket"), "fp"))
+    asked = groups.select("fp", "low").join(members.select("fp").distinct(), "fp")
+    texts = known.select(F.col(key).alias("low"), F.col(text).alias("__text")).join(asked, "low").select("__text", "fp")
+    sets, _ = cut(spark, texts.mapInArrow(whole, "fp bigint, made bigint, shingles binary").where("fp = made").select("fp", "shingles").dropDuplicates(["fp"]))
+    found, _ = components(spark, near_links(members.join(sets, "fp")))
+    rooted = groups.select("fp", "low").join(found, F.col("fp") == F.col("node"), "left").select("low", F.coalesce("root", "fp").alias("root"))
+    roots = rooted.groupBy("root").agg(F.min("low").alias(key)).select(key).distinct()
+    return known.join(roots, key, "left_semi").dropDuplicates([key]).select(docs.columns).union(docs.where(F.col(key).isNull()))
