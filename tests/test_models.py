@@ -151,3 +151,22 @@ def test_file_trees(spark, tmp_path):
     (tmp_path / "f" / "s.csv").write_text("timestamp_(min),a\n0,4\n1,\n")
     got = series_io.read_feature_csv(spark, str(tmp_path / "f")).orderBy("t").collect()
     assert [(r["entity"], r["t"], r["x"], r["label"]) for r in got] == [("s", 0, [4.0], 0), ("s", 1, [None], 0)]
+
+
+def test_per_patch_maha_reads_the_whole_vector(spark, tmp_path):
+    from tidewatch.plans import registry
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 64)).astype(np.float32)
+    x[399, 40] = 50  # an anomaly in a late component of a test window
+    df = spark.createDataFrame([(i, v.tolist(), 9 if i == 399 else 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["t"], r["patch"]): r["s"] for r in registry.QUERIES["per_patch_maha"](spark, str(tmp_path)).collect()}
+    assert len(got) == 400
+    assert max(got, key=got.get) == (99, 3)
+    v = x[3::4].astype(float)
+    train = v[np.arange(100) < 49.5]
+    c = train - train.mean(axis=0)
+    prec, _ = scorers.shrink((c.T @ c).ravel(), ((c * c).sum(axis=1) ** 2).sum(), len(c))
+    d = v - train.mean(axis=0)
+    assert [got[w, 3] for w in range(100)] == pytest.approx(((d @ np.array(prec)) * d).sum(axis=1), rel=1e-6)

@@ -218,7 +218,7 @@ def _(spark, sf):
 def patch_vectors(spark, sf):
     t = fx.tokens(spark, sf)
     half = t.agg((F.max("w") / 2).alias("h"))
-    return t.crossJoin(F.broadcast(half)).select("patch", F.col("w").alias("t"), "label", F.slice("vec", 1, 8).alias("f"), F.when(F.col("w") < F.col("h"), "train").otherwise("test").alias("split"))
+    return t.crossJoin(F.broadcast(half)).select("patch", F.col("w").alias("t"), "label", F.col("vec").alias("f"), F.when(F.col("w") < F.col("h"), "train").otherwise("test").alias("split"))
 
 
 @query("per_patch_maha")
