@@ -227,3 +227,12 @@ def test_stage_keeps_one_of_pairs_of_similarity_four_fifths(spark, empty):
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [*sorted(set(root)), 1000]
     assert kept.where("doc_id is null").count() == 1
     assert corpus_pipeline.one_of_each(spark, empty, "").count() == 0
+
+
+def test_scores_of_large_vectors_of_one_sign_are_exact():
+    rng = np.random.default_rng(7)
+    q, x = rng.integers(700, 1000, (5, 64)), rng.integers(700, 1000, (200, 64))
+    parts = topk.local_scores(q, x, np.zeros((5, 200), bool))
+    i, j, score = topk.later_phases(parts, np.full(5, float(topk.NONE)))
+    assert (score.astype(np.int64) == (q @ x.T)[i, j]).all() and len(i) == 1000
+    assert (topk.first_phase(parts, 200) == -np.sort(-(q @ x.T), axis=1)).all()

@@ -31,17 +31,18 @@ def split_dims(d: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
 
 
-def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer products: in floats while every sum is exactly representable, else in integers."""
+def exact_kind(q: np.ndarray, x: np.ndarray) -> type:
+    """The type of exact products over the whole width: a float while every sum is exactly representable, else an integer."""
     top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
-    kind = np.float32 if top < 1 << 24 else np.float64 if top < 1 << 53 else object if top >= 1 << 62 else np.int64
-    return q.astype(kind) @ x.astype(kind).T
+    return np.float32 if top < 1 << 24 else np.float64 if top < 1 << 53 else object if top >= 1 << 62 else np.int64
 
 
 def local_scores(q: np.ndarray, x: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
     """Each group's local scores; the query's own row is out of reach in all of them."""
-    got = [products(q[:, s], x[:, s]) for s in split_dims(q.shape[1])]
-    low = -np.inf if got[0].dtype.kind == "f" else NONE
+    kind = exact_kind(q, x)  # the groups' sums are added in the same type
+    q, x = q.astype(kind), x.astype(kind)
+    got = [q[:, s] @ x[:, s].T for s in split_dims(q.shape[1])]
+    low = -np.inf if got[0].dtype.kind == "f" else NONE // len(got)
     for g in got:
         g[own] = low
     return got
