@@ -52,18 +52,66 @@ def test_links_reach_the_brute_force_components(spark):
             if (fps[i] ^ fps[j]).bit_count() <= 3:
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
-    df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    found, _ = simhash.components(spark, simhash.links(df))
+    raw = np.array(fps, np.uint64)[:, None]
+    pay = np.zeros(len(raw), simhash.payload_type(1, 16))
+    pay["fp"], pay["table"] = raw, simhash.distance_table(raw, simhash.pivots(1))
+    pay["first"] = pay["table"][:, 0]
+    df = spark.createDataFrame([(f, bytearray(r.tobytes())) for f, r in zip(fps, pay, strict=True)], "node long, payload binary")
+    found = simhash.components(spark, simhash.links(df, simhash.exact_masks(6, 3), 3, 3, simhash.CELL))
     got = {r["node"]: r["root"] for r in found.collect()}
     assert [got.get(f, f) for f in fps] == [fps[r] for r in root]
 
 
+def test_pivots_discard_and_lose_no_component():
+    """One hot run of near fingerprints: components equal those of all pairs, and the pivots discard most pairs compared."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    fps = {int(b) for b in base} | {int(b) ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(1, 6), replace=False)) for b in base[:5] for _ in range(200)}
+    fp = np.array(sorted(fps), np.uint64)[:, None]
+    table = simhash.distance_table(fp, simhash.pivots(1))
+    order = np.argsort(table[:, 0], kind="stable")
+    fp, table = fp[order], table[order]
+    seen = np.zeros(3, np.int64)
+    u, v = simhash.whole_runs(np.full(len(fp), len(fp)), table[:, 0], fp, table, 3, 3, seen)
+    near = np.bitwise_count(fp[:, 0][:, None] ^ fp[:, 0][None]) <= 3
+    assert joined(len(fp), zip(*np.nonzero(near), strict=True)) == joined(len(fp), zip(u, v, strict=True))
+    assert seen[1] > 0.9 * seen[0] and seen[1] + seen[2] == seen[0]
+
+
+def joined(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, y in pairs:
+        x, y = find(int(x)), find(int(y))
+        root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
+
+
+def test_set_links_against_all_pairs():
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(20, 60)).astype(np.uint64)) for _ in range(90)] + [np.empty(0, np.uint64)] * 2
+    common = simhash.shared_counts(sets)
+    near = []
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            assert common[i, j] == both
+            if both >= 0.5 * (len(sets[i]) + len(sets[j]) - both):
+                near.append((i, j))
+    assert joined(len(sets), near) == joined(len(sets), zip(*simhash.alike_links(sets, 0.5), strict=True))
+
+
 def test_near_duplicates_cases(spark, docs, empty):
     got = {(r["key"], r["component"]) for r in simhash.near_duplicates(spark, docs).collect()}
     assert {(0, 0), (1, 0), (2, 0), (4, 4), (5, 4)} <= got
     assert simhash.near_duplicates(spark, empty).count() == 0
     kept = simhash.keep_one(spark, docs)
-    assert kept.columns == docs.columns and kept.where("doc_id = 4").count() == 1 and kept.where("doc_id is null").count() == 1
+    assert kept.columns == docs.columns and kept.where("doc_id = 4").count() == 1 and kept.where("doc_id = 5").count() == 0 and kept.where("doc_id is null").count() == 1
 
 
 def test_chat_round_trip(spark):

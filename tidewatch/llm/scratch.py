@@ -7,9 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder of our own only where that is unset."""
+    """The cluster's ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on one machine (``local[...]``) gets a temporary folder; on a
+    cluster there is no folder to fall back to, and a missing setting is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         found = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
