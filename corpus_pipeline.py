@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import minhash, packing, pii, quality
+from tidewatch.llm import packing, pii, quality, simhash
 from tidewatch.llm.scratch import cut
 
 
@@ -14,8 +14,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies."""
-    return minhash.keep_one(spark, docs)
+    """The document of the smallest id of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    return simhash.keep_one(spark, docs)
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
