@@ -1,10 +1,12 @@
 """Operators against the libraries, brute force and round trips, with nulls, empty, repeated and clashing columns."""
 
 import hashlib
+import zlib
 
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -146,20 +148,61 @@ def test_tagger_held_out():
     assert (tags == y).mean() > 0.95
 
 
-def test_packing_covers_each_id_once(docs, empty):
+def test_token_ids_equal_the_tokenizer():
+    tool = packing.tokens_of(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(8)
+    some = list("abcdefgzABCZ0129 .,'-_<|>/\"\n\t\r\x0b\x0c\x00\x1c\x1f\x85\xa0éßÉİıªº«»×ǅœΩя日😀\u2003\u0301") + ["'s", "'ll", "don't", "<|endoftext|>", " the ", "supercalifragilistic" * 3, "0f" * 20]
+    texts = [None, *TEXTS, *("".join(rng.choice(some, rng.integers(0, 40))) for _ in range(3000))]
+    for _ in range(2):  # the second time the units are known
+        ids, sizes = tool(pa.array(texts, pa.string()), 1)
+        ends = np.cumsum(sizes)
+        for want, a, b in zip(tool.raw([t or "" for t in texts]), ends - sizes, ends, strict=True):
+            assert ids[a : b - 1].tobytes() == want and ids[b - 1] == 1
+
+
+def test_packing_covers_each_id_once(spark, docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
-    tool = packing.tokens_of(path)
-    assert tool(["" if t is None else t for t in TEXTS]) == tool.raw(["" if t is None else t for t in TEXTS])
-    rows = packing.pack_documents(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), path).collect()
-    at, used = {}, {}
-    for r in sorted(rows, key=lambda r: (r["key"], r["start"])):
-        assert r["start"] == at.get(r["key"], 0)
-        at[r["key"]] = r["start"] + r["length"]
+    rows = packing.pack_documents(docs, path).collect()
+    used, covered = {}, {}
     for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
         assert r["offset"] == used.get(r["sequence_id"], 0)
         used[r["sequence_id"]] = r["offset"] + r["length"]
-    assert max(used.values()) <= 2048 and all(at[r["key"]] == r["doc_tokens"] for r in rows)
+        covered.setdefault(r["key"], []).append((r["start"], r["length"], r["doc_tokens"], r["ids_crc32"]))
+    assert max(used.values()) <= 2048
+    ids = {i: tool_ids(path, t) for i, t in enumerate(TEXTS)}
+    for key, pieces in covered.items():
+        want = tool_ids(path, "a b c") if key is None else ids[key]
+        copies = 2 if key == 4 else 1  # a repeated row is a document of its own
+        assert sum(n for _, n, _, _ in pieces) == copies * len(want)
+        assert all(total == len(want) and crc == zlib.crc32(want[a : a + n].tobytes()) for a, n, total, crc in pieces)
+    assert set(covered) == set(ids) | {None}
     assert packing.pack_documents(empty, path).count() == 0
+    for kind in ("smallint", "string", "decimal(9,2)"):
+        small = docs.where("doc_id in (1, 3)").select(F.col("doc_id").cast(kind).alias("doc_id"), "text")
+        assert packing.pack_documents(small, path).schema["key"].dataType.simpleString() == kind and packing.pack_documents(small, path).count() == 2
+
+
+def tool_ids(path, text):
+    return np.append(np.frombuffer(packing.tokens_of(path).raw([text or ""])[0], "<u4"), np.uint32(1)).astype("<u4")
+
+
+def test_packer_streams_a_long_document():
+    """A document longer than what is held at a time is cut on, and all its pieces follow each other."""
+    rng = np.random.default_rng(9)
+    sizes = np.array([5, packing.STREAM + 77, 1, 3000])
+    ids = rng.integers(2, 40000, sizes.sum()).astype("<u4")
+    packer = packing.Packer(rng.random(50000) < 0.05, 2048)
+    packer.add(ids[: sizes[:2].sum()], sizes[:2])
+    first = packer.cut(False)
+    held = len(packer.rest)
+    packer.add(ids[sizes[:2].sum() :], sizes[2:])
+    second = packer.cut(True)
+    doc = np.concatenate([first[0], second[0] + 2 - held])
+    start, length, crc, total, seq, offset = (np.concatenate(x) for x in zip(first[1:], second[1:], strict=True))
+    begin = np.cumsum(sizes) - sizes
+    assert (total == sizes[doc]).all() and (begin[doc] + start == np.cumsum(length) - length).all() and length.sum() == sizes.sum()
+    assert all(zlib.crc32(ids[a : a + n].tobytes()) == c for a, n, c in zip((begin[doc] + start).tolist(), length.tolist(), crc.tolist(), strict=True))
+    assert np.bincount(seq, length).max() <= 2048 and (np.diff(seq) <= 1).all() and (offset[np.diff(seq, prepend=-1) > 0] == 0).all()
 
 
 def test_best_cuts_against_plain_dynamic_program():

@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark import TaskContext
@@ -24,27 +25,84 @@ SENTENCE_COST, INSIDE_COST, SEQUENCE_COST = 2, 12, 1
 GRID = 64
 #: Tokens gathered before the dynamic program runs; its last sequence is carried over.
 STREAM = 1 << 19
-#: Words whose ids a worker keeps, twice: beyond that a new generation starts and the one before last goes.
-CACHE_WORDS = 250_000
-
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Bytes of a unit, tokens of a unit, and slots (a power of two) of the table of known units that a worker keeps.
+UNIT_BYTES, UNIT_TOKENS, SLOTS = 24, 10, 1 << 20
+#: Documents, and bytes of text, that are tokenized together, about.
+DOCS_TOGETHER, BYTES_TOGETHER = 512, 1 << 22
+
+#: Kinds of bytes: space, letter, digit, other signs, and bytes of units that the tokenizer itself must split.
+SPACE, LETTER, DIGIT, SIGN, HARD = range(5)
+KIND = np.full(256, SIGN, np.uint8)
+KIND[128:] = KIND[0] = KIND[28:32] = HARD
+KIND[[9, 10, 11, 12, 13, 32]] = SPACE
+KIND[48:58] = DIGIT
+KIND[65:91] = KIND[97:123] = LETTER
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Space characters that the tokenizer and ``str.split`` treat otherwise than the six above.
+ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0]")
+LANES = UNIT_BYTES // 8
+#: The bytes of a lane that a unit with so many bytes left covers.
+COVERED = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def units_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the units of texts that begin at ``at``, which are whole words, and the bytes in lower case.
+
+    A unit is a run of ASCII letters, a digit, a run of other signs, or a whole word that holds a
+    byte outside these, an apostrophe before a letter, or the head of a special token.
+    """
+    n = len(data)
+    kind = KIND[data]
+    inside = kind != SPACE
+    edge = np.zeros(n + 1, bool)
+    edge[at] = True
+    word = inside.copy()
+    word[1:] &= ~inside[:-1] | edge[1:n]
+    starts = np.flatnonzero(word)
+    hard = kind == HARD
+    hard[:-1] |= (data[:-1] == 39) & (kind[1:] == LETTER) | (data[:-1] == 60) & (data[1:] == 124)
+    whole = np.add.reduceat(hard, starts, dtype=np.int64) > 0 if len(starts) else np.empty(0, bool)
+    begins = inside.copy()
+    begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT) | edge[1:n]
+    low = LOWER[data]
+    if whole.any():
+        stop = inside.copy()
+        stop[:-1] &= ~inside[1:] | edge[1:n]
+        ends = np.flatnonzero(stop) + 1
+        cover = np.zeros(n + 1, np.int8)
+        cover[starts[whole]] += 1
+        np.subtract.at(cover, ends[whole], 1)
+        cover = np.cumsum(cover[:-1], dtype=np.int8) > 0
+        begins &= ~cover
+        begins[starts[whole]] = True
+        low[cover] = data[cover]
+    stop = inside
+    stop[:-1] = inside[:-1] & (begins[1:] | ~inside[1:])
+    first, last = np.flatnonzero(begins), np.flatnonzero(stop) + 1
+    own = np.zeros(n + 1, bool)
+    own[starts[whole]] = True
+    return first, last, own[first], low
 
 
 class WordTokens:
-    """Ids of whole texts, as little-endian unsigned 32-bit bytes, from ids of white-space-bounded words.
-
-    The tokenizer's own pattern never lets a token cross white space, so a text's ids are its
-    words' ids in a row; each distinct word is tokenized once.  Words of Latin letters go through a
-    byte-pair encoder with the same merges, in which a zero byte marks a word's end and joins the
-    last byte before any other merge; all others go through the tokenizer itself.
+    """Ids of whole texts from ids of their white-space-bounded words.
+
+    The tokenizer's own pattern never lets a token cross white space, nor the bounds of a unit (see
+    :func:`units_of`), so a text's ids are its units' ids in a row.  Units are found and looked up by
+    whole columns: the table of known units has one slot a hash, which holds the unit's bytes and
+    ids; a unit found there with all its bytes equal takes those ids, and each other distinct unit
+    of the batch is tokenized and takes the slot.  Units of Latin letters go through a byte-pair
+    encoder with the same merges, in which a zero byte marks a unit's end and joins the last byte
+    before any other merge; words in other scripts go through the tokenizer itself.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tool = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.lanes = np.zeros((SLOTS, LANES), np.uint64)
+        self.tokens = np.zeros((SLOTS, UNIT_TOKENS), "<u4" if self.tool.get_vocab_size() > 1 << 16 else "<u2")
+        self.counts = np.zeros(SLOTS, np.int64)
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
         vocab = parts["model"]["vocab"]
@@ -73,7 +131,7 @@ class WordTokens:
 
     def parts(self, word: str) -> list[str] | None:
         """The pieces that the tokenizer's pattern makes of a word of Latin letters and signs; None for other words."""
-        if not (word.isascii() or max(word) < "\u0250") or "\0" in word or "<|" in word:
+        if not (word.isascii() or max(word) < "\u0250") or "\0" in word or "<|" in word or ODD_SPACE.search(word):
             return None
         word = word.lower()
         if word.isalpha():
@@ -82,37 +140,90 @@ class WordTokens:
             return [word[:-1], word[-1]]
         return self.split.findall(word)
 
-    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        ids = np.array(self.core.encode_ordinary(" ".join([x + "\0" for x in pieces])), np.int64)
-        stops = (np.flatnonzero(self.closes[ids]) + 1).tolist()
-        raw = self.ids[ids].tobytes()
-        return {x: raw[4 * a : 4 * b] for x, a, b in zip(pieces, [0, *stops[:-1]], stops, strict=True)}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [None if ODD_SPACE.search(t) else t.split() for t in texts]  # str.split also splits at those four
-        if len(self.young) > CACHE_WORDS:
-            self.young, self.old = {}, self.young
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces = {}
-        known, old = self.young, self.old
-        hard, split = [], []
-        for w in set().union(*(w for w in words if w is not None)).difference(known):
-            if w in old:
-                known[w] = old[w]
-            elif (x := self.parts(w)) is None:
-                hard.append(w)
-            else:
-                split.append((w, x))
-        new = set().union(*(x for _, x in split)).difference(self.pieces)
-        if new:
-            self.pieces.update(self.encode_pieces(list(new)))
-        piece = self.pieces.__getitem__
-        for w, x in split:
-            known[w] = piece(x[0]) if len(x) == 1 else b"".join(map(piece, x))
-        for i in range(0, len(hard), 4096):
-            known.update(zip(hard[i : i + 4096], self.raw(hard[i : i + 4096]), strict=True))
-        get = known.__getitem__
-        return [b"".join(map(get, w)) if w is not None else self.raw([t])[0] for t, w in zip(texts, words, strict=True)]
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All pieces' ids in a row, and how many each has."""
+        ids = np.array(self.core.encode_ordinary("\0 ".join(pieces) + "\0" if pieces else ""), np.int64)
+        return self.ids[ids], np.diff(np.flatnonzero(self.closes[ids]) + 1, prepend=0)
+
+    def unit_ids(self, units: list[bytes], whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct units in a row, how many each has, and where each begins; ``whole`` marks words that are to be split."""
+        plain, words = np.flatnonzero(~whole), np.flatnonzero(whole)
+        texts = [units[k].decode() for k in words.tolist()]
+        parts = list(map(self.parts, texts))
+        odd = np.array([x is None for x in parts], bool)
+        split = [x for x in parts if x is not None]
+        flat, each = self.encode_pieces([*(b"\0".join([units[k] for k in plain.tolist()]).decode().split("\0") if len(plain) else ()), *(y for x in split for y in x)])
+        counts = each[: len(plain)]
+        if split:
+            counts = np.concatenate([counts, np.add.reduceat(each[len(plain) :], np.cumsum([0, *map(len, split)])[:-1])])
+        if odd.any():
+            raw = self.raw([t for t, o in zip(texts, odd.tolist(), strict=True) if o])
+            flat, counts = np.concatenate([flat, np.frombuffer(b"".join(raw), "<u4")]), np.concatenate([counts, [len(x) // 4 for x in raw]])
+        order = np.concatenate([plain, words[~odd], words[odd]])
+        n, begin = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
+        n[order], begin[order] = counts, np.cumsum(counts) - counts
+        return flat, n, begin
+
+    def __call__(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, each text's followed by ``end_id``, and the number of ids of each text with that one."""
+        column = pc.fill_null(column, "")
+        wide = pa.types.is_large_string(column.type)
+        offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        raw = column.buffers()[2]
+        raw = raw[int(offsets[0]) : int(offsets[-1])].to_pybytes() if raw is not None and len(offsets) else b""
+        at = offsets - offsets[0]
+        data, docs = np.frombuffer(raw, np.uint8), len(column)
+        starts, ends, hard, low = units_of(data, at)
+        size = ends - starts
+        # the units' bytes in lanes of eight, zeros behind their ends
+        padded = np.concatenate([low, np.zeros(UNIT_BYTES, np.uint8)])
+        eight = np.ndarray((len(data) + UNIT_BYTES - 7,), "<u8", padded, strides=(1,))
+        lanes = np.empty((len(starts), LANES), np.uint64)
+        for lane in range(LANES):
+            lanes[:, lane] = eight[np.minimum(starts + 8 * lane, len(data))] & COVERED[np.clip(size - 8 * lane, 0, 8)]
+        h = size.astype(np.uint64)
+        for lane in range(LANES):
+            h = (h ^ lanes[:, lane]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        short = size <= UNIT_BYTES
+        known = (self.lanes[slot] == lanes).all(axis=1) & short
+        tokens, count = self.tokens[slot], self.counts[slot]
+        late: list[tuple[int, np.ndarray]] = []  # rows of units that have no place in the table, and their ids
+        missing = np.flatnonzero(~known)
+        if len(missing):
+            lower = low.tobytes()
+            number: dict[bytes, int] = {}
+            which = np.array([number.setdefault(lower[a:b], len(number)) for a, b in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)])
+            units = list(number)
+            odd = np.zeros(len(units), bool)
+            odd[which[hard[missing]]] = True
+            flat, counts, begin = self.unit_ids(units, odd)
+            fits = counts <= UNIT_TOKENS
+            inside = (np.arange(UNIT_TOKENS) < counts[:, None]) & fits[:, None]
+            table = np.zeros((len(units), UNIT_TOKENS), self.tokens.dtype)
+            table[inside] = flat[(begin[:, None] + np.arange(UNIT_TOKENS))[inside]]
+            tokens[missing], count[missing] = table[which], counts[which]
+            fit = missing[fits[which] & short[missing]]
+            # of several units with one slot the last stays
+            self.lanes[slot[fit]], self.tokens[slot[fit]], self.counts[slot[fit]] = lanes[fit], tokens[fit], count[fit]
+            late = [(row, flat[begin[k] : begin[k] + counts[k]]) for row, k in zip(missing[~fits[which]].tolist(), which[~fits[which]].tolist(), strict=True)]
+        first = np.searchsorted(starts, at)  # each text's first unit
+        doc = np.repeat(np.arange(docs), np.diff(first))
+        before = np.cumsum(count) - count + doc
+        out = np.full(int(count.sum()) + docs, end_id, "<u4")
+        put = np.arange(UNIT_TOKENS) < count[:, None]
+        if late:
+            put[[row for row, _ in late]] = False
+        where = np.ones(len(out), bool)
+        total = np.concatenate([[0], np.cumsum(count)])
+        sizes = np.diff(total[first]) + 1
+        where[np.cumsum(sizes) - 1] = False
+        for row, ids in late:
+            where[before[row] : before[row] + count[row]] = False
+            out[before[row] : before[row] + count[row]] = ids
+        out[where] = tokens[put]
+        return out, sizes
 
 
 def byte_symbols() -> dict[str, int]:
@@ -172,9 +283,10 @@ def best_cuts(places: np.ndarray, cost: np.ndarray, size: int) -> list[int]:
             queue.popleft()
         i = queue[0]
         value = keys[i] + size - p
-        for k in exact[j] or ():
-            if best[k] <= value:
-                value, i = best[k], k
+        if exact[j]:
+            for k in exact[j]:
+                if best[k] <= value:
+                    value, i = best[k], k
         value += price[j]
         best[j], back[j] = value, i
         key = keys[j] = value + p
@@ -188,43 +300,54 @@ def best_cuts(places: np.ndarray, cost: np.ndarray, size: int) -> list[int]:
     return out[::-1]
 
 
-def pieces(docs: Iterator[tuple[object, bytes]], sentence_end: np.ndarray, size: int) -> Iterator[tuple]:
-    """``(key, start, length, crc32, doc_tokens, sequence, offset)`` of a stream of (key, ids as bytes)."""
-    sequence = 0
-    held: list[tuple[object, bytes, int]] = []  # key, ids, ids of it that are out already
-    room = 0
+class Packer:
+    """Packs a stream of documents; what is known so far is cut once STREAM tokens are held, but for the last sequence."""
+
+    def __init__(self, sentence_end: np.ndarray, size: int):
+        self.sentence_end, self.size = sentence_end, size
+        self.ids = np.empty(0, "<u4")  # tokens that are not out yet
+        self.rest, self.done = np.empty(0, np.int64), np.empty(0, np.int64)  # each held document's tokens still to come, and out
+        self.sequence = 0
 
-    def pack(last: bool) -> Iterator[tuple]:
-        nonlocal sequence, held, room
-        rest = [len(b) // 4 - s for _, b, s in held]
-        ends = np.cumsum(rest)
-        ids = np.frombuffer(b"".join(b[4 * s :] for _, b, s in held), "<u4")
-        places, cost = cut_places(ids, ends, sentence_end)
-        cuts = places[best_cuts(places, cost, size)]
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids = np.concatenate([self.ids, ids])
+        self.rest = np.concatenate([self.rest, sizes])
+        self.done = np.concatenate([self.done, np.zeros(len(sizes), np.int64)])
+
+    def cut(self, last: bool) -> tuple[np.ndarray, ...]:
+        """``document, start, length, crc32, doc_tokens, sequence, offset`` of each piece; a document is its place among those held."""
+        ends = np.cumsum(self.rest)
+        places, cost = cut_places(self.ids, ends, self.sentence_end)
+        cuts = places[best_cuts(places, cost, self.size)]
         if not last and len(cuts) > 2:
             cuts = cuts[:-1]  # the end of what is known so far forced the last sequence
-        d, inside = 0, 0
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            offset = 0
-            while a + offset < b:
-                key, raw, done = held[d]
-                n = min(rest[d] - inside, b - a - offset)
-                start = done + inside
-                yield key, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)]), len(raw) // 4, sequence, offset
-                offset, inside = offset + n, inside + n
-                if inside == rest[d]:
-                    d, inside = d + 1, 0
-            sequence += 1
-        held = [(k, b, s + inside if i == 0 else s) for i, (k, b, s) in enumerate(held[d:])]
-        room = sum(len(b) // 4 - s for _, b, s in held)
-
-    for key, raw in docs:
-        held.append((key, raw, 0))
-        room += len(raw) // 4
-        if room >= STREAM:
-            yield from pack(False)
-    if held:
-        yield from pack(True)
+        stop = int(cuts[-1])
+        begins = np.unique(np.concatenate([cuts[:-1], ends[ends < stop]]))
+        length = np.diff(np.append(begins, stop))
+        doc, seq = np.searchsorted(ends, begins, side="right"), np.searchsorted(cuts, begins, side="right") - 1
+        start = begins - (ends - self.rest)[doc] + self.done[doc]
+        raw = memoryview(self.ids.view(np.uint8))
+        crc = np.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), (begins + length).tolist(), strict=True)], np.int64)
+        out = doc, start, length, crc, (self.rest + self.done)[doc], seq + self.sequence, begins - cuts[seq]
+        self.sequence += len(cuts) - 1
+        gone = int(np.searchsorted(ends, stop, side="right"))  # documents that are out whole
+        inside = stop - (int(ends[gone - 1]) if gone else 0)
+        self.ids, self.rest, self.done = self.ids[stop:], self.rest[gone:].copy(), self.done[gone:].copy()
+        if len(self.rest):
+            self.rest[0] -= inside
+            self.done[0] += inside
+        return out
+
+
+def handfuls(b: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of bounded rows and, but for single texts that are longer, bounded text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < b.num_rows:
+        limit = (int(ends[at - 1]) if at else 0) + BYTES_TOGETHER
+        stop = min(max(int(np.searchsorted(ends, limit, side="right")), at + 1), at + DOCS_TOGETHER)
+        yield b.slice(at, stop - at)
+        at = stop
 
 
 def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 1) -> DataFrame:
@@ -239,34 +362,30 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str =
     names = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, end = tokens_of(path), np.array([end_id], "<u4").tobytes()
+        tool = tokens_of(path)
+        packer, keys = Packer(tool.sentence_end, size), None
         upper = TaskContext.get().partitionId() << 33
 
-        def stream() -> Iterator[tuple[object, bytes]]:
-            for b in batches:
-                for i in range(0, b.num_rows, 256):
-                    part = b.slice(i, 256)
-                    yield from zip(part.column(0).to_pylist(), (x + end for x in tool([t or "" for t in part.column(1).to_pylist()])), strict=True)
-
-        def flush(rows: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, key_type if n == 0 else pa.int64()) for n, c in enumerate(cols)], names=names)
+        def flush(last: bool) -> pa.RecordBatch:
+            nonlocal keys
+            doc, *cols = packer.cut(last)
+            cols[4] += upper
+            out = pa.RecordBatch.from_arrays([keys.take(pa.array(doc)), *[pa.array(c.astype(np.int64)) for c in cols]], names=names)
+            keys = keys.slice(len(keys) - len(packer.rest))
+            return out
 
-        rows: list[tuple] = []
-        key_type = KEY_TYPES.get(kind, pa.int64())
         gc.disable()  # nothing here makes cycles, and the collector would walk the known words again and again
         try:
-            for k, s, n, crc, total, seq, off in pieces(stream(), tool.sentence_end, size):
-                rows.append((k, s, n, crc, total, upper + seq, off))
-                if len(rows) == 10_000:
-                    yield flush(rows, key_type)
-                    rows = []
+            for whole in batches:
+                for b in handfuls(whole):
+                    packer.add(*tool(b.column(1), end_id))
+                    keys = pa.concat_arrays([keys, b.column(0)]) if keys is not None else b.column(0)
+                    if len(packer.ids) >= STREAM:
+                        yield flush(False)
+            if len(packer.ids):
+                yield flush(True)
         finally:
             gc.enable()
-        if rows:
-            yield flush(rows, key_type)
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {kind}, " + ", ".join(f"{n} bigint" for n in names[1:]))
 
-
-KEY_TYPES: dict[str, pa.DataType] = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
