@@ -281,8 +281,48 @@ def test_quality(spark, empty):
     labels = spark.createDataFrame([(i, 1) for i in range(0, 60, 2)] + [(100 + i, 0) for i in range(0, 30, 2)], "doc_id long, quality int")
     got = {r["key"]: r["keep"] for r in quality.classify(spark, df, labels).collect()}
     assert all(got[i] for i in range(60)) and not any(got[100 + i] for i in range(30)) and len(got) == 91
-    kept = quality.keep_good(spark, df, labels)
-    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} - {None} == set(range(60))
+    clash = df.withColumn("prior", F.lit(9)).withColumn("n", F.lit(9)).withColumn("host", F.lit("x")).withColumn("source", F.lit(7)).withColumn("evidence", F.lit(1.5))
+    for docs in (df, clash):
+        kept = quality.keep_good(spark, docs, labels)
+        assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} - {None} == set(range(60))
+    none = df.where("doc_id < 0")
+    assert quality.classify(spark, none, labels).count() == 0 and quality.keep_good(spark, none, labels).count() == 0
+    assert {r["evidence"] for r in quality.classify(spark, df, labels.where("quality = 1")).collect()} == {0.0}
+
+
+def test_site_posteriors_against_brute_force(spark):
+    """Given each row's evidence, priors and posteriors equal a plain computation that leaves the row itself out."""
+    rng = np.random.default_rng(13)
+    ev = np.round(rng.normal(size=300) * 2, 3)
+    host = [None if h == 0 else f"h{h}" for h in rng.geometric(0.3, 300) - 1]
+    path = [f"p{p}" for p in rng.integers(0, 4, 300)]
+    df = spark.createDataFrame(list(zip(range(300), host, path, ev.tolist(), strict=True)), "key long, host string, path string, evidence double").repartition(4)
+    sites = quality.Sites(spark, df)
+    out = sites.beside(df, F.col("host"), F.col("path")).withColumn("prior", sites.prior(F.col("evidence"))).withColumn("post", quality.combine(F.col("evidence"), F.col("prior")))
+    p = 1 / (1 + np.exp(-ev))
+    mean = min(max(p.mean(), 0.01), 0.99)
+
+    def prior_strength(groups):
+        several = [g for g in groups if len(g) > 1]
+        w = np.array([len(g) for g in several])
+        m = np.array([p[g].mean() for g in several])
+        var = (w * m * m).sum() / w.sum() - ((w * m).sum() / w.sum()) ** 2 - (w * m * (1 - m) / (w - 1)).sum() / w.sum()
+        return min(max(mean * (1 - mean) / var - 1 if var > 1e-9 else 500.0, 2.0), 500.0)
+
+    hosts, paths = {}, {}
+    for i in range(300):
+        hosts.setdefault(host[i], []).append(i)
+        paths.setdefault((host[i], path[i]), []).append(i)
+    hs, ps = prior_strength(hosts.values()), prior_strength(paths.values())
+    got = {r["key"]: (r["prior"], r["post"]) for r in out.collect()}
+    assert len(got) == 300
+    for i in range(300):
+        other = lambda g, i=i: [j for j in g if j != i]
+        h, q = other(hosts[host[i]]), other(paths[host[i], path[i]])
+        up = (p[h].sum() + mean * hs) / (len(h) + hs)
+        prior = (p[q].sum() + up * ps) / (len(q) + ps)
+        odds = np.exp(ev[i]) * prior / (1 - prior)
+        assert np.allclose(got[i], (prior, odds / (1 + odds)))
 
 
 def test_top_word_counts_the_whole_text():

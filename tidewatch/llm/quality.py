@@ -16,6 +16,8 @@ from tidewatch.llm.scratch import cut
 TRAIN_ROWS = 20_000
 #: Bounds on how many documents a prior counts for.
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 500.0
+#: Paths whose table is sent to every task; more than that are joined by a shuffle.
+MOST_SENT = 50_000
 #: Evidence of one document is held within this many nats, so that no single text decides a site.
 MOST_EVIDENCE = 12.0
 
@@ -89,63 +91,82 @@ def fit(features: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model |
     return Model(np.stack(rows["f"].to_numpy()), (rows["quality"].to_numpy() > 0).astype(float))
 
 
-def with_evidence(docs: DataFrame, model: Model | None, column: str, made: bool) -> DataFrame:
-    """``docs`` with ``evidence`` from a text column, or from a feature column if it is ``made`` already."""
+def with_evidence(docs: DataFrame, model: Model | None, column: str, made: bool, name: str) -> DataFrame:
+    """``docs`` with the evidence as column ``name``, from a text column, or from a feature column if it is ``made`` already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c = b.column(b.schema.get_field_index(column))
             f = (c if made else feature_column(c)).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
             ev = model.evidence(f) if model else np.zeros(len(f))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ev)], names=[*b.schema.names, "__evidence"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ev)], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias("__evidence")).schema)
+    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(name)).schema)
 
 
-def posteriors(spark: SparkSession, scored: DataFrame) -> DataFrame:
-    """``(host, path, prior)`` from ``scored(host, path, __evidence)``: the posterior mean share of good documents of every path.
+def moment(n: str, s: str) -> Column:
+    """Variance of a level's true means: that of the observed ones, weighted by their size, less what sampling gives.
 
-    Each document counts with its probability under the global mean.  A host's documents are shrunk
-    toward the global mean and a path's toward its host, each with a prior that counts for as many
-    documents as the moments of the level's means imply.
+    Groups of several documents count; p (1 - p) / (n - 1) estimates a group's sampling variance.
     """
-    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(sigmoid(F.col("__evidence"))).alias("s"))
-    paths, _ = cut(spark, paths)
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    row = hosts.agg(F.sum("hs"), F.sum("hn"), moment("hn", "hs")).first()
-    if not row[1]:
-        return paths.select("host", "path", F.lit(0.5).alias("prior"))
-    mean = min(max(row[0] / row[1], 0.01), 0.99)
-    hosts = hosts.withColumn("hp", (F.col("hs") + mean * strength(mean, row)) / (F.col("hn") + strength(mean, row)))
-    both = paths.join(hosts.select(F.col("host").alias("h"), "hp"), F.col("host").eqNullSafe(F.col("h")))
-    at = strength(mean, both.agg(F.sum("s"), F.sum("n"), moment("n", "s")).first())
-    return both.select("host", "path", ((F.col("s") + at * F.col("hp")) / (F.col("n") + at)).alias("prior"))
-
+    w = F.when(F.col(n) > 1, F.col(n))
+    p = F.col(s) / F.col(n)
+    observed = F.sum(w * p * p) / F.sum(w) - F.pow(F.sum(w * p) / F.sum(w), 2)
+    return observed - F.sum(w * p * (1 - p) / (F.col(n) - 1)) / F.sum(w)
 
-def moment(n: str, s: str) -> Column:
-    """Variance of a level's means, over its groups of several documents, weighted by their size."""
-    p, w = F.col(s) / F.col(n), F.when(F.col(n) > 1, F.col(n))
-    return F.sum(w * p * p) / F.sum(w) - F.pow(F.sum(w * p) / F.sum(w), 2)
 
-
-def strength(mean: float, row) -> float:
+def strength(mean: float, variance: float | None) -> float:
     """Documents that a beta prior of this mean and variance counts for."""
-    var = row[2] or 0.0
+    var = variance or 0.0
     return float(min(max(mean * (1 - mean) / var - 1 if var > 1e-9 else MOST_STRENGTH, LEAST_STRENGTH), MOST_STRENGTH))
 
 
-def site_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang") -> tuple[DataFrame, DataFrame, Model | None]:
-    """Every row's ``(key, host, path, __evidence)``, every path's posterior, and the classifier."""
+class Sites:
+    """What all documents say of their hosts and paths: a table of counts, the global mean and the strengths of the priors.
+
+    ``table(__host, __path, __n, __s, __hn, __hs)`` has a row a path: its documents, the sum of their
+    probabilities (each from its own evidence at even odds), and the same of its host.
+    """
+
+    def __init__(self, spark: SparkSession, scored: DataFrame):
+        paths = scored.groupBy(F.col("host").alias("__host"), F.col("path").alias("__path")).agg(F.count("*").alias("__n"), F.sum(sigmoid(F.col("evidence"))).alias("__s"))
+        paths, _ = cut(spark, paths)
+        hosts = paths.groupBy(F.col("__host").alias("__h")).agg(F.sum("__n").alias("__hn"), F.sum("__s").alias("__hs"))
+        total, n, spread = hosts.agg(F.sum("__hs"), F.sum("__hn"), moment("__hn", "__hs")).first()
+        self.mean = min(max(total / n, 0.01), 0.99) if n else 0.5
+        self.of_host = strength(self.mean, spread)
+        self.of_path = strength(self.mean, paths.agg(moment("__n", "__s")).first()[0])
+        self.table = paths.join(hosts, F.col("__host").eqNullSafe(F.col("__h"))).drop("__h")
+        # a table of this many rows of two names and four numbers is small; beyond that both sides are shuffled
+        if paths.count() <= MOST_SENT:
+            self.table = F.broadcast(self.table)
+
+    def prior(self, evidence: Column) -> Column:
+        """Probability of good text at a document's path before its own evidence, which is left out of both levels.
+
+        A host's other documents are shrunk toward the global mean, and a path's toward its host.
+        """
+        own = sigmoid(evidence)
+        host = (F.col("__hs") - own + self.mean * self.of_host) / (F.col("__hn") - 1 + self.of_host)
+        return (F.col("__s") - own + host * self.of_path) / (F.col("__n") - 1 + self.of_path)
+
+    def beside(self, df: DataFrame, host: Column, path: Column) -> DataFrame:
+        return df.join(self.table, host.eqNullSafe(F.col("__host")) & path.eqNullSafe(F.col("__path")))
+
+
+def site_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang") -> tuple[DataFrame, Sites, Model | None]:
+    """Every row's ``(key, host, path, evidence)``, what is known of the sites, and the classifier."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), feature_column(b.column(3))], names=["key", "host", "path", "f"])
 
-    made, _ = cut(spark, docs.select(F.col(key), F.col(host), F.col(path), F.col(text)).mapInArrow(run, f"key {kind}, host string, path string, f array<double>"))
+    some = docs.select(F.col(key).alias("key"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col(text).alias("text"))
+    made, _ = cut(spark, some.mapInArrow(run, f"key {kind}, host string, path string, f array<double>"))
     model = fit(made, labels, key)
-    scored = with_evidence(made, model, "f", True).drop("f")
-    return scored, posteriors(spark, scored), model
+    scored = with_evidence(made, model, "f", True, "evidence").drop("f")
+    return scored, Sites(spark, scored), model
 
 
 def combine(evidence: Column, prior: Column) -> Column:
@@ -156,20 +177,23 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, **columns:
     """``(key, host, path, evidence, prior, posterior, keep)`` of every row; keep: a posterior of half or more.
 
     Null and empty texts have the features of no text, and their evidence follows the labels of such
-    texts; null hosts and paths are sites of their own; without labels of both classes the evidence
-    is nil and all is kept; repeated rows stay; other columns are ignored; an empty table gives none.
+    texts; null hosts and paths are sites of their own, hosts and paths of any type are compared as
+    strings; without labels of both classes the evidence is nil; repeated rows stay and count each;
+    other columns are ignored; an empty table gives none.
     """
     scored, sites, _ = site_scores(spark, docs, labels, **columns)
-    sites = sites.select(F.col("host").alias("h"), F.col("path").alias("p"), "prior")
-    joined = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
-    out = joined.withColumn("posterior", combine(F.col("__evidence"), F.col("prior")))
-    return out.select("key", "host", "path", F.col("__evidence").alias("evidence"), "prior", "posterior", (F.col("posterior") >= 0.5).alias("keep"))
+    out = sites.beside(scored, F.col("host"), F.col("path")).withColumn("prior", sites.prior(F.col("evidence")))
+    out = out.withColumn("posterior", combine(F.col("evidence"), F.col("prior")))
+    return out.select("key", "host", "path", "evidence", "prior", "posterior", (F.col("posterior") >= 0.5).alias("keep"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that :func:`classify` keeps, unchanged.  Texts are scored again where they lie instead of being shuffled to their scores."""
+    """The rows of ``docs`` that :func:`classify` keeps, unchanged; its cases hold here as well.
+
+    Texts are scored again where they lie instead of being shuffled to their scores.  Columns of any
+    name stay, but for names that begin with two underscores.
+    """
     _, sites, model = site_scores(spark, docs, labels, key, text, host, path)
-    sites = sites.select(F.col("host").alias("__h"), F.col("path").alias("__p"), "prior")
-    fresh = with_evidence(docs, model, text, False)
-    joined = fresh.join(sites, F.col(host).eqNullSafe(F.col("__h")) & F.col(path).eqNullSafe(F.col("__p")))
-    return joined.where(combine(F.col("__evidence"), F.col("prior")) >= 0.5).select(docs.columns)
+    fresh = with_evidence(docs, model, text, False, "__evidence")
+    joined = sites.beside(fresh, F.col(host).cast("string"), F.col(path).cast("string"))
+    return joined.where(combine(F.col("__evidence"), sites.prior(F.col("__evidence"))) >= 0.5).select(docs.columns)

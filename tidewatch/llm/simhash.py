@@ -325,7 +325,7 @@ STAGE_PIVOTS = 4
 #: Sizes of alike sets: hundredths of a natural logarithm, rounded down, and how many of these make a cell.
 SIZE_STEPS, SIZE_CELL = 100, 400
 #: Texts and shingles that one side of a verification holds, about.
-TILE_TEXTS, TILE_SHINGLES = 1024, 1 << 20
+TILE_TEXTS, TILE_SHINGLES = 256, 1 << 20
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
