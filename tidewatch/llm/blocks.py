@@ -1,13 +1,16 @@
-"""Vectors packed into blocks: one row holds some thousand ids and their vectors as bytes."""
+"""Blocks: vectors packed so that one row holds some thousand ids and their vectors as bytes, and handfuls of texts."""
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 2048
+#: Documents, and bytes of text, that are handled together, about.
+DOCS_TOGETHER, BYTES_TOGETHER = 512, 1 << 22
 
 
 def matrix(column: pa.Array, dtype: str) -> np.ndarray:
@@ -52,3 +55,14 @@ def usable(vec: str = "vec", zero: bool = True) -> object:
 def one_each(df: DataFrame, id: str, vec: str, zero: bool = True) -> DataFrame:
     """``(id, vec)`` of the usable rows; an id that occurs more than once keeps its smallest vector, a null id takes no part."""
     return df.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vec).alias("vec")).where(usable("vec", zero)).groupBy("id").agg(F.min("vec").alias("vec"))
+
+
+def handfuls(b: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of bounded rows and, but for single texts that are longer, bounded text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < b.num_rows:
+        limit = (int(ends[at - 1]) if at else 0) + BYTES_TOGETHER
+        stop = min(max(int(np.searchsorted(ends, limit, side="right")), at + 1), at + DOCS_TOGETHER)
+        yield b.slice(at, stop - at)
+        at = stop

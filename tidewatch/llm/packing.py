@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tidewatch.llm.blocks import handfuls
+
 #: Costs in tokens of padding: a cut behind a sentence, one inside a sentence, and any sequence.
 SENTENCE_COST, INSIDE_COST, SEQUENCE_COST = 2, 12, 1
 #: No two places where a cut may fall are further apart than this many tokens.
@@ -27,8 +29,6 @@ GRID = 64
 STREAM = 1 << 19
 #: Bytes of a unit, tokens of a unit, and slots (a power of two) of the table of known units that a worker keeps.
 UNIT_BYTES, UNIT_TOKENS, SLOTS = 24, 10, 1 << 20
-#: Documents, and bytes of text, that are tokenized together, about.
-DOCS_TOGETHER, BYTES_TOGETHER = 512, 1 << 22
 
 #: Kinds of bytes: space, letter, digit, other signs, and bytes of units that the tokenizer itself must split.
 SPACE, LETTER, DIGIT, SIGN, HARD = range(5)
@@ -339,17 +339,6 @@ class Packer:
         return out
 
 
-def handfuls(b: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of bounded rows and, but for single texts that are longer, bounded text."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    at = 0
-    while at < b.num_rows:
-        limit = (int(ends[at - 1]) if at else 0) + BYTES_TOGETHER
-        stop = min(max(int(np.searchsorted(ends, limit, side="right")), at + 1), at + DOCS_TOGETHER)
-        yield b.slice(at, stop - at)
-        at = stop
-
-
 def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 1) -> DataFrame:
     """One row a piece: ``key, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 

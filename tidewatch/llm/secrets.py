@@ -1,35 +1,61 @@
-"""Secret scan: all rules in one deterministic automaton over bytes, scanned once."""
+"""Secret scan: all rules in one minimal deterministic automaton over bytes, read in one pass.
 
-import re
+The combined automaton tells which rules end a match at which bytes.  Of a text where a rule does,
+that rule's reversed automaton, read from the end, gives every byte at which a match starts, and its
+anchored automaton, read from such a byte, gives the longest match there.
+"""
+
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from re import IGNORECASE, _constants, _parser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.blocks import handfuls
+
 KINDS = ("assign", "access", "hex")
 Span = tuple[str, int, int]
 
-#: The scanner's rules as regular expressions over bytes.  The first three are the base kinds with
-#: their least lengths; the others are added by the method.
+ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]"
+#: The scanner's rules as regular expressions over bytes.  The first three are the base
+#: kinds, the others are added by the method: prefixes and frames that services publish for their keys.
 RULES = {
-    "assign": r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]{8}",
-    "access": r"AKIA[A-Z0-9]{12}",
-    "hex": r"[0-9a-f]{32}",
-
-    "github": r"gh[pousr]_[A-Za-z0-9]{6}",
+    "assign": ASSIGN + "+",
+    "access": r"AKIA[A-Z0-9]{12,}",
+    "hex": r"[0-9a-f]{32,}",
+    "github": r"gh[pousr]_[A-Za-z0-9]{6,}",
+    "github_fine": r"github_pat_[A-Za-z0-9_]{8,}",
+    "gitlab": r"glpat-[A-Za-z0-9_-]{8,}",
+    "slack": r"xox[abprs]-[A-Za-z0-9-]{8,}",
+    "stripe": r"[rs]k_(?:live|test)_[A-Za-z0-9]{8,}",
+    "google": r"AIza[A-Za-z0-9_-]{8,}",
+    "sendgrid": r"SG\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "npm": r"npm_[A-Za-z0-9]{8,}",
+    "pypi": r"pypi-AgEI[A-Za-z0-9_-]{8,}",
+    "jwt": r"eyJ[A-Za-z0-9_-]{6,}\.eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}",
+    "url_password": r"[a-z]{3,}://[A-Za-z0-9._-]+:[A-Za-z0-9._-]+@",
+    "azure": r"AccountKey=[A-Za-z0-9+/=]{8,}",
+    "shopify": r"shp(?:at|ca|pa|ss)_[0-9a-f]{8,}",
+    "digitalocean": r"do[opr]_v1_[0-9a-f]{8,}",
+    "vault": r"hvs\.[A-Za-z0-9_-]{8,}",
+    "databricks": r"dapi[0-9a-f]{8,}",
+    "linear": r"lin_api_[A-Za-z0-9]{8,}",
+    "planetscale": r"pscale_(?:tkn|pw)_[A-Za-z0-9_-]{8,}",
+    "doppler": r"dp\.pt\.[A-Za-z0-9]{8,}",
+    "huggingface": r"hf_[A-Za-z]{8,}",
+    "newrelic": r"NRAK-[A-Z0-9]{8,}",
+    "square": r"sq0(?:atp|csp)-[A-Za-z0-9_-]{8,}",
+    "postman": r"PMAK-[0-9a-f]{8,}",
+    "grafana": r"glsa_[A-Za-z0-9]{8,}",
     "private_key": r"-----BEGIN [A-Z]{0,10} ?PRIVATE KEY-----",
+    "pgp_key": r"-----BEGIN PGP PRIVATE KEY BLOCK-----",
 }
-#: What follows a rule's least match and still belongs to it.
-MORE = {"assign": "[A-Za-z0-9+/_.=-]*", "access": "[A-Z0-9]*", "hex": "[0-9a-f]*", "github": "[A-Za-z0-9]*", "private_key": ""}
-
-BASE = {
-    "assign": re.compile(r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)"),
-    "access": re.compile(r"AKIA[A-Z0-9]+"),
-    "hex": re.compile(r"[0-9a-f]+"),
-}
+#: A match of these rules counts only if this one matches it too: a short one is dropped without a retry.
+COUNTS = {"assign": ASSIGN + "{8,}"}
 
 
 # ---------------------------------------------------------------- from rules to arrays
@@ -79,9 +105,7 @@ class Nfa:
 
 def parse(pattern: str) -> tuple:
     """A rule's syntax tree, read from the standard library's own parser."""
-    from re import _constants as c
-    from re import _parser
-
+    c = _constants
     both = lambda i: frozenset({i} | ({ord(chr(i).swapcase())} if chr(i).isalpha() and fold[-1] else set()))
     fold = [False]
 
@@ -98,7 +122,7 @@ def parse(pattern: str) -> tuple:
             elif op is c.BRANCH:
                 out.append(("or", [walk(x) for x in arg[1]]))
             elif op is c.SUBPATTERN:
-                fold.append(fold[-1] or bool(arg[1] & re.IGNORECASE))
+                fold.append(fold[-1] or bool(arg[1] & IGNORECASE))
                 out.append(walk(arg[3]))
                 fold.pop()
             elif op is c.MAX_REPEAT:
@@ -110,22 +134,34 @@ def parse(pattern: str) -> tuple:
     return walk(_parser.parse(pattern))
 
 
+def backwards(node: tuple) -> tuple:
+    """The syntax tree of the reversed language."""
+    kind, *rest = node
+    if kind == "set":
+        return node
+    if kind == "times":
+        return (kind, backwards(rest[0]), *rest[1:])
+    parts = [backwards(x) for x in rest[0]]
+    return (kind, parts[::-1] if kind == "seq" else parts)
+
+
 class Automaton:
-    """The minimal deterministic automaton that finds every rule anywhere, as transition arrays.
+    """A minimal deterministic automaton of some rules as transition arrays.
 
-    ``step[state * width + byte class]`` is the next state; states from ``first_hit`` on end a
-    match, of the rules in the bits of ``hits``; ``resets`` are bytes behind which only the start
-    state can follow.
+    ``step[state * width + byte class]`` is the next state; the states from ``first_hit`` on end a
+    match, of the rules in the bits of ``hits``; the start is state 0.  A free automaton finds
+    matches that begin anywhere; an anchored one only those that begin where it starts, and from its
+    state ``dead`` there is no way to a match.
     """
 
-    def __init__(self, rules: dict[str, str]):
-        nfa, root = Nfa(), None
+    def __init__(self, trees: list[tuple], anchored: bool = False):
+        nfa = Nfa()
         root = nfa.state()
         ends = {}
-        for n, pattern in enumerate(rules.values()):
+        for n, tree in enumerate(trees):
             end = nfa.state()
             ends[end] = n
-            nfa.empty[root].append(nfa.build(parse(pattern), end))
+            nfa.empty[root].append(nfa.build(tree, end))
         # bytes that no rule tells apart share a class
         sets = sorted({m[0] for m in nfa.moves if m}, key=sorted)
         marks: dict[tuple[bool, ...], int] = {}
@@ -133,8 +169,8 @@ class Automaton:
         self.width = len(marks)
         sample = [int(np.flatnonzero(self.byte_class == k)[0]) for k in range(self.width)]
 
-        def closure(states: set[int]) -> frozenset[int]:
-            todo, seen = list(states), set(states)
+        def closure(state: int) -> frozenset[int]:
+            todo, seen = [state], {state}
             while todo:
                 for t in nfa.empty[todo.pop()]:
                     if t not in seen:
@@ -142,14 +178,18 @@ class Automaton:
                         todo.append(t)
             return frozenset(s for s in seen if nfa.moves[s] or s in ends)
 
-        # subset construction; the start is in every subset, since a match may begin anywhere
-        start = closure({root})
+        reach = {m[1]: closure(m[1]) for m in nfa.moves if m}
+        moves = [[reach[m[1]] if m and byte in m[0] else None for byte in sample] for m in nfa.moves]
+        # subset construction; a free automaton has the start in every subset, since a match may begin anywhere
+        start = closure(root)
+        again = frozenset() if anchored else start
         index, table, accept, todo = {start: 0}, [], [], [start]
         for now in todo:
             accept.append(sum(1 << ends[s] for s in now if s in ends))
+            rows = [moves[s] for s in now]
             row = []
-            for byte in sample:
-                nxt = closure({root} | {nfa.moves[s][1] for s in now if nfa.moves[s] and byte in nfa.moves[s][0]})
+            for k in range(self.width):
+                nxt = again.union(*[x for r in rows if (x := r[k]) is not None])
                 if nxt not in index:
                     index[nxt] = len(index)
                     todo.append(nxt)
@@ -159,8 +199,10 @@ class Automaton:
         # minimisation: classes of states are refined until all members of one go to the same classes
         _, part = np.unique(hits, return_inverse=True)
         while True:
-            _, finer = np.unique(np.column_stack([part, part[step]]), axis=0, return_inverse=True)
-            finer = finer.ravel()
+            h = part.astype(np.uint64)
+            for k in range(self.width):
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + part[step[:, k]].astype(np.uint64)
+            _, finer = np.unique(h, return_inverse=True)
             if finer.max() == part.max():
                 break
             part = finer
@@ -172,94 +214,129 @@ class Automaton:
         self.hits = hits[one[order]]
         self.step = name[part[step[one[order]]]].astype(np.int32).ravel()
         self.first_hit = int((self.hits == 0).sum())
-        to_start = (self.step.reshape(n, self.width) == 0).all(axis=0)
-        self.resets = to_start[self.byte_class]
+        alone = (self.step.reshape(n, self.width) == np.arange(n)[:, None]).all(axis=1) & (self.hits == 0)
+        self.dead = int(np.flatnonzero(alone)[0]) if alone.any() else -1
 
-    def scan(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of bytes that end a match, and which rules' bits; one pass, many stretches side by side.
+    def states(self, data: np.ndarray) -> np.ndarray:
+        """The state behind every byte: one pass in which stretches of equal length move on side by side.
 
-        The bytes are cut behind reset bytes into stretches of about equal length, all of which begin
-        in the start state, and every step moves all stretches on by a byte.
+        All stretches but the first begin with a guess, the start.  Where the state before a stretch is
+        another one, the stretch is read again from there until it meets what the guess led to; a
+        stretch whose end changes by this lets the next be read again.
         """
+        n = len(data)
+        long = max(64, int(np.sqrt(n) / 2))
+        count = -(-n // long)
+        cls = np.zeros(count * long, np.int64)
+        cls[:n] = self.byte_class[data]
+        cls = np.ascontiguousarray(cls.reshape(count, long).T)
+        out = np.empty((long, count), np.int32)
+        state = np.zeros(count, np.int64)
+        for t in range(long):
+            state = self.step[state * self.width + cls[t]]
+            out[t] = state
+        wrong = np.flatnonzero(out[-1, :-1] != 0) + 1
+        while len(wrong):
+            at, state = wrong, out[-1, wrong - 1].astype(np.int64)
+            last = out[-1, at].copy()
+            for t in range(long):
+                state = self.step[state * self.width + cls[t, at]]
+                differ = state != out[t, at]
+                if not differ.all():
+                    at, state = at[differ], state[differ]
+                    if not len(at):
+                        break
+                out[t, at] = state
+            moved = wrong[out[-1, wrong] != last] + 1
+            wrong = moved[moved < count]
+        return out.T.ravel()[:n]
+
+    def scan(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of bytes behind which a match ends, and which rules' bits."""
         if not len(data):
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        cls = self.byte_class[data]
-        want = max(256, int(np.sqrt(len(data)) / 2))
-        marks = np.flatnonzero(self.resets[data]) + 1
-        wish = np.arange(want, len(data), want)
-        at = np.searchsorted(marks, wish)
-        starts = np.unique(np.concatenate([[0], marks[at[at < len(marks)]]]))
-        starts = starts[starts < len(data)]
-        size = np.diff(np.append(starts, len(data)))
-        order = np.argsort(-size, kind="stable")
-        starts, size = starts[order], size[order]
-        alive = np.searchsorted(-size, -np.arange(size[0]), side="left")
-        state = np.zeros(len(starts), np.int32)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for t in range(int(size[0])):
-            n = int(alive[t])
-            state = self.step[state[:n] * self.width + cls[starts[:n] + t]]
-            hit = np.flatnonzero(state >= self.first_hit)
-            if len(hit):
-                found.append((starts[hit] + t, self.hits[state[hit]]))
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate([p for p, _ in found]), np.concatenate([h for _, h in found])
+        states = self.states(data)
+        at = np.flatnonzero(states >= self.first_hit)
+        return at, self.hits[states[at]]
+
+    def longest(self, data: bytes, start: int) -> int:
+        """The end of the longest match that begins at ``start``; -1 if there is none."""
+        step, cls, width, first, dead = self.lists()
+        state, end = 0, -1
+        for at in range(start, len(data)):
+            state = step[state * width + cls[data[at]]]
+            if state >= first:
+                end = at + 1
+            elif state == dead:
+                break
+        return end
+
+    def lists(self) -> tuple:
+        if not hasattr(self, "kept"):
+            self.kept = self.step.tolist(), self.byte_class.tolist(), self.width, self.first_hit, self.dead
+        return self.kept
+
+
+class Scanner:
+    """The combined automaton of some rules, and each rule's reversed and anchored one."""
+
+    def __init__(self, rules: dict[str, str], counts: dict[str, str]):
+        trees = {k: parse(p) for k, p in rules.items()}
+        self.names = list(rules)
+        self.all = Automaton(list(trees.values()))
+        self.back = [Automaton([backwards(t)]) for t in trees.values()]
+        self.whole = [Automaton([t], anchored=True) for t in trees.values()]
+        self.counts = {rules_name: Automaton([parse(p)], anchored=True) for rules_name, p in counts.items()}
+
+    def matches(self, data: bytes, rule: int) -> list[tuple[int, int]]:
+        """A rule's leftmost longest non-overlapping matches in a text's bytes; those that do not count are dropped without a retry."""
+        found, _ = self.back[rule].scan(np.frombuffer(data, np.uint8)[::-1])
+        starts = (len(data) - 1 - found)[::-1].tolist()
+        least = self.counts.get(self.names[rule])
+        out, i = [], 0
+        while i < len(starts):
+            a = starts[i]
+            b = self.whole[rule].longest(data, a)
+            if least is None or least.longest(data, a) == b:
+                out.append((a, b))
+            i = bisect_left(starts, b, i)
+        return out
 
 
 @lru_cache(1)
-def automaton() -> Automaton:
-    return Automaton(RULES)
+def scanner() -> Scanner:
+    return Scanner(RULES, COUNTS)
 
 
 # ---------------------------------------------------------------- spans
 
 
-def base_spans(text: str, kinds: set[str]) -> list[Span]:
-    """The base kinds' leftmost non-overlapping matches; those too short are dropped without a retry."""
-    out: list[Span] = []
-    if "assign" in kinds:
-        out += [("assign", m.start(), m.end()) for m in BASE["assign"].finditer(text) if m.end(1) - m.start(1) >= 8]
-    if "access" in kinds:
-        out += [("access", m.start(), m.end()) for m in BASE["access"].finditer(text) if m.end() - m.start() >= 16]
-    if "hex" in kinds:
-        out += [("hex", m.start(), m.end()) for m in BASE["hex"].finditer(text) if m.end() - m.start() >= 32]
-    return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
-
-
-@lru_cache(1)
-def whole_rules() -> dict[str, re.Pattern]:
-    return {k: re.compile(p + MORE[k]) for k, p in RULES.items()}
-
-
-def scan_texts(texts: list[str | None], machine: Automaton | None = None) -> list[tuple[list[Span], list[Span]]]:
-    """Base spans and added spans of each text.
-
-    The automaton reads all texts in one pass.  A base match that is long enough ends a match of the
-    automaton's rule, so texts and kinds that it passes over have none; where it stops, the spans'
-    extents follow.  Added spans are matches of any rule that overlap no base span.
-    """
+def scan_texts(texts: list[str | None], machine: Scanner | None = None) -> list[tuple[list[Span], list[Span]]]:
+    """Base spans and added spans of each text; added ones overlap neither a base span nor each other, earlier rules first."""
+    machine = machine or scanner()
     raw = [(t or "").encode() for t in texts]
-    data = np.frombuffer(b"\n".join(raw), np.uint8)
-    where, hits = (machine or automaton()).scan(data)
+    where, hits = machine.all.scan(np.frombuffer(b"\0".join(raw), np.uint8))
     stops = np.cumsum([len(r) + 1 for r in raw])
-    which: dict[int, int] = {}
-    for i, h in zip(np.searchsorted(stops, where, side="right").tolist(), hits.tolist(), strict=True):
-        which[i] = which.get(i, 0) | h
+    text = np.searchsorted(stops, where, side="right")
     out: list[tuple[list[Span], list[Span]]] = [([], [])] * len(texts)
-    for i, bits in which.items():
-        kinds = {k for n, k in enumerate(RULES) if bits >> n & 1}
-        base = base_spans(texts[i], kinds)
-        added: list[Span] = []
-        taken = bytearray(len(texts[i]))
-        for _, a, b in base:
-            taken[a:b] = b"\1" * (b - a)
-        for k in sorted(kinds, key=list(RULES).index):
-            for m in whole_rules()[k].finditer(texts[i]):
-                if 1 not in taken[m.start() : m.end()]:
-                    taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
-                    added.append((k, m.start(), m.end()))
-        out[i] = base, sorted(added, key=lambda s: s[1])
+    if not len(text):
+        return out
+    new = np.flatnonzero(np.diff(text, prepend=-1))
+    for i, bits in zip(text[new].tolist(), np.bitwise_or.reduceat(hits, new).tolist(), strict=True):
+        data = raw[i]
+        point = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) if not data.isascii() else None
+        place = (lambda a: a) if point is None else lambda a, p=point: int(p[a - 1]) if a else 0
+        taken = bytearray(len(data))
+        spans: tuple[list[Span], list[Span]] = ([], [])
+        for n, kind in enumerate(machine.names):
+            if not bits >> n & 1:
+                continue
+            base = kind in KINDS
+            for a, b in machine.matches(data, n):
+                if base or 1 not in taken[a:b]:
+                    taken[a:b] = b"\1" * (b - a)
+                    spans[not base].append((kind, place(a), place(b)))
+        out[i] = sorted(spans[0], key=lambda s: (s[1], KINDS.index(s[0]))), sorted(spans[1], key=lambda s: s[1])
     return out
 
 
@@ -272,15 +349,14 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     Null text is empty and has no spans; texts are read whole, at any length; repeated rows and null
     keys stay as they are; other columns are ignored; an empty table gives none.  No shuffle.
     """
-    machine = automaton()  # compiled once, sent to the tasks: a few thousand states, set by the rules alone
+    machine = docs.sparkSession.sparkContext.broadcast(scanner())  # compiled once; a few thousand states, set by the rules alone
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         put = lambda ss: [{"kind": k, "start": a, "end": b} for k, a, b in ss]
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                b = whole.slice(at, 2048)
-                got = scan_texts(b.column(1).to_pylist(), machine)
+            for b in handfuls(whole):
+                got = scan_texts(b.column(1).to_pylist(), machine.value)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([put(x) for x, _ in got], kind), pa.array([put(y) for _, y in got], kind)], names=["key", "base", "added"])
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, base array<{SPAN_TYPE}>, added array<{SPAN_TYPE}>")
