@@ -1,6 +1,8 @@
 """Operators against the libraries, brute force and round trips, with nulls, empty, repeated and clashing columns."""
 
 import hashlib
+import random
+import re
 import zlib
 
 import corpus_pipeline
@@ -247,13 +249,53 @@ def test_nearest_recall(spark):
     assert len(got & want) >= 0.9 * len(want) and len(got) == len(want)
 
 
+def plain_secrets(text):
+    """Base and added spans by the regular expressions themselves."""
+    base = []
+    for kind, rule, fine in (
+        ("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 8),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
+        ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 32),
+    ):
+        base += [(kind, *m.span()) for m in re.finditer(rule, text) if fine(m)]
+    taken = {i for _, a, b in base for i in range(a, b)}
+    added = []
+    for kind, rule in secrets.RULES.items():
+        if kind not in secrets.KINDS:
+            for a, b in (m.span() for m in re.finditer(rule, text)):
+                if not taken & set(range(a, b)):
+                    added.append((kind, a, b))
+                    taken |= set(range(a, b))
+    return sorted(base, key=lambda s: (s[1], secrets.KINDS.index(s[0]))), sorted(added, key=lambda s: s[1])
+
+
 def test_secrets(docs, empty):
-    for text, (base, _) in zip(TEXTS, secrets.scan_texts(TEXTS), strict=True):
-        assert base == secrets.base_spans(text or "", set(secrets.KINDS))
+    for text, got in zip(TEXTS, secrets.scan_texts(TEXTS), strict=True):
+        assert got == plain_secrets(text or "")
     assert [s[0] for s in secrets.scan_texts(TEXTS)[8][0]] == ["assign", "access", "hex"]
     assert secrets.find_secrets(empty).count() == 0 and secrets.find_secrets(docs).count() == 14
 
 
+def test_secrets_against_plain_regular_expressions():
+    """Random texts made of the rules' own pieces, many in one pass, and a long one without a break."""
+    rng = random.Random(5)
+    pieces = ["password", "Api_Key", "secret", "token", '"', "'", " ", "  ", ":", "=", "AKIA", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "sk_live_", "rk_test_", "AIza", "SG.", ".", "npm_"]
+    pieces += ["pypi-AgEI", "eyJ", "https://", "ssh://", "@", "AccountKey=", "shpat_", "dor_v1_", "hvs.", "dapi", "lin_api_", "pscale_pw_", "dp.pt.", "hf_", "NRAK-", "sq0atp-", "PMAK-", "glsa_"]
+    pieces += ["-----BEGIN ", "RSA ", "PRIVATE KEY-----", "PGP PRIVATE KEY BLOCK-----", "-", "_", "é", "日本", "\n", "\0", "word", "0123456789abcdef", "ABCDEF123456", "q"]
+    pieces += ["eyJabcdef.eyJabcdef.abcdef", "mysql://user:pw@", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----"]
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJ0123456789", "abcxyzABC019", "Az09_-"]
+
+    def one():
+        return "".join(rng.choice(pieces) if rng.random() < 0.6 else "".join(rng.choices(rng.choice(alphabets), k=rng.choice((1, 5, 8, 12, 31, 32, 40)))) for _ in range(rng.randrange(14)))
+
+    texts = [one() for _ in range(6000)]
+    got = secrets.scan_texts(texts)
+    assert got == [plain_secrets(t) for t in texts]
+    assert {k for _, added in got for k, _, _ in added} == set(secrets.RULES) - set(secrets.KINDS)
+    for long in ("plain words in one line " * 20000, "".join(texts), "0" * 100000, "password " + " " * 20000 + ": abcdefgh"):
+        assert secrets.scan_texts([long, None, ""]) == [plain_secrets(long), ([], []), ([], [])]
+
+
 def test_sentencepiece(docs, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     lib = sentencepiece.SentencePieceProcessor(model_file=path)

@@ -1,8 +1,10 @@
 """Secret scan: all rules in one minimal deterministic automaton over bytes, read in one pass.
 
-The combined automaton tells which rules end a match at which bytes.  Of a text where a rule does,
-that rule's reversed automaton, read from the end, gives every byte at which a match starts, and its
-anchored automaton, read from such a byte, gives the longest match there.
+The combined automaton holds every rule up to its first open repetition (with whole rules, every set
+of rules that go on side by side would be a state of its own): it tells behind which bytes a rule's
+match may go on.  Of a text where one does, that rule's reversed automaton, read
+from the end, gives every byte at which a whole match starts, and its anchored automaton, read from
+such a byte, gives the longest match there.
 """
 
 from bisect import bisect_left
@@ -37,7 +39,7 @@ RULES = {
     "npm": r"npm_[A-Za-z0-9]{8,}",
     "pypi": r"pypi-AgEI[A-Za-z0-9_-]{8,}",
     "jwt": r"eyJ[A-Za-z0-9_-]{6,}\.eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}",
-    "url_password": r"[a-z]{3,}://[A-Za-z0-9._-]+:[A-Za-z0-9._-]+@",
+    "url_password": r"(?:https?|ftp|ssh|postgres|postgresql|mysql|redis|mongodb|amqp)://[A-Za-z0-9._-]+:[A-Za-z0-9._-]+@",
     "azure": r"AccountKey=[A-Za-z0-9+/=]{8,}",
     "shopify": r"shp(?:at|ca|pa|ss)_[0-9a-f]{8,}",
     "digitalocean": r"do[opr]_v1_[0-9a-f]{8,}",
@@ -145,6 +147,23 @@ def backwards(node: tuple) -> tuple:
     return (kind, parts[::-1] if kind == "seq" else parts)
 
 
+def opening(node: tuple) -> tuple:
+    """The rule up to its first repetition without a bound and with a least count.
+
+    Of that repetition it holds one turn, or the least count if the rule begins with it.  Every match
+    begins with a match of the opening, so no match is passed over where openings are looked for first.
+    """
+    kind, *rest = node
+    assert kind == "seq"
+    parts: list[tuple] = []
+    for part in rest[0]:
+        if part[0] == "times" and part[3] is None and part[2]:
+            least = 1 if parts else part[2]
+            return ("seq", [*parts, ("times", part[1], least, least)])
+        parts.append(part)
+    return ("seq", parts)
+
+
 class Automaton:
     """A minimal deterministic automaton of some rules as transition arrays.
 
@@ -278,12 +297,12 @@ class Automaton:
 
 
 class Scanner:
-    """The combined automaton of some rules, and each rule's reversed and anchored one."""
+    """The combined automaton of some rules' openings, and each rule's reversed and anchored one."""
 
     def __init__(self, rules: dict[str, str], counts: dict[str, str]):
         trees = {k: parse(p) for k, p in rules.items()}
         self.names = list(rules)
-        self.all = Automaton(list(trees.values()))
+        self.all = Automaton([opening(t) for t in trees.values()])
         self.back = [Automaton([backwards(t)]) for t in trees.values()]
         self.whole = [Automaton([t], anchored=True) for t in trees.values()]
         self.counts = {rules_name: Automaton([parse(p)], anchored=True) for rules_name, p in counts.items()}
