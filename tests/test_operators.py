@@ -102,3 +102,27 @@ def test_entry_and_registry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 3
+
+
+def test_adaptive_guard_by_hand():
+    """An early alarm takes the level to (almost) 0; it then gains 0.022 with each quiet score."""
+    seen = [100.0] + [10.0] * 9 + [50.0]
+
+    def thresholds(**options):
+        g = guard.Guard(list(range(20)), "aci", alpha=0.1, window=20, gamma=0.22, **options)
+        return [g.see(t, x)[3:6] for t, x in enumerate(seen)]
+
+    got = thresholds()
+    assert [f for _, f, _ in got] == [True] + [False] * 10
+    # calibration scores of rank ceil(21 (1 - level)), 20 at most; from ten scores on the buffer's of rank ceil(11 (1 - 0.176)) = 10
+    assert np.allclose([x for x, _, _ in got], [18, 19, 19, 19, 19, 19, 18, 18, 17, 17, 100])
+    # in drift the calibration scores decide again, at the level of 0.198 by then
+    drift = thresholds(drift_sigma=1.0)
+    assert [d for _, _, d in drift] == [False] * 9 + [True] * 2 and np.isclose(drift[-1][0], 16) and drift[-1][1]
+    assert np.isclose(guard.Guard(list(range(20)), "aci", alpha=0.4, n_tests=4).see(0, 1.0)[3], 18)
+
+
+def test_guard_refuses_scores_without_value():
+    for bad in (float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="finite"):
+            guard.Guard([1.0, 2.0, 3.0], "rolling").see(0, bad)

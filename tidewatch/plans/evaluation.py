@@ -134,8 +134,8 @@ def _(spark, sf):
 
 # ------------------------------------------------------------------ J: the first 30 steps calibrate
 
-CAL = ", cal as (select *, row_number() over (partition by entity, view order by s) as rk, count(*) over (partition by entity, view) as n from fx_scores where t < 30), tst as (select * from fx_scores where t >= 30)"
-CT = ", ct as (select entity, view, n as n_cal, s as thr from cal where rk = greatest(1, least(ceil((cast(n as double) + 1) * (1 - cast(0.1 as double))), n)))"
+CAL = ", cal as materialized (select *, row_number() over (partition by entity, view order by s) as rk, count(*) over (partition by entity, view) as n from fx_scores where t < 30), tst as (select * from fx_scores where t >= 30)"
+CT = ", ct as materialized (select entity, view, n as n_cal, s as thr from cal where rk = greatest(1, least(ceil((cast(n as double) + 1) * (1 - cast(0.1 as double))), n)))"
 
 
 def parts(spark, sf):

@@ -1,7 +1,7 @@
 """Online conformal guards: one state machine, run over whole tables or as Structured Streaming state.
 
 Scores of an entity are taken in order of ``t``; within a micro-batch they are sorted, and a row whose
-``t`` is not beyond the last one seen is dropped.
+``t`` is not beyond the last one seen is dropped.  A null ``t``, or a score that is null or not finite, is an error.
 """
 
 import json
@@ -23,40 +23,48 @@ def order_statistic(xs: np.ndarray, alpha: float) -> float:
 
 
 class Guard:
-    """``mode``: fixed, rolling (buffer of quiet scores, plain scale) or aci (buffer of all, z-scale, adaptive alpha)."""
+    """``mode``: fixed, rolling (buffer of quiet scores, plain scale) or aci (buffer of all, z-scale, adaptive alpha).
 
-    def __init__(self, cal: list[float], mode: str, alpha: float = 0.05, window: int = 100, drift_sigma: float = 3.0, gamma: float = 0.01, state: str | None = None):
+    The level is shared between ``n_tests`` (Bonferroni).  Until the buffer is filled, and in drift, the
+    threshold is that of the calibration scores at the present level.
+    """
+
+    def __init__(self, cal: list[float], mode: str, alpha: float = 0.05, window: int = 100, drift_sigma: float = 3.0, gamma: float = 0.01, n_tests: int = 1, state: str | None = None):
         self.cal = np.sort(np.asarray(cal, float))
-        self.mode, self.alpha, self.window, self.drift_sigma, self.gamma = mode, alpha, window, drift_sigma, gamma
+        self.mode, self.alpha, self.window, self.drift_sigma, self.gamma, self.n_tests = mode, alpha, window, drift_sigma, gamma, n_tests
         self.mu, self.sd = float(self.cal.mean()), float(self.cal.std())
         if mode == "aci":
             self.cal = (self.cal - self.mu) / (self.sd + 1e-10)
-        self.fixed = order_statistic(self.cal, alpha)
         s = json.loads(state) if state else {"buffer": [], "rolling": None, "drift": False, "a": alpha, "alarms": 0, "seen": 0, "last": None}
         self.s = s
 
     def state(self) -> str:
         return json.dumps(self.s)
 
+    def level(self) -> float:
+        return min(1 - 1e-10, max(1e-10, self.s["a"] / self.n_tests))
+
     def see(self, t: int, raw: float) -> tuple | None:
         s = self.s
+        if not math.isfinite(raw):
+            raise ValueError(f"a score must be finite, not {raw} (t = {t})")
         if s["last"] is not None and t <= s["last"]:
             return None
         s["last"] = t
         x = (raw - self.mu) / (self.sd + 1e-10) if self.mode == "aci" else raw
         p = (1 + len(self.cal) - int(np.searchsorted(self.cal, x, side="left"))) / (len(self.cal) + 1)
-        use = s["rolling"] if self.mode != "fixed" and s["rolling"] is not None and not s["drift"] else self.fixed
+        use = s["rolling"] if self.mode != "fixed" and s["rolling"] is not None and not s["drift"] else order_statistic(self.cal, self.level())
         flag = x > use
-        if self.mode == "aci":
-            s["a"] = min(1 - 1e-10, max(1e-10, s["a"] + self.gamma * (self.alpha - flag)))
-        if self.mode == "aci" or (self.mode == "rolling" and not flag):
+        if self.window > 0 and (self.mode == "aci" or (self.mode == "rolling" and not flag)):
             s["buffer"] = [*s["buffer"], x][-self.window :]
             if len(s["buffer"]) >= max(10, self.window // 10):
                 b = np.sort(s["buffer"])
-                s["rolling"] = order_statistic(b, s["a"])
+                s["rolling"] = order_statistic(b, self.level())
                 mean = float(b.mean())
                 off = abs(mean) if self.mode == "aci" else abs(mean - self.mu) / max(self.sd, 1e-10)
                 s["drift"] = off > self.drift_sigma
+        if self.mode == "aci":  # last: this score's error counts from the next one on
+            s["a"] = min(1 - 1e-10, max(1e-10, s["a"] + self.gamma * (self.alpha - flag)))
         s["alarms"] += int(flag)
         s["seen"] += 1
         shown = use * (self.sd + 1e-10) + self.mu if self.mode == "aci" else use
@@ -73,6 +81,8 @@ def with_calibration(stream: DataFrame, cal: DataFrame, key: str) -> DataFrame:
 
 
 def rows_of(guard: Guard, pdf: pd.DataFrame, key: str, value: object) -> pd.DataFrame:
+    if pdf["t"].isna().any():
+        raise ValueError("a score without t has no place in the order")
     got = [r for t, s in zip(pdf["t"], pdf["s"], strict=True) if (r := guard.see(int(t), float(s))) is not None]
     out = pd.DataFrame(got, columns=[c.split()[0] for c in OUT.split(", ")])
     out.insert(0, key, value)
