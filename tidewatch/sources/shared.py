@@ -7,9 +7,12 @@ from pyspark.sql import SparkSession
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A path not used yet below ``spark.checkpoint.dir``; below a temporary folder only where that is unset."""
+    """A path not used yet below ``spark.checkpoint.dir``; below a temporary folder only where that is unset and all tasks run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/s{uuid.uuid4().hex}"
