@@ -9,17 +9,17 @@ from tidewatch.plans.registry import query
 E = ["entity"]
 EW = ["entity", "w"]
 
-#: Windows of 8 steps every 24, for the pairwise queries.
-CELLS = ", cells as materialized (select entity, t // 24 as w, cast(t % 24 as bigint) as i, ch, v from fx_long where t % 24 < 8 and t // 24 < 20)"
-FRAMES = ", fr as materialized (select entity, t // 24 as w, cast(t % 24 as bigint) as i, [x0 / 1000, x3] as x from fx_daily where t % 24 < 8 and t // 24 < 20)"
+#: Windows of 8 steps, for the pairwise queries.
+CELLS = ", cells as materialized (select entity, t // 8 as w, cast(t % 8 as bigint) as i, ch, v from fx_long)"
+FRAMES = ", fr as materialized (select entity, t // 8 as w, cast(t % 8 as bigint) as i, [x0 / 1000, x3] as x from fx_daily)"
 
 
 def cells(spark, sf):
-    return fx.daily_long(spark, sf).where("t % 24 < 8 and t < 480").select("entity", F.floor(F.col("t") / 24).alias("w"), (F.col("t") % 24).alias("i"), "ch", "v")
+    return fx.daily_long(spark, sf).select("entity", F.floor(F.col("t") / 8).alias("w"), (F.col("t") % 8).alias("i"), "ch", "v")
 
 
 def frames(spark, sf):
-    return fx.daily(spark, sf).where("t % 24 < 8 and t < 480").select("entity", F.floor(F.col("t") / 24).alias("w"), (F.col("t") % 24).alias("i"), F.array(F.col("x0") / 1000, "x3").alias("x"))
+    return fx.daily(spark, sf).select("entity", F.floor(F.col("t") / 8).alias("w"), (F.col("t") % 8).alias("i"), F.array(F.col("x0") / 1000, "x3").alias("x"))
 
 
 def gaf(f: str) -> str:
