@@ -187,6 +187,9 @@ class WordTokens:
             h ^= h >> np.uint64(29)
         slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
         short = size <= UNIT_BYTES
+        nul = np.flatnonzero(data == 0)  # zeros stand behind units in the table: a unit that holds one has no place there
+        if len(nul):
+            short[np.searchsorted(starts, nul, side="right") - 1] = False
         known = (self.lanes[slot] == lanes).all(axis=1) & short
         tokens, count = self.tokens[slot], self.counts[slot]
         late: list[tuple[int, np.ndarray]] = []  # rows of units that have no place in the table, and their ids
