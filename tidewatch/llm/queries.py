@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import ann, chat, license, packing, pii, quality, secrets, simhash, spm, topk
+from tidewatch.llm import ann, chat, counts, license, packing, phrases, pii, pq, quality, secrets, simhash, spm, topk
+from tidewatch.llm.scratch import cut
+from tidewatch.llm.spread import join_spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,9 +94,49 @@ def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan_licenses(spark, table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts through a cache that is empty at first: every distinct text is a miss, every copy a hit."""
+    out = counts.count_tokens(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select(F.col("key").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, book = pq.fit_codes(spark, table(spark, sf_dir, "embeddings"))
+    codes, _ = cut(spark, codes)
+    by_label = codes.groupBy("label").agg(F.sum("error").alias("label_error"))
+    out = join_spread(spark, codes, by_label, ["label"])
+    return out.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(pq.book_digest(book)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_simhash, op3_pii, op4_packing, op5_exact_topk, op6_secrets, op7_ann, op8_sentencepiece, op9_quality, op10_license)
-}
+    f.__name__: f
+    for f in (
+        op1_chat_format, op2_simhash, op3_pii, op4_packing, op5_exact_topk, op6_secrets, op7_ann, op8_sentencepiece, op9_quality, op10_license,
+        op11_collocations, op12_token_counts, op13_vector_codes,
+    )
+}
+
+
+def rounds_sql(rounds: int) -> str:
+    """Each round's codes (nearest entry, ties to the lower index) and codebooks, by part position ``p``, entry ``e`` and component ``w``."""
+    near = """
+        a{n} as materialized (
+            select vec_id, p, arg_min(e, (d, e)) as e, min(d) as d from (
+                select x.vec_id, x.p, c.e, cast(list_sum([(y[1] - y[2]) * (y[1] - y[2]) for y in list_zip(x.w, c.w)]) as bigint) as d from x join c{n} c using (p))
+            group by vec_id, p)"""
+    move = """,
+        c{m} as materialized (
+            select c.p, c.e, coalesce(s.w, c.w) as w from c{n} c left join (
+                select p, e, list(v order by i) as w from (
+                    select p, e, i, cast((s - ((s % n) + n) % n) // n as bigint) as v from (
+                        select x.p, a.e, t.i, sum(x.w[t.i]) as s, count(*) as n from x join a{n} a using (vec_id, p), range(1, len(x.w) + 1) t(i) group by all))
+                group by p, e) s using (p, e)),"""
+    return "".join(near.format(n=n) + (move.format(n=n, m=n + 1) if n < rounds else "") for n in range(rounds + 1))
+
 
 #: Where SQL states the result: op1's digests (its template's own length among them) and op5's exact answer.
 ORACLE_SQL: dict[str, str] = {
@@ -127,4 +169,54 @@ ORACLE_SQL: dict[str, str] = {
             select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
         ) where rank <= 20
     """,
+    "op11_collocations": r"""
+        with pieces as (
+            select coalesce(lang, 'und') as lang, row_number() over () as piece, p from (
+                select lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p
+                from documents)
+        ),
+        ws as (
+            select lang, w as w1, lead(w, 1) over (partition by piece order by i) as w2, lead(w, 2) over (partition by piece order by i) as w3
+            from (select lang, piece, unnest(ws) as w, generate_subscripts(ws, 1) as i
+                  from (select lang, piece, [w for w in regexp_split_to_array(p, '[\x20\x09]') if w <> ''] as ws from pieces))
+        ),
+        f as materialized (
+            select lang, 1 as m, w1 as phrase, count(*) as f from ws group by all union all
+            select lang, 2, w1 || ' ' || w2, count(*) from ws where w2 is not null group by all union all
+            select lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) from ws where w3 is not null group by all
+        ),
+        total as (select lang, sum(f) as n from f where m = 1 group by lang),
+        cand as materialized (select lang, m, phrase, f as a, string_split(phrase, ' ') as ws from f where m > 1 and f >= 10),
+        cuts as (
+            select lang, phrase, a, k, array_to_string(ws[1 : k], ' ') as head, array_to_string(ws[k + 1 : m], ' ') as tail
+            from cand, range(1, 3) t(k) where k < m
+        ),
+        scored as (
+            select c.lang, c.phrase, c.a, k, l.f as l, r.f as r, (1000000 * cast(a as hugeint) * a) // (cast(l.f as hugeint) * r.f) as score
+            from cuts c join f l on l.lang = c.lang and l.phrase = c.head join f r on r.lang = c.lang and r.phrase = c.tail
+        ),
+        lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+        inside as (
+            select lang, phrase, max(a) as most from (
+                select lang, unnest([array_to_string(ws[1 : 2], ' '), array_to_string(ws[2 : 3], ' ')]) as phrase, a from cand where m = 3)
+            group by lang, phrase
+        ),
+        kept as (select x.* from lowest x left join inside i using (lang, phrase) where i.most is null or 100 * i.most < 50 * x.a)
+        select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank, phrase, cast(a as bigint) as a,
+               cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score
+        from kept join total using (lang) qualify rank <= 2000
+    """,
+    "op13_vector_codes": f"""
+        with v as materialized (
+            select vec_id, label, [cast(floor(4096 * cast(x as double)) as bigint) for x in embedding] as w from embeddings
+            where embedding is not null and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0
+        ),
+        x as materialized (select vec_id, cast(p as int) as p, w[p * (len(w) // 8) + 1 : (p + 1) * (len(w) // 8)] as w from v, range(0, 8) t(p)),
+        first as (select vec_id, row_number() over (order by vec_id) - 1 as e from v qualify e < 16),
+        c0 as (select p, e, w from first join x using (vec_id)),
+        {rounds_sql(6)},
+        coded as (select vec_id, string_agg(printf('%02x', e), '' order by p) as code, cast(sum(d) as bigint) as error from a6 group by vec_id),
+        books as (select sha256(string_agg(array_to_string(w, ','), ',' order by p, e)) as codebooks_sha256 from c6)
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from coded join v using (vec_id), books
+    """,
 }
