@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import metrics, post, scorers, stats
-from tidewatch.streaming import guard
 
 K = ["entity"]
 
@@ -69,60 +68,8 @@ def test_chi2_tail():
     assert stats.chi2_tail(2 * np.log(2), 2) == pytest.approx(0.5)
 
 
-@pytest.mark.parametrize("mode", ["fixed", "rolling", "aci"])
-def test_guard_state_survives_batches(mode):
-    rng = np.random.default_rng(1)
-    cal, xs = rng.normal(size=50).tolist(), rng.normal(size=80)
-    whole = guard.Guard(cal, mode, window=20)
-    want = [whole.see(t, x) for t, x in enumerate(xs)]
-    state, got = None, []
-    for at in range(0, 80, 7):
-        g = guard.Guard(cal, mode, window=20, state=state)
-        got += [g.see(t, xs[t]) for t in range(at, min(at + 7, 80))]
-        state = g.state()
-    assert got == want
-    assert whole.see(3, 0.0) is None  # a late row is dropped
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    cal = scores(spark, range(20)).select("entity", "s")
-    rows = scores(spark, [1, 30, 2, 40, 3, 5, 6, 7, 8, 9, 10, 11, 12])
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    out = guard.guard_stream(stream, cal, mode="rolling", window=10)
-    q = out.writeStream.format("memory").queryName("guarded").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    want = guard.guard_batch(rows, cal, mode="rolling", window=10)
-    assert sorted(map(tuple, spark.table("guarded").collect())) == sorted(map(tuple, want.collect()))
-
-
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 3
-
-
-def test_adaptive_guard_by_hand():
-    """An early alarm takes the level to (almost) 0; it then gains 0.022 with each quiet score."""
-    seen = [100.0] + [10.0] * 9 + [50.0]
-
-    def thresholds(**options):
-        g = guard.Guard(list(range(20)), "aci", alpha=0.1, window=20, gamma=0.22, **options)
-        return [g.see(t, x)[3:6] for t, x in enumerate(seen)]
-
-    got = thresholds()
-    assert [f for _, f, _ in got] == [True] + [False] * 10
-    # calibration scores of rank ceil(21 (1 - level)), 20 at most; from ten scores on the buffer's of rank ceil(11 (1 - 0.176)) = 10
-    assert np.allclose([x for x, _, _ in got], [18, 19, 19, 19, 19, 19, 18, 18, 17, 17, 100])
-    # in drift the calibration scores decide again, at the level of 0.198 by then
-    drift = thresholds(drift_sigma=1.0)
-    assert [d for _, _, d in drift] == [False] * 9 + [True] * 2 and np.isclose(drift[-1][0], 16) and drift[-1][1]
-    assert np.isclose(guard.Guard(list(range(20)), "aci", alpha=0.4, n_tests=4).see(0, 1.0)[3], 18)
-
-
-def test_guard_refuses_scores_without_value():
-    for bad in (float("nan"), float("inf")):
-        with pytest.raises(ValueError, match="finite"):
-            guard.Guard([1.0, 2.0, 3.0], "rolling").see(0, bad)

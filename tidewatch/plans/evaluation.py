@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from tidewatch.operators import conformal, metrics
 from tidewatch.plans import fixtures as fx
 from tidewatch.plans.registry import query
-from tidewatch.streaming import guard
 
 EV = ["entity", "view"]
 P = "over (partition by entity, view)"
@@ -222,45 +221,3 @@ def _(spark, sf):
 select entity, view, round(thr, 6) + 0 as thr, round(far, 6) + 0 as far, round(recall, 6) + 0 as recall, round(abs(far - cast(0.05 as double)), 6) + 0 as gap from h""")
 def _(spark, sf):
     return conformal.fixed_quantile_eval(halves(spark, sf), EV, 0.05)
-
-
-# ------------------------------------------------------------------ K, on the level view
-
-LEVEL = ", cal as (select *, row_number() over (partition by entity order by s) as rk, count(*) over (partition by entity) as n from fx_scores where view = 'level' and t < 30), ct as (select entity, s as thr from cal where rk = greatest(1, least(ceil((cast(n as double) + 1) * (1 - cast(0.05 as double))), n)))"
-
-
-def level(spark, sf):
-    df = fx.scores(spark, sf).where("view = 'level'").drop("view")
-    return df.where("t < 30"), df.where("t >= 30")
-
-
-@query("stream_fixed", LEVEL + " select entity, t, s > thr as flag from fx_scores join ct using (entity) where view = 'level' and t >= 30")
-def _(spark, sf):
-    cal, test = level(spark, sf)
-    return guard.stream_fixed(test, conformal.conformal_threshold(cal, ["entity"], 0.05)).select("entity", "t", "flag")
-
-
-@query("stream_rolling")
-def _(spark, sf):
-    cal, test = level(spark, sf)
-    return guard.guard_batch(test, cal, mode="rolling", window=40)
-
-
-@query("stream_aci")
-def _(spark, sf):
-    cal, test = level(spark, sf)
-    return guard.guard_batch(test, cal, mode="aci", window=40)
-
-
-@query("stream_stats", LEVEL + " select entity, cast(sum(case when s > thr then 1 else 0 end) as bigint) as n_alarms, count(*) as n_predictions, round(avg(case when s > thr then 1.0 else 0 end), 6) + 0 as far from fx_scores join ct using (entity) where view = 'level' and t >= 30 group by entity")
-def _(spark, sf):
-    cal, test = level(spark, sf)
-    return guard.guard_stats(guard.stream_fixed(test, conformal.conformal_threshold(cal, ["entity"], 0.05)))
-
-
-@query("stream_score", """, f as (select entity, avg(s) as mu, stddev_pop(s) as sd from fx_scores where view = 'level' and t < 30 group by entity) select entity, t, round(((s - mu) / sd) * ((s - mu) / sd), 6) + 0 as s from fx_scores join f using (entity) where view = 'level' and t >= 30""")
-def _(spark, sf):
-    cal, test = level(spark, sf)
-    model = cal.groupBy("entity").agg(F.avg("s").alias("mu"), F.stddev_pop("s").alias("sd"))
-    z = (F.col("s") - F.col("mu")) / F.col("sd")
-    return test.join(model, "entity").select("entity", "t", (z * z).alias("s"))

@@ -31,4 +31,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return put
 
 
-from tidewatch.plans import evaluation, feature, preparation, testing  # noqa: E402, F401
+from tidewatch.plans import evaluation, feature, preparation, streams, testing  # noqa: E402, F401

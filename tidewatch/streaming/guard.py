@@ -1,114 +1,217 @@
 """Online conformal guards: one state machine, run over whole tables or as Structured Streaming state.
 
-Scores of an entity are taken in order of ``t``; within a micro-batch they are sorted, and a row whose
-``t`` is not beyond the last one seen is dropped.  A null ``t``, or a score that is null or not finite, is an error.
+Scores of an entity are taken in order of ``t``; a row whose ``t`` is not beyond the last one taken is
+dropped, so a repeated row counts once.  A stream either takes each micro-batch as it comes, sorted,
+or waits with each row until the watermark has passed its event time, so that late rows find their
+place; rows later than the watermark are dropped.  One entity is one sequence of steps and so one
+task, whatever its length; entities spread.  A score that is null or not finite is an error, as is an
+entity without calibration scores or a score without ``t``; a row with neither is a heartbeat, which
+only moves the watermark.
 """
 
-import json
+import bisect
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "t long, s double, p_value double, threshold double, flag boolean, drift boolean, n_alarms long, n_seen long"
+STATS = "n_calibration long, level double, fixed_threshold double, rolling_threshold double, n_alarms long, n_predictions long, far double, drift boolean"
+#: What a guard remembers beside its buffer.
+STATUS = "rolling double, drift boolean, level double, alarms long, seen long, last long"
+EPS = 1e-10
 
 
-def order_statistic(xs: np.ndarray, alpha: float) -> float:
+def order_statistic(xs: list | np.ndarray, alpha: float) -> float:
     n = len(xs)
     return float(xs[min(max(math.ceil((n + 1) * (1 - alpha)) - 1, 0), n - 1)])
 
 
 class Guard:
-    """``mode``: fixed, rolling (buffer of quiet scores, plain scale) or aci (buffer of all, z-scale, adaptive alpha).
+    """``mode``: fixed, rolling (buffer of quiet scores, plain scale) or aci (buffer of all, z-scale, adaptive level).
 
     The level is shared between ``n_tests`` (Bonferroni).  Until the buffer is filled, and in drift, the
     threshold is that of the calibration scores at the present level.
     """
 
-    def __init__(self, cal: list[float], mode: str, alpha: float = 0.05, window: int = 100, drift_sigma: float = 3.0, gamma: float = 0.01, n_tests: int = 1, state: str | None = None):
+    def __init__(
+        self, cal: list[float] | np.ndarray, mode: str, alpha: float = 0.05, window: int = 100, drift_sigma: float = 3.0, gamma: float = 0.01, n_tests: int = 1,
+        buffer: list[float] = (), status: tuple | None = None,
+    ):
         self.cal = np.sort(np.asarray(cal, float))
+        if not len(self.cal) or not np.isfinite(self.cal).all():
+            raise ValueError("calibration scores must be there and finite")
         self.mode, self.alpha, self.window, self.drift_sigma, self.gamma, self.n_tests = mode, alpha, window, drift_sigma, gamma, n_tests
         self.mu, self.sd = float(self.cal.mean()), float(self.cal.std())
         if mode == "aci":
-            self.cal = (self.cal - self.mu) / (self.sd + 1e-10)
-        s = json.loads(state) if state else {"buffer": [], "rolling": None, "drift": False, "a": alpha, "alarms": 0, "seen": 0, "last": None}
-        self.s = s
-
-    def state(self) -> str:
-        return json.dumps(self.s)
-
-    def level(self) -> float:
-        return min(1 - 1e-10, max(1e-10, self.s["a"] / self.n_tests))
+            self.cal = (self.cal - self.mu) / (self.sd + EPS)
+        self.buffer, self.ordered = deque(buffer), sorted(buffer)
+        self.rolling, self.drift, self.level, self.alarms, self.seen, self.last = status or (None, False, alpha, 0, 0, None)
+
+    def status(self) -> tuple:
+        return self.rolling, self.drift, self.level, self.alarms, self.seen, self.last
+
+    def effective(self) -> float:
+        return min(1 - EPS, max(EPS, self.level / self.n_tests))
+
+    def plain(self, x: float) -> float:
+        """A threshold on the scale of the scores."""
+        return x * (self.sd + EPS) + self.mu if self.mode == "aci" else x
+
+    def remember(self, x: float) -> None:
+        self.buffer.append(x)
+        bisect.insort(self.ordered, x)
+        if len(self.buffer) > self.window:
+            del self.ordered[bisect.bisect_left(self.ordered, self.buffer.popleft())]
+        n = len(self.buffer)
+        if n >= max(10, self.window // 10):
+            self.rolling = order_statistic(self.ordered, self.effective())
+            mean = math.fsum(self.buffer) / n
+            off = abs(mean) if self.mode == "aci" else abs(mean - self.mu) / max(self.sd, EPS)
+            self.drift = off > self.drift_sigma
 
     def see(self, t: int, raw: float) -> tuple | None:
-        s = self.s
         if not math.isfinite(raw):
             raise ValueError(f"a score must be finite, not {raw} (t = {t})")
-        if s["last"] is not None and t <= s["last"]:
+        if self.last is not None and t <= self.last:
             return None
-        s["last"] = t
-        x = (raw - self.mu) / (self.sd + 1e-10) if self.mode == "aci" else raw
+        self.last = t
+        x = (raw - self.mu) / (self.sd + EPS) if self.mode == "aci" else raw
         p = (1 + len(self.cal) - int(np.searchsorted(self.cal, x, side="left"))) / (len(self.cal) + 1)
-        use = s["rolling"] if self.mode != "fixed" and s["rolling"] is not None and not s["drift"] else order_statistic(self.cal, self.level())
+        use = self.rolling if self.mode != "fixed" and self.rolling is not None and not self.drift else order_statistic(self.cal, self.effective())
         flag = x > use
         if self.window > 0 and (self.mode == "aci" or (self.mode == "rolling" and not flag)):
-            s["buffer"] = [*s["buffer"], x][-self.window :]
-            if len(s["buffer"]) >= max(10, self.window // 10):
-                b = np.sort(s["buffer"])
-                s["rolling"] = order_statistic(b, self.level())
-                mean = float(b.mean())
-                off = abs(mean) if self.mode == "aci" else abs(mean - self.mu) / max(self.sd, 1e-10)
-                s["drift"] = off > self.drift_sigma
+            self.remember(x)
         if self.mode == "aci":  # last: this score's error counts from the next one on
-            s["a"] = min(1 - 1e-10, max(1e-10, s["a"] + self.gamma * (self.alpha - flag)))
-        s["alarms"] += int(flag)
-        s["seen"] += 1
-        shown = use * (self.sd + 1e-10) + self.mu if self.mode == "aci" else use
-        return t, raw, p, shown, bool(flag), bool(s["drift"]), s["alarms"], s["seen"]
+            self.level = min(1 - EPS, max(EPS, self.level + self.gamma * (self.alpha - flag)))
+        self.alarms += int(flag)
+        self.seen += 1
+        return t, raw, p, self.plain(use), bool(flag), bool(self.drift), self.alarms, self.seen
 
+    def stats(self) -> tuple:
+        fixed = self.plain(order_statistic(self.cal, self.effective()))
+        rolling = None if self.rolling is None else self.plain(self.rolling)
+        return len(self.cal), self.level, fixed, rolling, self.alarms, self.seen, self.alarms / max(1, self.seen), bool(self.drift)
 
-def schema(df: DataFrame, key: str) -> str:
-    return f"{key} {df.schema[key].dataType.simpleString()}, {OUT}"
 
+def names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
-def with_calibration(stream: DataFrame, cal: DataFrame, key: str) -> DataFrame:
-    """Joins each row to its entity's calibration scores (one bounded array an entity)."""
-    return stream.join(cal.groupBy(key).agg(F.sort_array(F.collect_list("s")).alias("cal")), key)
 
+def schema_of(df: DataFrame, key: str, rest: str) -> str:
+    return f"{key} {df.schema[key].dataType.simpleString()}, {rest}"
 
-def rows_of(guard: Guard, pdf: pd.DataFrame, key: str, value: object) -> pd.DataFrame:
-    if pdf["t"].isna().any():
-        raise ValueError("a score without t has no place in the order")
-    got = [r for t, s in zip(pdf["t"], pdf["s"], strict=True) if (r := guard.see(int(t), float(s))) is not None]
-    out = pd.DataFrame(got, columns=[c.split()[0] for c in OUT.split(", ")])
+
+def seen_rows(guard: Guard, ts: list[int], ss: list[float], key: str, value: object) -> pd.DataFrame:
+    """The guard's rows of steps in order."""
+    out = pd.DataFrame([r for t, s in zip(ts, ss, strict=True) if (r := guard.see(int(t), float(s))) is not None], columns=names(OUT))
     out.insert(0, key, value)
     return out
 
 
-def guard_batch(df: DataFrame, cal: DataFrame, key: str = "entity", mode: str = "rolling", **options: float) -> DataFrame:
-    """The guard over a whole table, an entity at a time in order of t."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return rows_of(Guard(pdf["cal"].iloc[0], mode, **options), pdf.sort_values("t"), key, pdf[key].iloc[0])
-
-    return with_calibration(df, cal, key).groupBy(key).applyInPandas(run, schema(df, key))
-
-
-def guard_stream(stream: DataFrame, cal: DataFrame, key: str = "entity", mode: str = "rolling", **options: float) -> DataFrame:
-    """The same guard over a stream, its state kept by Spark between micro-batches."""
+def real_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All but heartbeats; a score without t has no place in the order."""
+    pdf = pdf[pdf["t"].notna() | pdf["s"].notna()]
+    if pdf["t"].isna().any():
+        raise ValueError("a score without t has no place in the order")
+    return pdf
 
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values("t")
-        guard = Guard(pdf["cal"].iloc[0], mode, state=state.get[0] if state.exists else None, **options)
-        out = rows_of(guard, pdf, key, k[0])
-        state.update((guard.state(),))
-        yield out
 
-    return with_calibration(stream, cal, key).groupBy(key).applyInPandasWithState(run, schema(stream, key), "state string", "append", GroupStateTimeout.NoTimeout)
+def guard_batch(df: DataFrame, cal: DataFrame, key: str = "entity", mode: str = "rolling", **options: float) -> DataFrame:
+    """The guard over a whole table, an entity at a time in order of t; calibration scores meet their entity once."""
+
+    kind = schema_of(df, key, OUT)
+
+    def run(rows: pd.DataFrame, scores: pd.DataFrame) -> pd.DataFrame:
+        rows = real_rows(rows).sort_values(["t", "s"])
+        if rows.empty:
+            return pd.DataFrame(columns=names(kind))
+        if scores.empty:
+            raise ValueError(f"no calibration scores of {rows[key].iloc[0]}")
+        return seen_rows(Guard(scores["s__c"].to_numpy(), mode, **options), rows["t"].tolist(), rows["s"].tolist(), key, rows[key].iloc[0])
+
+    return df.select(key, "t", "s").groupBy(key).cogroup(cal.select(F.col(key).alias(f"{key}__c"), F.col("s").alias("s__c")).groupBy(f"{key}__c")).applyInPandas(run, kind)
+
+
+class GuardState(StatefulProcessor):
+    """The guard as typed state of a stream: calibration scores, buffer, status, and rows that wait for the watermark."""
+
+    def __init__(self, key: str, mode: str, options: dict, event_time: str | None, stats: bool):
+        self.key, self.mode, self.options, self.event_time, self.stats = key, mode, options, event_time, stats
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.cal = handle.getValueState("cal", "scores binary")
+        self.buffer = handle.getListState("buffer", "x double")
+        self.status = handle.getValueState("status", STATUS)
+        self.waiting = handle.getListState("waiting", "ms long, t long, s double")
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
+        self.cal.update((np.sort(initialState["s"].to_numpy(float)).tobytes(),))
+
+    def take(self, key: tuple, ts: list, ss: list) -> Iterator[pd.DataFrame]:
+        """Steps in order go through the guard, and its state is kept."""
+        if not ts:
+            return
+        cal = self.cal.get()
+        if cal is None:
+            raise ValueError(f"no calibration scores of {key[0]}")
+        guard = Guard(np.frombuffer(bytes(cal[0])), self.mode, buffer=[float(x[0]) for x in self.buffer.get()], status=self.status.get(), **self.options)
+        out = seen_rows(guard, ts, ss, self.key, key[0])
+        self.buffer.put([(float(x),) for x in guard.buffer])
+        self.status.update(guard.status())
+        yield pd.DataFrame([(key[0], *guard.stats())], columns=[self.key, *names(STATS)]) if self.stats else out
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        pdf = real_rows(pd.concat(list(rows)))
+        if self.event_time is None:
+            pdf = pdf.sort_values(["t", "s"])
+            yield from self.take(key, pdf["t"].tolist(), pdf["s"].tolist())
+        elif len(pdf):
+            ms = -(-pdf["us__"].to_numpy(np.int64) // 1000)  # rounds up, so that a timer never fires before its row's time
+            self.waiting.appendList([(int(m), int(t), float(s)) for m, t, s in zip(ms, pdf["t"], pdf["s"], strict=True)])
+            first = int(ms.min())
+            if first < min(self.handle.listTimers(), default=first + 1):
+                self.handle.registerTimer(first)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(r) for r in self.waiting.get()]
+        due = sorted((t, s) for ms, t, s in held if ms <= now)
+        later = [r for r in held if r[0] > now]
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(min(r[0] for r in later))
+        else:
+            self.waiting.clear()
+        yield from self.take(key, [t for t, _ in due], [s for _, s in due])
+
+    def close(self) -> None:
+        pass
+
+
+def guard_stream(
+    stream: DataFrame, cal: DataFrame, key: str = "entity", mode: str = "rolling", event_time: str | None = None, stats: bool = False, **options: float
+) -> DataFrame:
+    """The same guard over a stream; calibration scores are its initial state, given once a key.
+
+    With ``event_time``, a column that has a watermark, rows wait for it and come out in order of t;
+    else each micro-batch is sorted by itself.  ``stats`` gives, in update mode, a row of running
+    statistics a key and micro-batch instead.  The state store is RocksDB, which typed state needs.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    state = GuardState(key, mode, options, event_time, stats)
+    cols = [key, "t", "s", *([event_time, F.unix_micros(event_time).alias("us__")] if event_time else [])]
+    return (
+        stream.select(*cols)
+        .groupBy(key)
+        .transformWithStateInPandas(state, schema_of(stream, key, STATS if stats else OUT), "update" if stats else "append", "eventtime" if event_time else "none", initialState=cal.select(key, "s").groupBy(key))
+    )
 
 
 def stream_fixed(stream: DataFrame, thresholds: DataFrame, key: str = "entity") -> DataFrame:
@@ -117,5 +220,21 @@ def stream_fixed(stream: DataFrame, thresholds: DataFrame, key: str = "entity")
 
 
 def guard_stats(flags: DataFrame, key: str = "entity") -> DataFrame:
-    """Alarms, predictions and the empirical rate of each entity."""
+    """Alarms, predictions and the empirical rate of each entity; on a stream, an aggregate for update mode."""
     return flags.groupBy(key).agg(F.sum(F.col("flag").cast("long")).alias("n_alarms"), F.count("*").alias("n_predictions"), F.avg(F.col("flag").cast("double")).alias("far"))
+
+
+def quadratic(f: Column, mu: Column, prec: Column) -> Column:
+    """The squared Mahalanobis distance of a vector, never below 0, as an expression."""
+    d = F.zip_with(f, mu, lambda a, b: a - b)
+    rows = F.transform(prec, lambda row: F.aggregate(F.zip_with(row, d, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x))
+    return F.greatest(F.lit(0.0), F.aggregate(F.zip_with(d, rows, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x))
+
+
+def stream_score(stream: DataFrame, model: DataFrame, key: str = "entity") -> DataFrame:
+    """Adds ``s``, the distance of each arriving vector ``f`` to its key's model ``mu, prec``; stateless.
+
+    The model is a static table of one row a key that meets the stream in a join; no Python runs.
+    """
+    joined = stream.join(model.select(key, "mu", "prec"), key)
+    return joined.withColumn("s", quadratic(F.col("f"), F.col("mu"), F.col("prec"))).drop("mu", "prec")
