@@ -1,6 +1,7 @@
 """Token counts against the libraries, and what the digest cache saves."""
 
 import random
+import uuid
 
 import public_tokenizers
 import pytest
@@ -42,7 +43,7 @@ def test_counts_equal_the_library(spark, name):
 
 
 def test_only_distinct_misses_are_encoded(spark, monkeypatch):
-    path, cache = public_tokenizers.path("word_bpe_49k.json"), f"{shared_dir(spark)}/cache-test"
+    path, cache = public_tokenizers.path("word_bpe_49k.json"), f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
     seen = []
     plain = counts.encoded
     monkeypatch.setattr(counts, "encoded", lambda df, p: seen.append(df.count()) or plain(df, p))
