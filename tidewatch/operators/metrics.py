@@ -1,26 +1,53 @@
 """Detection metrics of every key (entity, view, method) from ``keys, t, s, label``."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.post import average_rank
+from tidewatch.operators.ranges import numbered, running
+from tidewatch.sources.shared import written
 
 LEVELS = [90.0, 91.0, 92.0, 93.0, 94.0, 95.0, 96.0, 97.0, 98.0, 99.0, 99.5, 99.9]
 
 
-def auc_roc(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Mann-Whitney with average ranks; null unless both classes are there."""
-    p, n = F.sum("label").cast("double"), F.count("*").cast("double")
-    auc = (F.sum(F.when(F.col("label") == 1, F.col("rk"))) - p * (p + 1) / 2) / (p * (n - p))
-    return df.withColumn("rk", average_rank(keys)).groupBy(*keys).agg(F.when((p > 0) & (p < n), auc).alias("auc_roc"))
+def points(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a distinct score, ``keys, thr, pos, n``, written in ranges of falling scores, which ``block`` numbers."""
+    one = df.groupBy(*keys, F.col("s").alias("thr")).agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
+    return written(one.repartitionByRange(*keys, F.desc("thr")).withColumn("block", F.spark_partition_id()))
 
 
 def curve(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a distinct threshold: ``keys, thr, tp, fp, p`` of predictions s >= thr."""
-    one = df.groupBy(*keys, F.col("s").alias("thr")).agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("thr")).rowsBetween(Window.unboundedPreceding, 0)
-    tp, rows = F.sum("pos").over(down), F.sum("n").over(down)
-    return one.select(*keys, "thr", "pos", tp.alias("tp"), (rows - tp).alias("fp"), F.sum("pos").over(Window.partitionBy(*keys)).alias("p"))
+    """One row a distinct threshold: ``keys, thr, pos, n, tp, fp, p, seen, total`` of predictions s >= thr.
+
+    ``seen`` counts these, ``p`` and ``total`` the key's positive rows and all its rows.  Scores are grouped once and
+    lie in ranges; running sums take two levels, so that one long series is many tasks.
+    """
+    return curve_of(points(df, keys), keys)
+
+
+def curve_of(one: DataFrame, keys: list[str]) -> DataFrame:
+    out = running(one, keys, F.col("block"), [F.desc("thr")], {"tp": F.col("pos"), "seen": F.col("n")})
+    whole = one.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.sum("pos").alias("p"), F.sum("n").alias("total"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    return out.join(whole, same).select(*keys, "thr", "pos", "n", "tp", (F.col("seen") - F.col("tp")).alias("fp"), "p", "seen", "total")
+
+
+def area() -> Column:
+    """Area under the curve's steps, ties counted half; null unless both classes are there."""
+    p, n = F.max("p").cast("double"), F.max("total").cast("double")
+    won = F.sum((F.col("n") - F.col("pos")) * (F.col("tp") - F.col("pos") / 2))
+    return F.when((p > 0) & (p < n), won / (p * (n - p)))
+
+
+def average_precision() -> Column:
+    return F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("p")
+
+
+def auc_roc(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Area under the curve, equal scores counted half; null unless both classes are there."""
+    return curve(df, keys).groupBy(*keys).agg(area().alias("auc_roc"))
 
 
 def pr_curve(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,7 +56,7 @@ def pr_curve(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def auc_pr(df: DataFrame, keys: list[str]) -> DataFrame:
     """Average precision over distinct thresholds."""
-    return curve(df, keys).groupBy(*keys).agg((F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("p")).alias("auc_pr"))
+    return curve(df, keys).groupBy(*keys).agg(average_precision().alias("auc_pr"))
 
 
 def f1(tp: Column, fp: Column, p: Column) -> Column:
@@ -37,22 +64,31 @@ def f1(tp: Column, fp: Column, p: Column) -> Column:
     return F.when(tp > 0, 2 * tp / (tp + fp + p)).otherwise(0.0)
 
 
+def best() -> Column:
+    """The greatest F1 and, of equals, the lowest threshold."""
+    return F.max(F.struct(f1(F.col("tp"), F.col("fp"), F.col("p")).alias("f1"), (-F.col("thr")).alias("low")))
+
+
 def best_f1(df: DataFrame, keys: list[str]) -> DataFrame:
     """The greatest F1 and, of equals, the lowest threshold."""
-    c = curve(df, keys).withColumn("f1", f1(F.col("tp"), F.col("fp"), F.col("p")))
-    best = F.max(F.struct("f1", (-F.col("thr")).alias("low")))
-    return c.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.f1").alias("best_f1"), (-F.col("b.low")).alias("best_threshold"))
+    return curve(df, keys).groupBy(*keys).agg(best().alias("b")).select(*keys, F.col("b.f1").alias("best_f1"), (-F.col("b.low")).alias("best_threshold"))
+
+
+def ones_numbered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of label 1 with ``seg``, the same for all rows of a run of consecutive steps."""
+    ones = numbered(df.where(F.col("label") == 1), keys, "t", "__one")
+    return ones.withColumn("seg", F.col("t") - F.col("__one") - 1).drop("__one")
 
 
 def anomaly_segments(df: DataFrame, keys: list[str]) -> DataFrame:
     """Runs of label 1: ``keys, seg, start, end``, both ends included."""
-    ones = df.where(F.col("label") == 1).withColumn("seg", F.col("t") - F.row_number().over(Window.partitionBy(*keys).orderBy("t")))
-    return ones.groupBy(*keys, "seg").agg(F.min("t").alias("start"), F.max("t").alias("end"))
+    return ones_numbered(df, keys).groupBy(*keys, "seg").agg(F.min("t").alias("start"), F.max("t").alias("end"))
 
 
 def with_segments(df: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``seg``, the same for all rows of a run of label 1, null elsewhere."""
-    return df.withColumn("seg", F.when(F.col("label") == 1, F.col("t") - F.row_number().over(Window.partitionBy(*keys, "label").orderBy("t"))))
+    rest = df.where(~F.coalesce(F.col("label") == 1, F.lit(False))).withColumn("seg", F.lit(None).cast("long"))
+    return ones_numbered(df, keys).select(*df.columns, F.col("seg").cast("long").alias("seg")).unionByName(rest)
 
 
 def point_adjust(df: DataFrame, keys: list[str], thr: Column) -> DataFrame:
@@ -72,11 +108,24 @@ def f1_pa(df: DataFrame, thresholds: DataFrame, keys: list[str], name: str = "f1
 
 
 def f1_pa_oracle(df: DataFrame, keys: list[str], levels: list[float] = LEVELS) -> DataFrame:
-    """The best point-adjusted F1 over score percentiles.
+    """The best point-adjusted F1 over score percentiles."""
+    return oracle_of(df, curve(df, keys), keys, levels)
 
-    A run is hit at a threshold if its largest score reaches it, so a row a run is enough.
-    """
-    q = df.groupBy(*keys).agg(F.percentile("s", F.array(*[F.lit(x / 100) for x in levels])).alias("q"), F.sum("label").alias("p")).select(*keys, "p", F.explode(F.array_distinct("q")).alias("thr"))
+
+def percentiles(curve: DataFrame, keys: list[str], levels: list[float]) -> DataFrame:
+    """``keys, thr, p``: the distinct interpolated percentiles of the scores, from the running counts."""
+    # of the scores in rising order, those of a point take the places from total - seen on
+    low, top = F.col("total") - F.col("seen"), F.col("total") - F.col("seen") + F.col("n") - 1
+    want = F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("total") - 1) * F.lit(x / 100)).alias("h")) for i, x in enumerate(levels)])
+    both = F.flatten(F.transform(want, lambda x: F.array(F.struct(x["i"].alias("i"), x["h"].alias("h"), F.floor(x["h"]).alias("at")), F.struct(x["i"].alias("i"), x["h"].alias("h"), F.ceil(x["h"]).alias("at")))))
+    hit = curve.select(*keys, "thr", "p", F.explode(F.filter(both, lambda x: (x["at"] >= low) & (x["at"] <= top))).alias("x"))
+    low, high, share = F.min("thr"), F.max("thr"), F.max(F.col("x.h") - F.floor("x.h"))
+    return hit.groupBy(*keys, "x.i").agg((low + share * (high - low)).alias("thr"), F.max("p").alias("p")).select(*keys, "thr", "p").distinct()
+
+
+def oracle_of(df: DataFrame, curve: DataFrame, keys: list[str], levels: list[float] = LEVELS) -> DataFrame:
+    """A run is hit at a threshold if its largest score reaches it, so a row a run is enough."""
+    q = percentiles(curve, keys, levels)
     runs = with_segments(df, keys).withColumn("unit", F.coalesce("seg", F.col("t"))).groupBy(*keys, "label", "unit").agg(F.max("s").alias("s"), F.count("*").alias("n"))
     hit = runs.join(q, keys).where(F.col("s") >= F.col("thr"))
     c = hit.groupBy(*keys, "thr").agg(F.sum(F.col("n") * F.col("label")).alias("tp"), F.sum(F.col("n") * (1 - F.col("label"))).alias("fp"), F.max("p").alias("p"))
@@ -96,13 +145,17 @@ def f1_val(df: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def all_metrics(df: DataFrame, keys: list[str], val: DataFrame | None = None) -> DataFrame:
-    """One row a key with every metric; without validation scores theirs are null."""
-    out = auc_roc(df, keys)
-    for m in (auc_pr(df, keys), best_f1(df, keys), f1_pa_oracle(df, keys)):
-        out = out.join(m, keys)
+    """One row a key with every metric; without validation scores theirs are null.
+
+    The scores are computed once and written; one curve gives the areas and the best F1.
+    """
+    df = written(df.select(*keys, "t", "s", "label"))
+    c = curve_of(points(df, keys), keys)
+    out = c.groupBy(*keys).agg(area().alias("auc_roc"), average_precision().alias("auc_pr"), best().alias("b"))
+    out = out.select(*keys, "auc_roc", "auc_pr", F.col("b.f1").alias("best_f1"), (-F.col("b.low")).alias("best_threshold")).join(oracle_of(df, c, keys), keys)
     if val is None:
         return out.select("*", *[F.lit(None).cast("double").alias(n) for n in ("f1_validation", "f1_pa_validation", "threshold_validation")])
-    thr = val_threshold(val, keys)
+    thr = written(val_threshold(val, keys))
     out = out.join(f1_val(df, thr, keys), keys).join(f1_pa(df, thr, keys, "f1_pa_validation"), keys)
     return out.join(thr.withColumnRenamed("thr", "threshold_validation"), keys)
 

@@ -3,32 +3,38 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.ranges import halo, numbered, own
 
-def smooth_mean(df: DataFrame, keys: list[str], window: int, t: str = "t", s: str = "s") -> DataFrame:
-    """Centred mean of an odd window, edges repeated; a series no longer than the window becomes its mean."""
+
+def smoothed(df: DataFrame, keys: list[str], window: int, t: str, s: str, whole: Column, near: Column, inside: Column) -> DataFrame:
+    """Replaces ``s`` by ``inside`` of the steps near it, or by ``whole`` of a series no longer than the window.
+
+    ``inside`` may use ``near`` (an aggregate of the steps at most half a window away), the step's
+    number ``__i``, the series' length ``__n``, and its first and last values ``__a`` and ``__b``.
+    Steps are numbered and framed in blocks, so a long series is many tasks.
+    """
     if window <= 0 or window % 2 == 0:
         raise ValueError("the window must be odd and positive")
     p = window // 2
-    by, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(t)
-    n, i = F.count("*").over(by), F.row_number().over(order) - 1
-    near = F.sum(s).over(order.rowsBetween(-p, p))
-    first = F.first(s).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    last = F.last(s).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    inside = (near + F.greatest(F.lit(0), p - i) * first + F.greatest(F.lit(0), i + p - n + 1) * last) / window
-    return df.withColumn(s, F.when(n <= window, F.avg(s).over(by)).otherwise(inside))
+    ends = df.groupBy(*keys).agg(F.count("*").alias("__n"), F.min_by(s, t).alias("__a"), F.max_by(s, t).alias("__b"), whole.alias("__m"))
+    seen = halo(numbered(df, keys, t), "__i", p, p)
+    seen = seen.withColumn("__near", near.over(Window.partitionBy(*keys, "__blk").orderBy("__i").rangeBetween(-p, p))).where(own("__i"))
+    out = seen.join(ends, keys).withColumn(s, F.when(F.col("__n") <= window, F.col("__m")).otherwise(inside))
+    return out.select(df.columns)
+
+
+def smooth_mean(df: DataFrame, keys: list[str], window: int, t: str = "t", s: str = "s") -> DataFrame:
+    """Centred mean of an odd window, edges repeated; a series no longer than the window becomes its mean."""
+    p, i, n = window // 2, F.col("__i"), F.col("__n")
+    inside = (F.col("__near") + F.greatest(F.lit(0), p - i) * F.col("__a") + F.greatest(F.lit(0), i + p - n + 1) * F.col("__b")) / window
+    return smoothed(df, keys, window, t, s, F.avg(s), F.sum(s), inside)
 
 
 def smooth_median(df: DataFrame, keys: list[str], window: int, t: str = "t", s: str = "s") -> DataFrame:
     """Centred median of an odd window, edges repeated; a series no longer than the window becomes its median."""
-    if window <= 0 or window % 2 == 0:
-        raise ValueError("the window must be odd and positive")
-    p = window // 2
-    by, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(t)
-    span = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = df.select("*", F.count("*").over(by).alias("__n"), (F.row_number().over(order) - 1).alias("__i"), F.collect_list(s).over(order.rowsBetween(-p, p)).alias("__near"), F.first(s).over(span).alias("__a"), F.last(s).over(span).alias("__b"), F.median(s).over(by).alias("__m"))
-    more = F.concat(F.array_repeat("__a", F.greatest(F.lit(0), p - F.col("__i")).cast("int")), "__near", F.array_repeat("__b", F.greatest(F.lit(0), F.col("__i") + p - F.col("__n") + 1).cast("int")))
-    out = out.withColumn(s, F.when(F.col("__n") <= window, F.col("__m")).otherwise(F.element_at(F.array_sort(more), p + 1)))
-    return out.drop("__n", "__i", "__near", "__a", "__b", "__m")
+    p, i, n = window // 2, F.col("__i"), F.col("__n")
+    more = F.concat(F.array_repeat("__a", F.greatest(F.lit(0), p - i).cast("int")), "__near", F.array_repeat("__b", F.greatest(F.lit(0), i + p - n + 1).cast("int")))
+    return smoothed(df, keys, window, t, s, F.median(s), F.collect_list(s), F.element_at(F.array_sort(more), p + 1))
 
 
 def minmax(c: Column, by, eps: float = 0.0) -> Column:

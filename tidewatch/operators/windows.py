@@ -3,29 +3,40 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.ranges import halo, own, steps
 
-def ahead(keys: list[str], length: int, t: str = "t"):
-    """The frame of a window that starts at the current row."""
-    return Window.partitionBy(*keys).orderBy(t).rowsBetween(0, length - 1)
 
+def framed(df: DataFrame, keys: list[str], length: int, stride: int, over: dict[str, Column], t: str) -> DataFrame:
+    """Aggregates over each whole window, in blocks of steps with copied overlaps.
 
-def full(keys: list[str], length: int, stride: int, t: str = "t") -> Column:
-    """Whether a whole window starts at the row."""
-    return (F.count("*").over(ahead(keys, length, t)) == length) & (F.col(t) % stride == 0)
+    A window holds the ``length`` steps from its start on; steps are numbered by ``t`` without gaps,
+    and a window that misses one is not whole.
+    """
+    ahead = Window.partitionBy(*keys, "__blk").orderBy(t).rangeBetween(0, length - 1)
+    seen = halo(df, t, 0, length - 1).select("*", *[a.over(ahead).alias(n) for n, a in over.items()], (F.count("*").over(ahead) == length).alias("__whole"))
+    return seen.where(own(t) & F.col("__whole") & (F.col(t) % stride == 0))
 
 
 def sliding_windows(df: DataFrame, keys: list[str], length: int, stride: int, columns: list[str], t: str = "t") -> DataFrame:
-    """``keys, w, start, xs``: whole windows only, each an array of its rows' structs in order."""
-    rows = F.collect_list(F.struct(t, *columns)).over(ahead(keys, length, t))
-    out = df.withColumn("xs", rows).withColumn("ok", full(keys, length, stride, t)).where("ok")
+    """``keys, w, start, xs``: whole windows only, each an array of its rows' values in order."""
+    out = framed(df, keys, length, stride, {"xs": F.collect_list(F.struct(t, *columns))}, t)
     return out.select(*keys, F.floor(F.col(t) / stride).alias("w"), F.col(t).alias("start"), F.transform("xs", lambda x: F.array(*[x[c] for c in columns])).alias("xs"))
 
 
 def window_aggregate(df: DataFrame, keys: list[str], length: int, stride: int, aggregates: dict[str, Column], t: str = "t") -> DataFrame:
     """``keys, w`` and aggregates over each whole window, without arrays."""
-    over = ahead(keys, length, t)
-    out = df.select(*keys, t, *[a.over(over).alias(n) for n, a in aggregates.items()], full(keys, length, stride, t).alias("ok")).where("ok")
-    return out.select(*keys, F.floor(F.col(t) / stride).alias("w"), *aggregates)
+    out = framed(df, keys, length, stride, {f"__{n}": a for n, a in aggregates.items()}, t)
+    return out.select(*keys, F.floor(F.col(t) / stride).alias("w"), *[F.col(f"__{n}").alias(n) for n in aggregates])
+
+
+def flatten(df: DataFrame, keys: list[str], length: int, stride: int, columns: list[str], t: str = "t", most: int = 5000, pca: bool = False) -> DataFrame:
+    """``keys, w, f``: each whole window's values in one vector; vectors of more than ``most`` numbers are refused.
+
+    So wide a vector should be reduced first: a caller that says so with ``pca`` gets it whatever its length.
+    """
+    if length * len(columns) > most and not pca:
+        raise ValueError(f"windows of {length * len(columns)} numbers: over {most}, reduce them")
+    return sliding_windows(df, keys, length, stride, columns, t).select(*keys, "w", F.flatten("xs").alias("f"))
 
 
 def window_labels(df: DataFrame, keys: list[str], length: int, stride: int) -> DataFrame:
@@ -61,9 +72,11 @@ def channel_groups(long: DataFrame, size: int, ch: str = "ch") -> DataFrame:
 
 def window_to_timestep(windows: DataFrame, keys: list[str], length: int, total: str = "T", w: str = "w", s: str = "s") -> DataFrame:
     """Each time step's mean over the windows that cover it; 0 where none does."""
-    steps = windows.select(*keys, F.explode(F.sequence(F.col(w), F.least(F.col(w) + length - 1, F.col(total) - 1))).alias("t"), s)
-    mean = steps.groupBy(*keys, "t").agg(F.avg(s).alias(s))
-    whole = windows.groupBy(*keys).agg(F.max(total).alias("T")).select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("T") - 1)).alias("t"))
+    covered = windows.select(*keys, F.explode(F.sequence(F.col(w), F.least(F.col(w) + length - 1, F.col(total) - 1))).alias("t"), s)
+    mean = covered.groupBy(*keys, "t").agg(F.avg(s).alias(s))
+    # a series' steps are made block by block, not as one array
+    blocks = windows.groupBy(*keys).agg(F.max(total).cast("long").alias("T")).select(*keys, F.explode(steps(F.col("T"))).alias("b"))
+    whole = blocks.repartition(*keys, "b").select(*keys, F.explode(F.sequence(F.col("b.a"), F.col("b.b") - 1)).alias("t"))
     return whole.join(mean, [*keys, "t"], "left").select(*keys, "t", F.coalesce(s, F.lit(0.0)).alias(s))
 
 

@@ -1,9 +1,9 @@
-"""Folders of our own below the one that all machines of the cluster share."""
+"""Folders of our own below the one that all machines of the cluster share, and tables in them."""
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -16,3 +16,10 @@ def new_folder(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/s{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the shared folder: readers neither compute them again nor depend on the executors that did."""
+    folder = new_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
