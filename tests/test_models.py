@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import regime, scorers, stats, tokens
+from tidewatch.operators import models, neighbours, regime, scorers, stats, tokens
 from tidewatch.sources import series_io
 
 K = ["entity"]
@@ -63,7 +63,7 @@ def by_t(df):
     return {r["t"]: r["s"] for r in df.collect()}
 
 
-def test_pca(points):
+def test_pca(points, way):
     train, test, df = points
     z = lambda x: (x - train.mean(axis=0)) / train.std(axis=0)
     _, _, v = np.linalg.svd(z(train), full_matrices=False)
@@ -72,10 +72,20 @@ def test_pca(points):
     assert [got[90 + i] for i in range(len(test))] == pytest.approx(want)
 
 
-def test_lof(points):
+@pytest.fixture(params=["broadcast", "blocks"])
+def way(request, monkeypatch):
+    """Models that go to every executor, and models that meet blocks of rows."""
+    if request.param == "blocks":
+        monkeypatch.setattr(models, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(models, "ROWS", 20)
+
+
+@pytest.mark.parametrize("contamination", [0.05, None])
+def test_lof(points, contamination, way):
     train, test, df = points
     k = 5
-    gap = lambda a, b: np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    z = lambda x: (x - train.mean(axis=0)) / train.std(axis=0)
+    gap = lambda a, b: np.sqrt(((z(a)[:, None] - z(b)[None]) ** 2).sum(axis=2))
     own = gap(train, train) + np.diag([np.inf] * len(train))
     kd = np.sort(own, axis=1)[:, k - 1]
 
@@ -83,32 +93,109 @@ def test_lof(points):
         near = np.argsort(d, axis=1)[:, :k]
         return near, 1 / (np.maximum(kd[near], np.take_along_axis(d, near, 1)).mean(axis=1) + 1e-10)
 
-    dense = density(own)[1]
+    near_own, dense = density(own)
     near, mine = density(gap(test, train))
-    got = by_t(scorers.lof_score(df.where("split = 'test'"), df.where("split = 'train'"), K, k))
-    assert [got[90 + i] for i in range(len(test))] == pytest.approx(dense[near].mean(axis=1) / mine)
+    offset = 1.5 if contamination is None else np.quantile(dense[near_own].mean(axis=1) / dense, 0.95)
+    got = by_t(scorers.lof_score(df.where("split = 'test'"), df.where("split = 'train'"), K, k, contamination=contamination))
+    assert [got[90 + i] for i in range(len(test))] == pytest.approx(dense[near].mean(axis=1) / mine - offset)
 
 
-def test_knn_of_many_blocks(points, monkeypatch):
-    monkeypatch.setattr(scorers, "BLOCK_ROWS", 20)
+def test_lof_of_few_rows_holds_k_to_the_rows_less_one(spark):
+    rows = [("a", "train", i, [float(i), 0.0]) for i in range(4)] + [("a", "test", 9, [1.5, 0.0])]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = by_t(scorers.lof_score(df.where("split = 'test'"), df.where("split = 'train'"), K, 20, contamination=None))
+    step = 1 / np.std([0, 1, 2, 3])  # k = 3
+    kd = np.array([3, 2, 2, 3]) * step
+    lrd = lambda others, d: 1 / (np.maximum(kd[others], np.array(d) * step).mean() + 1e-10)
+    dense = np.array([lrd([1, 2, 3], [1, 2, 3]), lrd([0, 2, 3], [1, 1, 2]), lrd([0, 1, 3], [2, 1, 1]), lrd([0, 1, 2], [3, 2, 1])])
+    assert got[9] == pytest.approx(dense[[1, 2, 0]].mean() / lrd([1, 2, 0], [0.5, 0.5, 1.5]) - 1.5)
+
+
+def test_knn_of_many_balls(points, monkeypatch, way):
+    monkeypatch.setattr(neighbours, "BALL_ROWS", 8)
+    monkeypatch.setattr(neighbours, "PART", 5)
     train, test, df = points
     want = np.sort(np.sqrt(((test[:, None] - train[None]) ** 2).sum(axis=2)), axis=1)[:, :5].mean(axis=1)
     got = by_t(scorers.knn_score(df.where("split = 'test'"), df.where("split = 'train'"), K))
     assert [got[90 + i] for i in range(len(test))] == pytest.approx(want)
 
 
-def test_isolation_forest_ranks_an_outlier_first(points):
-    _, test, df = points
+def test_neighbours_send_few_rows_and_miss_none(spark):
+    """20,000 rows against themselves, with ties, repeats and a key of three rows."""
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(20000, 3)) + 8 * rng.integers(0, 5, (20000, 1)), 2)
+    x[100:160] = x[7]
+    rows = [("a", i, v) for i, v in enumerate(x.tolist())] + [("b", i, [float(i), 0.0, 0.0]) for i in range(3)] + [(None, 1, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "entity string, t long, f array<double>").withColumn("me", F.lit(True))
+    seen = {}
+    got = neighbours.nearest(df, df, K, 4, itself="me", seen=seen).collect()
+    assert sorted((r["t"], r["other"], r["d"]) for r in got if r["entity"] == "b") == [(i, j, abs(float(i - j))) for i in range(3) for j in range(3) if i != j]
+    assert None not in {r["entity"] for r in got}
+    near = {}
+    for r in got:
+        if r["entity"] == "a":
+            near.setdefault(r["t"], []).append((r["d"], r["other"]))
+    assert seen["rows"] < 0.5 * 20000**2 / 2000 and all(len(v) == 4 for v in near.values()) and len(near) == 20000
+    for i in [0, 7, 120, *rng.integers(0, 20000, 300).tolist()]:
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        assert [a for a, _ in sorted(near[i])] == pytest.approx(np.sort(d)[:4]) and all(a == pytest.approx(d[j]) for a, j in near[i])
+    assert sorted(near[7]) == [(0, j) for j in (100, 101, 102, 103)] and sorted(near[120]) == [(0, j) for j in (7, 100, 101, 102)]
+
+
+def test_moments_of_many_tasks_are_those_of_one(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 3)) + [1e6, 0, -3]
+    df = spark.createDataFrame([("a" if i % 5 else None, v.tolist()) for i, v in enumerate(x)], "entity string, f array<double>").repartition(200)
+    got = {r["entity"]: r for r in scorers.ledoit_wolf_fit(df, K).collect()}
+    for k, some in (("a", x[np.arange(500) % 5 > 0]), (None, x[::5])):
+        c = some - some.mean(axis=0)
+        prec, shrinkage = scorers.shrink((c.T @ c).ravel(), ((c * c).sum(axis=1) ** 2).sum(), len(c))
+        assert got[k]["n"] == len(some) and got[k]["shrinkage"] == pytest.approx(shrinkage, rel=1e-6)
+        assert np.array(got[k]["prec"]) == pytest.approx(np.array(prec), rel=1e-6, abs=1e-9)
+
+
+def test_mahalanobis_by_blocks(points, way):
+    train, test, df = points
+    model = scorers.ledoit_wolf_fit(df.where("split = 'train'"), K)
+    m = model.first()
+    d = np.vstack([train, test]) - m["mu"]
+    got = by_t(scorers.mahalanobis_score(df, model, K))
+    assert [got[i] for i in range(len(d))] == pytest.approx(np.einsum("ij,jk,ik->i", d, np.array(m["prec"]), d))
+
+
+def walk(t, x, at=0):
+    """The path length of one row, node by node."""
+    feature, cut, child, path = t
+    while feature[at] >= 0:
+        at = child[at] + (x[feature[at]] >= cut[at])
+    return path[at]
+
+
+def test_forest_of_flat_trees(points, way):
+    train, test, df = points
+    one = scorers.grow(train, np.random.default_rng(3), 6)
+    two = scorers.grow(train[:20], np.random.default_rng(4), 5)
+    assert (one[0] < 0).sum() == (one[0] >= 0).sum() + 1  # every node but leaves has two children
+    flat = [np.concatenate(p) for p in zip(one, two, strict=True)]
+    want = [(walk(one, v) + walk(two, v)) / 2 for v in test]
+    assert scorers.mean_depth(np.array([0, len(one[0])]), *flat, test) == pytest.approx(want)
+    raw = by_t(scorers.isolation_forest(df, K, trees=50, contamination=None))
+    assert max(raw, key=raw.get) == 90 + len(test) - 1 and all(-0.5 < s < 0.5 for s in raw.values())
     got = by_t(scorers.isolation_forest(df, K, trees=50))
-    assert max(got, key=got.get) == 90 + len(test) - 1 and all(0 < s < 1 for s in got.values())
-    assert got == by_t(scorers.isolation_forest(df.repartition(5), K, trees=50))
+    offset = np.quantile([raw[i] + 0.5 for i in range(90)], 0.95)
+    assert [got[i] for i in range(103)] == pytest.approx([raw[i] + 0.5 - offset for i in range(103)])
+    assert got == pytest.approx(by_t(scorers.isolation_forest(df.repartition(5), K, trees=50)))
 
 
-def test_isolation_forest_samples_are_whole_and_of_one_hash_order(spark):
+def test_forest_fits_on_a_capped_sample(spark):
     rows = [("a", "train", i, [float(np.sin(i)), i % 7.0]) for i in range(4000)]
-    got = by_t(scorers.isolation_forest(spark.createDataFrame(rows, VECTORS), K, trees=4, sample=64))
-    # equal vectors score alike, and 2 ** -(mean depth / c(64)) lies about a half where trees hold 64 rows
-    assert abs(np.mean(list(got.values())) - 0.5) < 0.08
+    df = spark.createDataFrame(rows, VECTORS)
+    got = by_t(scorers.isolation_forest(df, K, trees=4, sample=64, contamination=None))
+    # 2 ** -(mean depth / c(64)) lies about a half where trees hold 64 rows
+    assert abs(np.mean(list(got.values()))) < 0.08
+    few = by_t(scorers.isolation_forest(df, K, trees=4, sample=64, contamination=None, cap=100))
+    assert len(few) == 4000 and few != got
 
 
 def test_transport_plan_has_uniform_marginals_and_the_gibbs_form(spark):

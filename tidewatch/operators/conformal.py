@@ -73,8 +73,12 @@ def norm_threshold(cal: DataFrame, keys: list[str], alpha: float) -> DataFrame:
 
 
 def train_tail(df: DataFrame, keys: list[str], ratio: float) -> DataFrame:
-    """The last floor(n * ratio) train rows, at least one and not all; a table without train rows is refused by giving none."""
-    train = df.where("split = 'train'")
+    """The last floor(n * ratio) of the rows, at least one and not all; rows of another split than train are an error.
+
+    The check runs with the rows: whoever holds a table of both splits filters it first, in plain sight.
+    """
+    checked = F.when(F.col("split") == "train", F.col("split")).otherwise(F.raise_error(F.lit("calibration takes train rows only")))
+    train = df.withColumn("split", checked)
     n = F.count("*").over(Window.partitionBy(*keys))
     back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("t")))
     return train.select("*", back.alias("__b"), n.alias("__n")).where(F.col("__b") <= F.greatest(F.lit(1), F.least(F.floor(F.col("__n") * F.lit(ratio)), F.col("__n") - 1))).drop("__b", "__n")
@@ -82,7 +86,7 @@ def train_tail(df: DataFrame, keys: list[str], ratio: float) -> DataFrame:
 
 def far_eval(df: DataFrame, keys: list[str], alphas: list[float], ratio: float = 0.2) -> DataFrame:
     """Calibration on the train tail, evaluation on test, for each level."""
-    cal = train_tail(df, keys, ratio)
+    cal = train_tail(df.where("split = 'train'"), keys, ratio)
     test = conformal_p(cal, df.where("split = 'test'"), keys).crossJoin(F.broadcast(levels(df, alphas)))
     thr = conformal_threshold(cal.crossJoin(F.broadcast(levels(df, alphas))), keys, F.col("alpha"), ["alpha"])
     hit = test.join(thr, [*keys, "alpha"]).withColumn("hit", (F.col("s") > F.col("thr")).cast("double"))

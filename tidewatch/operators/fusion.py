@@ -18,8 +18,14 @@ NORMS = {"sum": None, "rank": post.rank_norm, "zscore": post.norm_zscore, "minma
 
 
 def fuse(df: DataFrame, keys: list[str], weights: dict[str, float], method: str = "sum", view: str = "view") -> DataFrame:
-    """Weighted mean of the views at every step, each view normalised first as ``method`` says."""
-    aligned = post.align_head(df.where(F.col(view).isin(*weights)), keys, view)
+    """Weighted mean of the views at every step, each view normalised first as ``method`` says.
+
+    Weights and views must be the same: a view without a weight, or a weight whose view no row has, is an error.
+    """
+    views = {r[0] for r in df.select(view).distinct().limit(len(weights) + 1).collect()}
+    if views and views != set(weights):
+        raise ValueError(f"weights of {sorted(weights)} do not fit views {sorted(map(str, views))}")
+    aligned = post.align_head(df, keys, view)
     norm = NORMS[method]
     scaled = norm(aligned, [*keys, view]) if norm else aligned
     return scaled.groupBy(*keys, "t").agg(F.sum(F.col("s") * weights_column(weights, view)).alias("s"), F.max("label").alias("label"))

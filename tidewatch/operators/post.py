@@ -1,5 +1,8 @@
 """Smoothing, normalising and aligning of score streams (``keys, t, s``)."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,12 +50,20 @@ def zscore(c: Column, by, eps: float = 0.0) -> Column:
     return F.when(sd > eps, (c - F.avg(c).over(by)) / sd).otherwise(0.0)
 
 
+def with_stats(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
+    """Adds aggregates of the key to its rows by a join, so that a large key is many tasks."""
+    stats = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(*[a.alias(n) for n, a in aggregates.items()])
+    return df.join(stats, reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])).drop(*[f"__{k}" for k in keys])
+
+
 def norm_minmax(df: DataFrame, keys: list[str], s: str = "s", eps: float = 0.0) -> DataFrame:
-    return df.withColumn(s, minmax(F.col(s), Window.partitionBy(*keys), eps))
+    lo, width = F.col("__lo"), F.col("__hi") - F.col("__lo")
+    return with_stats(df, keys, __lo=F.min(s), __hi=F.max(s)).withColumn(s, F.when(width > eps, (F.col(s) - lo) / width).otherwise(0.0)).drop("__lo", "__hi")
 
 
 def norm_zscore(df: DataFrame, keys: list[str], s: str = "s", eps: float = 1e-12) -> DataFrame:
-    return df.withColumn(s, zscore(F.col(s), Window.partitionBy(*keys), eps))
+    sd = F.col("__sd")
+    return with_stats(df, keys, __mu=F.avg(s), __sd=F.stddev_pop(s)).withColumn(s, F.when(sd > eps, (F.col(s) - F.col("__mu")) / sd).otherwise(0.0)).drop("__mu", "__sd")
 
 
 def norm_zscore01(df: DataFrame, keys: list[str], s: str = "s") -> DataFrame:

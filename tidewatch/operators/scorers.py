@@ -1,57 +1,95 @@
 """Distributional and classical anomaly scorers: fitted on train, one model a key."""
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MODEL = "mu array<double>, prec array<array<double>>, shrinkage double, n long"
+from tidewatch.operators.models import apply_models
+from tidewatch.operators.neighbours import nearest
+from tidewatch.sources.shared import written
 
+#: Rows of partial sums that are merged at a time.
+MERGED = 64
 
-def moments(train: DataFrame, keys: list[str], f: str = "f") -> DataFrame:
-    """``keys, n, s, q``: count, sums and sums of products.
 
-    One row a task and key comes from a pass over the vectors, so that no group's vectors meet in one
-    place; the sums are then added up by key.
+def shifted(m: tuple, d: np.ndarray) -> tuple:
+    """Moments of vectors that all move by ``d``: n, sum y, sum y y', sum |y|^2 y, sum |y|^4."""
+    n, s, q, v, q4 = m
+    dd, tr, ds = d @ d, np.trace(q), d @ s
+    v2 = v + 2 * q @ d + dd * s + d * (tr + 2 * ds + n * dd)
+    q4 = q4 + 4 * d @ q @ d + n * dd * dd + 4 * (d @ v) + 2 * dd * tr + 4 * dd * ds
+    return n, s + n * d, q + np.outer(d, s) + np.outer(s, d) + n * np.outer(d, d), v2, q4
+
+
+def merged(parts: list[tuple[np.ndarray, tuple]]) -> tuple[np.ndarray, tuple]:
+    """Moments about one pilot, the mean of all, from moments about several pilots."""
+    n = sum(m[0] for _, m in parts)
+    mean = sum(m[1] + m[0] * c for c, m in parts) / n
+    moved = [shifted(m, c - mean) for c, m in parts]
+    return mean, tuple(sum(x[i] for x in moved) for i in range(5))
+
+
+def moments_of(x: np.ndarray) -> tuple[np.ndarray, tuple]:
+    c = x.mean(axis=0)
+    y = x - c
+    r = (y * y).sum(axis=1)
+    return c, (len(x), y.sum(axis=0), y.T @ y, y.T @ r, r @ r)
+
+
+def moments(train: DataFrame, keys: list[str], f: str, finish: object, schema: str) -> DataFrame:
+    """``finish(mean, moments)`` of each key's vectors as a row of ``schema``, from one pass over them.
+
+    A task keeps, for each key, count, sums, products, and the third and fourth order terms that the
+    shrinkage needs, about a mean of its own; moments of several tasks are merged a few at a time,
+    so that neither vectors nor all tasks' sums of a key meet in one place.
     """
-    schema = ", ".join([f"{k} {train.schema[k].dataType.simpleString()}" for k in keys] + ["n long", "s array<double>", "q array<double>"])
+    kinds = ", ".join(f"{k} {train.schema[k].dataType.simpleString()}" for k in keys)
+    packed = "part long, n long, c array<double>, s array<double>, q array<double>, v array<double>, q4 double"
+
+    def row(k: tuple, part: int, c: np.ndarray, m: tuple) -> tuple:
+        return (*k, part, m[0], c, m[1], m[2].ravel(), m[3], m[4])
+
+    columns = [*keys, *[x.split()[0] for x in packed.split(", ")]]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
         held: dict = {}
         for b in batches:
-            for k, part in b.groupby(keys, dropna=False):
-                x = np.stack(part[f].to_numpy())
-                n, s, q = held.get(k, (0, 0.0, 0.0))
-                held[k] = (n + len(x), s + x.sum(axis=0), q + x.T @ x)
-        rows = [(*k, n, s, q.ravel()) for k, (n, s, q) in held.items()]
-        yield pd.DataFrame(rows, columns=[*keys, "n", "s", "q"])
+            for k, rows in b.groupby(keys, dropna=False).indices.items():
+                k = k if isinstance(k, tuple) else (k,)
+                new = moments_of(np.stack(b[f].to_numpy()[rows]))
+                held[k] = merged([held[k], new]) if k in held else new
+        yield pd.DataFrame([row(k, TaskContext.get().partitionId(), c, m) for k, (c, m) in held.items()], columns=columns)
+
+    def together(pdf: pd.DataFrame) -> tuple[np.ndarray, tuple]:
+        return merged([(r.c, (r.n, r.s, r.q.reshape(len(r.s), -1), r.v, r.q4)) for r in pdf.itertuples()])
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([row(tuple(pdf[k].iloc[0] for k in keys), 0, *together(pdf))], columns=columns)
 
-    parts = train.select(*keys, f).mapInPandas(partial, schema)
-    add = lambda c: parts.select(*keys, F.posexplode(c).alias("i", "x")).groupBy(*keys, "i").agg(F.sum("x").alias("x")).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias(c))
-    return parts.groupBy(*keys).agg(F.sum("n").alias("n")).join(add("s"), keys).join(add("q"), keys)
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame([finish(*together(pdf))], columns=[x.split()[0] for x in schema.split(", ")])
+        for i, k in enumerate(keys):
+            out.insert(i, k, pdf[k].iloc[0])
+        return out
+
+    parts = train.select(*keys, f).mapInPandas(partial, f"{kinds}, {packed}")
+    parts = parts.withColumn("part", F.floor(F.col("part") / MERGED)).groupBy(*keys, "part").applyInPandas(some, f"{kinds}, {packed}")
+    return parts.groupBy(*keys).applyInPandas(last, f"{kinds}, {schema}")
 
 
 def ledoit_wolf_fit(train: DataFrame, keys: list[str], f: str = "f") -> DataFrame:
-    """``keys, mu, prec, shrinkage, n``: mean, precision of the shrunk covariance, and the shrinkage.
+    """``keys, mu, prec, shrinkage, n``: mean, precision of the shrunk covariance, and the shrinkage, from one scan."""
 
-    The means come first, then products and squared norms of the centred vectors, all by partial
-    sums; the inverse alone runs for a key at a time.
-    """
-    mean = train.select(*keys, F.posexplode(f).alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias("x"))
-    mean = mean.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("mu"))
-    centred = train.select(*keys, f).join(mean, keys).withColumn(f, F.zip_with(f, "mu", lambda a, b: a - b))
-    norms = centred.groupBy(*keys).agg(F.sum(F.pow(F.aggregate(f, F.lit(0.0), lambda a, x: a + x * x), 2)).alias("q4"))
-    both = moments(centred, keys, f).join(norms, keys).join(mean, keys).drop("s")
-    schema = ", ".join([f"{k} {train.schema[k].dataType.simpleString()}" for k in keys]) + ", " + MODEL
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(*[r[k] for k in keys], np.asarray(r["mu"]), *shrink(np.asarray(r["q"]), r["q4"], r["n"]), r["n"]) for _, r in b.iterrows()]
-            yield pd.DataFrame(rows, columns=[*keys, "mu", "prec", "shrinkage", "n"])
+    def solve(mean: np.ndarray, m: tuple) -> tuple:
+        return mean, *shrink(m[2].ravel(), m[4], m[0]), m[0]
 
-    return both.mapInPandas(solve, schema)
+    return moments(train, keys, f, solve, "mu array<double>, prec array<array<double>>, shrinkage double, n long")
 
 
 def shrink(q: np.ndarray, q4: float, n: int) -> tuple[list, float]:
@@ -66,20 +104,13 @@ def shrink(q: np.ndarray, q4: float, n: int) -> tuple[list, float]:
 
 
 def mahalanobis_score(df: DataFrame, model: DataFrame, keys: list[str], f: str = "f") -> DataFrame:
-    """Adds s: the squared distance to the model's mean, never below 0."""
-    out = df.join(model.select(*keys, "mu", "prec"), keys)
-    kind = out.withColumn("s", F.lit(0.0)).drop("mu", "prec").schema
+    """Adds s: the squared distance to the key's model's mean, never below 0."""
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = np.zeros(len(b))
-            for _, part in b.groupby(keys, dropna=False).indices.items():
-                x = np.stack(b[f].to_numpy()[part]) - np.asarray(b["mu"].iloc[part[0]])
-                p = np.stack(b["prec"].iloc[part[0]])
-                s[part] = np.maximum(((x @ p) * x).sum(axis=1), 0)
-            yield b.drop(columns=["mu", "prec"]).assign(s=s)
+    def score(rows: pd.DataFrame, m: pd.Series) -> pd.DataFrame:
+        x = np.stack(rows[f].to_numpy()) - np.asarray(m["mu"])
+        return rows.assign(s=np.maximum(((x @ np.stack(m["prec"])) * x).sum(axis=1), 0))
 
-    return out.mapInPandas(score, kind)
+    return apply_models(df, model.select(*keys, "mu", "prec"), keys, F.size("mu") * (F.size("mu") + 1), score, df.withColumn("s", F.lit(0.0)).schema)
 
 
 def patch_aggregate(distances: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
@@ -103,48 +134,8 @@ def random_projection(df: DataFrame, size: int, out: int, f: str = "f", seed: in
 
 
 def knn_score(test: DataFrame, train: DataFrame, keys: list[str], k: int = 5, id: str = "t", f: str = "f") -> DataFrame:
-    """Mean Euclidean distance to the k nearest train vectors of the key.
-
-    Train vectors are dealt into blocks; each block gives its own k nearest, and those are merged.
-    """
-    near = nearest_rows(test, train, keys, k, id, f)
-    return near.groupBy(*keys, id).agg(F.avg("d").alias("s"))
-
-
-#: Train rows of a key that one task of the neighbour search holds, about.
-BLOCK_ROWS = 2000
-
-
-def nearest_rows(test: DataFrame, train: DataFrame, keys: list[str], k: int, id: str, f: str) -> DataFrame:
-    """``keys, id, other, d``: the k nearest train rows of each test row.
-
-    Each key's train rows lie in hashed blocks, its test rows in hashed groups, and one task meets one
-    block with one group; the largest key sets the number of both, so that tasks stay small.
-    """
-    most = train.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    blocks = max(2, -(-most // BLOCK_ROWS))
-    spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = test.select(*keys, F.col(id).alias("id"), F.col(f).alias("f")).withColumn("g", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("b", spread)
-    right = train.select(*keys, F.col(id).alias("id"), F.col(f).alias("f")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("g", spread)
-    by = [*keys, "g", "b"]
-    schema = ", ".join([f"{c} {test.schema[c].dataType.simpleString()}" for c in keys]) + ", id long, other long, d double"
-
-    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(x) and len(y):
-            m, ids = np.stack(y["f"].to_numpy()), y["id"].to_numpy()
-            for i, v in zip(x["id"].to_numpy(), x["f"].to_numpy(), strict=True):
-                d = np.sqrt(((m - v) ** 2).sum(axis=1))
-                best = np.lexsort((ids, d))[: k + 1]
-                rows += [(i, ids[j], d[j]) for j in best]
-        out = pd.DataFrame(rows, columns=["id", "other", "d"])
-        for c in keys:
-            out[c] = x[c].iloc[0] if len(x) else None
-        return out[[*keys, "id", "other", "d"]]
-
-    near = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(meet, schema)
-    rank = F.row_number().over(Window.partitionBy(*keys, "id").orderBy("d", "other"))
-    return near.withColumn("rk", rank).where(F.col("rk") <= k).select(*keys, F.col("id").alias(id), "other", "d")
+    """Mean Euclidean distance to the k nearest train vectors of the key."""
+    return nearest(test, train, keys, k, id, f).groupBy(*keys, id).agg(F.avg("d").alias("s"))
 
 
 def zscore_meanabs(long: DataFrame, keys: list[str]) -> DataFrame:
@@ -156,86 +147,118 @@ def zscore_meanabs(long: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pca_recon(df: DataFrame, keys: list[str], f: str = "f") -> DataFrame:
-    """Mean squared error of standardised vectors after projection on train's first components: ``keys, t, s``.
+    """Mean squared error of standardised vectors after projection on train's first components, as ``s`` in place of the vector.
 
     Components: at least 2, at most half the width, 20, and the rows less one.
     """
-    stats = moments(df.where("split = 'train'"), keys, f)
-    out = df.join(stats, keys)
-    sums = "__sums"
-    out = out.withColumnRenamed("s", sums)
-    schema = out.drop("q", "n", f, sums).withColumn("s", F.lit(0.0)).schema
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = np.zeros(len(b))
-            for rows in b.groupby(keys, dropna=False).indices.values():
-                r = b.iloc[rows[0]]
-                n, mu = r["n"], np.asarray(r[sums]) / r["n"]
-                cov = np.asarray(r["q"]).reshape(len(mu), -1) / n - np.outer(mu, mu)
-                sd = np.sqrt(np.maximum(np.diag(cov), 0))
-                sd[sd == 0] = 1
-                k = max(2, min(len(mu) // 2, 20, int(n) - 1))
-                _, vec = np.linalg.eigh(cov / np.outer(sd, sd))
-                v = vec[:, ::-1][:, :k]
-                z = (np.stack(b[f].to_numpy()[rows]) - mu) / sd
-                s[rows] = ((z - z @ v @ v.T) ** 2).mean(axis=1)
-            yield b.drop(columns=["q", "n", f, sums]).assign(s=s)
-
-    return out.mapInPandas(score, schema)
-
-
-def lof_score(test: DataFrame, train: DataFrame, keys: list[str], k: int = 20, id: str = "t", f: str = "f") -> DataFrame:
-    """Local outlier factor of test rows against train: mean neighbour density over own density."""
-    own = nearest_rows(train, train, keys, k + 1, id, f).where(F.col(id) != F.col("other"))
-    own = own.withColumn("rk", F.row_number().over(Window.partitionBy(*keys, id).orderBy("d", "other"))).where(F.col("rk") <= k)
-    kd = own.groupBy(*keys, id).agg(F.max("d").alias("kd")).select(*keys, F.col(id).alias("other"), "kd")
-    reach = lambda near: near.join(kd, [*keys, "other"]).groupBy(*keys, id).agg((1 / (F.avg(F.greatest("kd", "d")) + 1e-10)).alias("lrd"))
-    dense = reach(own).select(*keys, F.col(id).alias("other"), F.col("lrd").alias("o_lrd"))
-    near = nearest_rows(test, train, keys, k, id, f)
-    mine = reach(near)
-    mean = near.join(dense, [*keys, "other"]).groupBy(*keys, id).agg(F.avg("o_lrd").alias("o"))
-    return mean.join(mine, [*keys, id]).select(*keys, id, (F.col("o") / F.col("lrd")).alias("s"))
+    def components(mean: np.ndarray, m: tuple) -> tuple:
+        cov = m[2] / m[0]
+        sd = np.sqrt(np.maximum(np.diag(cov), 0))
+        sd[sd == 0] = 1
+        k = max(2, min(len(mean) // 2, 20, int(m[0]) - 1))
+        return mean, sd, list(np.linalg.eigh(cov / np.outer(sd, sd))[1][:, ::-1][:, :k])
 
+    model = moments(df.where("split = 'train'"), keys, f, components, "mu array<double>, sd array<double>, v array<array<double>>")
 
-def train_cap_sample(df: DataFrame, keys: list[str], cap: int, id: str = "t", seed: int = 42) -> DataFrame:
-    """At most ``cap`` rows of each key, by a seeded hash of their ids."""
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id).cast("string")))
-    return df.withColumn("rk", F.row_number().over(Window.partitionBy(*keys).orderBy(order, id))).where(F.col("rk") <= cap).drop("rk")
+    def score(rows: pd.DataFrame, m: pd.Series) -> pd.DataFrame:
+        z, v = (np.stack(rows[f].to_numpy()) - m["mu"]) / m["sd"], np.stack(m["v"])
+        return rows.drop(columns=f).assign(s=((z - z @ v @ v.T) ** 2).mean(axis=1))
 
+    return apply_models(df, model, keys, F.size("mu") * 22, score, df.drop(f).withColumn("s", F.lit(0.0)).schema)
 
-def average_path(n: float) -> float:
-    return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
+def standard(df: DataFrame, train: DataFrame, keys: list[str], f: str = "f") -> DataFrame:
+    """Vectors by train's means and population deviations; a deviation of 0 counts as 1."""
 
-#: A tree is nested tuples (feature, cut, below, above); a leaf is the path length that stands for it.
-def grow(x: np.ndarray, rng: np.random.Generator, limit: int, depth: int = 0):
-    varied = np.flatnonzero(x.max(axis=0) > x.min(axis=0)) if len(x) else []
-    if depth >= limit or len(x) <= 1 or not len(varied):
-        return depth + average_path(len(x))
-    j = int(rng.choice(varied))
-    at = float(rng.uniform(x[:, j].min(), x[:, j].max()))
-    low = x[:, j] < at
-    return j, at, grow(x[low], rng, limit, depth + 1), grow(x[~low], rng, limit, depth + 1)
+    def scale(mean: np.ndarray, m: tuple) -> tuple:
+        sd = np.sqrt(np.maximum(np.diag(m[2]) / m[0], 0))
+        return mean, np.where(sd > 0, sd, 1)
 
+    def run(rows: pd.DataFrame, m: pd.Series) -> pd.DataFrame:
+        return rows.assign(**{f: list((np.stack(rows[f].to_numpy()) - m["mu"]) / m["sd"])})
 
-def depths(tree, x: np.ndarray) -> np.ndarray:
-    if not isinstance(tree, tuple):
-        return np.full(len(x), tree)
-    j, at, a, b = tree
-    out, low = np.empty(len(x)), x[:, j] < at
-    out[low], out[~low] = depths(a, x[low]), depths(b, x[~low])
-    return out
+    return apply_models(df, moments(train, keys, f, scale, "mu array<double>, sd array<double>"), keys, 2 * F.size("mu"), run, df.schema)
 
 
-def isolation_forest(df: DataFrame, keys: list[str], trees: int = 100, sample: int = 256, seed: int = 42, id: str = "t", f: str = "f") -> DataFrame:
-    """2 ** -(mean depth / c(sample)) of every row; each tree grows from its own hashed sample of train rows.
+def lof_score(test: DataFrame, train: DataFrame, keys: list[str], k: int = 20, id: str = "t", f: str = "f", contamination: float | None = 0.05) -> DataFrame:
+    """Local outlier factor of test rows against train, above the offset: ``keys, id, s``.
 
-    The trees of a key (at most ``trees`` of ``sample`` rows) travel with the key's rows.
+    Vectors are standardised by train; k is held to the train rows less one, and to 2 at least.  The
+    offset is the interpolated quantile of 1 - ``contamination`` of train's own factors, or 1.5
+    without one.  Neighbours of train and test rows come from one search.
     """
-    import pickle
+    both = train.select(*keys, id, f, F.lit(True).alias("itself")).unionByName(test.select(*keys, id, f, F.lit(False).alias("itself")))
+    both = written(standard(both, train, keys, f))
+    near = nearest(both, both.where("itself"), keys, k, id, f, "itself")
+    n = train.groupBy(*keys).agg(F.greatest(F.lit(2), F.least(F.lit(k), F.count("*") - 1)).alias("k"))
+    rank = F.row_number().over(Window.partitionBy(*keys, id, "itself").orderBy("d", "other"))
+    near = written(near.join(n, keys).withColumn("rk", rank).where(F.col("rk") <= F.col("k")).drop("rk", "k"))
+    kd = near.where("itself").groupBy(*keys, F.col(id).alias("other")).agg(F.max("d").alias("kd"))
+    dense = written(near.join(kd, [*keys, "other"]).groupBy(*keys, id, "itself").agg((1 / (F.avg(F.greatest("kd", "d")) + 1e-10)).alias("lrd")))
+    of_other = dense.where("itself").select(*keys, F.col(id).alias("other"), F.col("lrd").alias("o_lrd"))
+    mean = near.join(of_other, [*keys, "other"]).groupBy(*keys, id, "itself").agg(F.avg("o_lrd").alias("o"))
+    lof = mean.join(dense, [*keys, id, "itself"]).select(*keys, id, "itself", (F.col("o") / F.col("lrd")).alias("s"))
+    if contamination is None:
+        return lof.where("not itself").select(*keys, id, (F.col("s") - 1.5).alias("s"))
+    offset = lof.where("itself").groupBy(*keys).agg(F.percentile("s", F.lit(1 - contamination)).alias("offset"))
+    return lof.where("not itself").join(offset, keys).select(*keys, id, (F.col("s") - F.col("offset")).alias("s"))
+
+
+def train_cap_sample(df: DataFrame, keys: list[str], cap: int, id: str = "t", seed: int = 42) -> DataFrame:
+    """At most ``cap`` rows of each key, by a seeded hash of their ids."""
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id).cast("string")))
+    return df.withColumn("rk", F.row_number().over(Window.partitionBy(*keys).orderBy(order, id))).where(F.col("rk") <= cap).drop("rk")
+
+
+def average_path(n: float) -> float:
+    return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
 
-    train = df.where("split = 'train'").select(*keys, F.col(id).alias("id"), F.col(f).alias("f"))
+def grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> tuple[np.ndarray, ...]:
+    """A tree as flat arrays, a place a node: feature (-1 for a leaf), cut, place of the lower child (the upper is next), and path length."""
+    feature, cut, child, path = [], [], [], []
+    waiting = [(x, 0)]
+    for rows, depth in waiting:  # grows while it is walked, so that a node's place is its number here
+        varied = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) else []
+        path.append(depth + average_path(len(rows)))
+        if depth >= limit or len(rows) <= 1 or not len(varied):
+            feature.append(-1), cut.append(0.0), child.append(0)
+            continue
+        j = int(rng.choice(varied))
+        at = float(rng.uniform(rows[:, j].min(), rows[:, j].max()))
+        feature.append(j), cut.append(at), child.append(len(waiting))
+        low = rows[:, j] < at
+        waiting += [(rows[low], depth + 1), (rows[~low], depth + 1)]
+    return np.array(feature, np.int32), np.array(cut), np.array(child, np.int32), np.array(path)
+
+
+def mean_depth(tree: np.ndarray, feature: np.ndarray, cut: np.ndarray, child: np.ndarray, path: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Mean path length of each row over the trees that start at places ``tree``; all rows go down all trees a level at a time."""
+    out = np.zeros(len(x))
+    for root in tree:
+        at = np.full(len(x), root)
+        rows = np.arange(len(x))
+        while len(rows):
+            f = feature[at[rows]]
+            rows, f = rows[f >= 0], f[f >= 0]
+            here = at[rows]
+            at[rows] = root + child[here] + (x[rows, f] >= cut[here])
+        out += path[at]
+    return out / len(tree)
+
+
+def isolation_forest(
+    df: DataFrame, keys: list[str], trees: int = 100, sample: int = 256, seed: int = 42, id: str = "t", f: str = "f", contamination: float | None = 0.05, cap: int = 50000
+) -> DataFrame:
+    """``s`` in place of the vector: 2 ** -(mean depth / c(sample)) less the offset.
+
+    Each tree grows from its own hashed sample of train rows, of which a key gives ``cap`` at most (by
+    hash, a documented bound of the fit).  The offset is the interpolated quantile of
+    1 - ``contamination`` of the scores of the rows fitted on, or 0.5 without one.
+    """
+    train = train_cap_sample(df.where("split = 'train'").select(*keys, F.col(id).alias("id"), F.col(f).alias("f")), keys, cap, "id", seed)
+    train = written(train)
     # only rows that can be in a tree's sample are sent: hashes below the share that holds it, widened by eight deviations
     share = F.least(F.lit(1.0), (sample + 8 * sample**0.5 + 32) / F.col("size"))
     hashed = F.xxhash64("tree", "id", F.lit(seed))
@@ -243,27 +266,36 @@ def isolation_forest(df: DataFrame, keys: list[str], trees: int = 100, sample: i
     spread = spread.withColumn("h", hashed).where((F.col("h") / 2.0**64 + 0.5) <= share)
     rank = F.row_number().over(Window.partitionBy(*keys, "tree").orderBy("h", "id"))
     some = spread.withColumn("rk", rank).where(F.col("rk") <= sample).drop("size", "h")
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys)
 
     def plant(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf.sort_values("rk")["f"].to_numpy())
         t = grow(x, np.random.default_rng([seed, int(pdf["tree"].iloc[0])]), int(np.ceil(np.log2(max(2, len(x))))))
-        return pdf[keys].head(1).assign(tree=pdf["tree"].iloc[0], n=len(x), model=[pickle.dumps(t)])
+        return pdf[keys].head(1).assign(tree=pdf["tree"].iloc[0], n=len(x), feature=[t[0]], cut=[t[1]], child=[t[2]], path=[t[3]])
 
-    model = some.groupBy(*keys, "tree").applyInPandas(plant, ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys) + ", tree int, n int, model binary")
-    forest = model.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("tree", "model"))).alias("forest"), F.max("n").alias("n"))
-    out = df.join(forest, keys)
-    schema = out.drop("forest", "n", f).withColumn("s", F.lit(0.0)).schema
+    planted = some.groupBy(*keys, "tree").applyInPandas(plant, f"{kinds}, tree int, n int, feature array<int>, cut array<double>, child array<int>, path array<double>")
+    one = F.struct("tree", "feature", "cut", "child", "path")
+    forest = written(planted.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("forest"), F.max("n").alias("n")))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = np.zeros(len(b))
-            for rows in b.groupby(keys, dropna=False).indices.values():
-                r = b.iloc[rows[0]]
-                x = np.stack(b[f].to_numpy()[rows])
-                s[rows] = 2 ** (-np.mean([depths(pickle.loads(t["model"]), x) for t in r["forest"]], axis=0) / max(average_path(r["n"]), 1e-9))
-            yield b.drop(columns=["forest", "n", f]).assign(s=s)
+    def raw(x: np.ndarray, m: pd.Series) -> np.ndarray:
+        parts = [np.concatenate([np.asarray(t[c]) for t in m["forest"]]) for c in ("feature", "cut", "child", "path")]
+        size = [len(t["feature"]) for t in m["forest"]]
+        depth = mean_depth(np.cumsum(size) - size, *parts, x)
+        return 2 ** (-depth / max(average_path(m["n"]), 1e-9))
+
+    def score(rows: pd.DataFrame, m: pd.Series) -> pd.DataFrame:
+        return rows.drop(columns=f).assign(s=raw(np.stack(rows[f].to_numpy()), m))
 
-    return out.mapInPandas(score, schema)
+    def fitted(rows: pd.DataFrame, m: pd.Series) -> pd.DataFrame:
+        return rows[keys].assign(s=raw(np.stack(rows["f"].to_numpy()), m))
+
+    numbers = F.size(F.flatten("forest.feature")) * 4
+    out = apply_models(df, forest, keys, numbers, score, df.drop(f).withColumn("s", F.lit(0.0)).schema)
+    if contamination is None:
+        return out.withColumn("s", F.col("s") - 0.5)
+    own = apply_models(train, forest, keys, numbers, fitted, f"{kinds}, s double")
+    offset = own.groupBy(*keys).agg(F.percentile("s", F.lit(1 - contamination)).alias("offset"))
+    return out.join(offset, keys).withColumn("s", F.col("s") - F.col("offset")).drop("offset")
 
 
 def reconstruction_mse(windows: DataFrame, reconstruction: DataFrame, keys: list[str]) -> DataFrame:
@@ -271,3 +303,10 @@ def reconstruction_mse(windows: DataFrame, reconstruction: DataFrame, keys: list
     on = [*keys, "t", "ch"]
     both = windows.join(reconstruction.select(*on, F.col("v").alias("r")), on)
     return both.groupBy(*keys).agg(F.avg(F.pow(F.col("v") - F.col("r"), 2)).alias("s"))
+
+
+def reconstruction_blend(windows: DataFrame, decoders: list[DataFrame], keys: list[str], shares: list[float] | None = None) -> DataFrame:
+    """The decoders' errors of each window, weighted by ``shares`` (equal ones if none are given)."""
+    shares = shares or [1 / len(decoders)] * len(decoders)
+    parts = [reconstruction_mse(windows, d, keys).withColumn("s", F.col("s") * w) for d, w in zip(decoders, shares, strict=True)]
+    return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.sum("s").alias("s"))

@@ -2,6 +2,7 @@
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -48,12 +49,16 @@ def paired_differences(ledger: DataFrame, group: list[str], entity: str, metric:
 
 
 def wilcoxon(diffs: DataFrame, group: list[str]) -> DataFrame:
-    """Signed-rank statistic and two-sided p; exact for up to 50 pairs without ties and zeros, else by the tie-corrected normal."""
+    """Signed-rank statistic and two-sided p; exact for up to 50 pairs without ties and zeros, else by the tie-corrected normal.
+
+    A group whose differences are all zero has W = 0 and p = 1.
+    """
     d = diffs.where("d <> 0").withColumn("m", F.abs("d"))
     d = d.select("*", average_rank(group, "m").alias("rk"), F.count("*").over(Window.partitionBy(*group, "m")).cast("double").alias("c"))
     one = d.groupBy(*group).agg(F.sum(F.when(F.col("d") > 0, F.col("rk")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("rk")).otherwise(0.0)).alias("w_minus"), F.count("*").alias("n"), F.sum(F.col("c") * F.col("c") - 1).alias("ties"))
     zeros = diffs.groupBy(*group).agg(F.count("*").alias("n_all"))
-    out = one.join(zeros, group).withColumn("w", F.least("w_plus", "w_minus"))
+    whole = zeros.join(one, group, "left").select(*group, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("w_plus", "w_minus")], F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ties", F.lit(0.0)).alias("ties"), "n_all")
+    out = whole.withColumn("w", F.least("w_plus", "w_minus"))
 
     def p_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -63,6 +68,8 @@ def wilcoxon(diffs: DataFrame, group: list[str]) -> DataFrame:
 
 
 def wilcoxon_p(w: float, n: int, ties: float, whole: bool) -> float:
+    if n == 0:
+        return 1.0
     if n <= 50 and ties == 0 and whole:
         ways = np.zeros(n * (n + 1) // 2 + 1)
         ways[0] = 1
@@ -109,6 +116,13 @@ def improvement_counts(diffs: DataFrame, group: list[str], entity: str, top: int
     return r.groupBy(*group).agg(F.count_if(F.col("d") > 0).alias("improved"), F.count("*").alias("n"), F.sum(F.when(F.col("hi") <= top, F.col("d"))).alias("top"), F.sum(F.when(F.col("lo") <= top, F.col("d"))).alias("bottom"))
 
 
+def extreme_differences(diffs: DataFrame, group: list[str], entity: str, top: int = 5) -> DataFrame:
+    """``group, side, rank, entity, d``: the ``top`` greatest and least differences as rows, ties by entity."""
+    ends = [("top", F.desc("d")), ("bottom", F.asc("d"))]
+    parts = [diffs.where(F.col("d").isNotNull()).withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(order, entity))).where(F.col("rank") <= top).select(*group, F.lit(side).alias("side"), "rank", entity, "d") for side, order in ends]
+    return parts[0].unionByName(parts[1])
+
+
 def acf(df: DataFrame, keys: list[str], lags: int = 10) -> DataFrame:
     """Biased autocorrelation at lags 1..lags and whether it passes 1.96 / sqrt(n); 0 without variance."""
     by = Window.partitionBy(*keys)
@@ -131,17 +145,23 @@ def runs_test(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def kruskal_blocks(df: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """Tie-corrected Kruskal-Wallis statistic over whole consecutive blocks; null under three blocks or without variety."""
+    """Tie-corrected Kruskal-Wallis statistic and p over whole consecutive blocks, null under three blocks or without variety; and the blocks' means' least, greatest and population deviation."""
     n = F.count("*").over(Window.partitionBy(*keys))
     b = df.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("t")) - 1) / size)).withColumn("n", n)
     b = b.where(F.col("block") < F.floor(F.col("n") / size)).drop("n")
     r = b.select(*keys, "block", "s", average_rank(keys).alias("rk"), F.count("*").over(Window.partitionBy(*keys, "s")).cast("double").alias("c"), F.count("*").over(Window.partitionBy(*keys)).cast("double").alias("n"))
-    per = r.groupBy(*keys, "block", "n").agg(F.sum("rk").alias("rs"), F.count("*").cast("double").alias("nb"), F.sum(F.col("c") * F.col("c") - 1).alias("tie"))
-    one = per.groupBy(*keys, "n").agg(F.sum(F.col("rs") * F.col("rs") / F.col("nb")).alias("q"), F.count("*").alias("blocks"), F.sum("tie").alias("tie"))
+    per = r.groupBy(*keys, "block", "n").agg(F.avg("s").alias("m"), F.sum("rk").alias("rs"), F.count("*").cast("double").alias("nb"), F.sum(F.col("c") * F.col("c") - 1).alias("tie"))
+    one = per.groupBy(*keys, "n").agg(F.sum(F.col("rs") * F.col("rs") / F.col("nb")).alias("q"), F.count("*").alias("blocks"), F.sum("tie").alias("tie"), F.min("m").alias("mean_min"), F.max("m").alias("mean_max"), F.stddev_pop("m").alias("mean_std"))
     n = F.col("n")
     fix = 1 - F.col("tie") / (n * n * n - n)
     h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / fix
-    return one.select(*keys, "blocks", F.when((F.col("blocks") >= 3) & (fix > 0), h).alias("h"))
+    out = one.select(*keys, "blocks", F.when((F.col("blocks") >= 3) & (fix > 0), h).alias("h"), "mean_min", "mean_max", "mean_std")
+
+    def p_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(p=[None if x is None or math.isnan(x) else chi2_tail(x, int(k) - 1) for x, k in zip(b["h"], b["blocks"], strict=True)])
+
+    return out.mapInPandas(p_values, out.withColumn("p", F.lit(None).cast("double")).schema)
 
 
 def chi2_tail(x: float, dof: int) -> float:
@@ -219,6 +239,22 @@ def comparison_pivot(ledger: DataFrame, row: str, column: str, values: list, met
     return ledger.groupBy(row).pivot(column, values).agg(F.avg(metric))
 
 
+def comparison_sources(ledgers: list[tuple[str, DataFrame]], row: str, column: str, metric: str) -> DataFrame:
+    """``row, column, value, source, note, best``: the mean metric with where it comes from.
+
+    ``ledgers`` are candidates in order of preference, each with its name: a cell takes the first that
+    has a value for it.  ``note`` says how many others have one too; ``best`` marks the greatest
+    values of each column.
+    """
+    one = lambda i, name, df: df.groupBy(row, column).agg(F.avg(metric).alias("value")).where("value is not null").select(row, column, "value", F.lit(i).alias("i"), F.lit(name).alias("source"))
+    every = reduce(DataFrame.unionByName, [one(i, name, df) for i, (name, df) in enumerate(ledgers)])
+    cell = every.groupBy(row, column).agg(F.min(F.struct("i", "value", "source")).alias("c"), (F.count("*") - 1).alias("others"))
+    note = F.when(F.col("others") > 0, F.concat(F.col("others").cast("string"), F.lit(" more"))).otherwise("")
+    out = cell.select(row, column, F.col("c.value").alias("value"), F.col("c.source").alias("source"), note.alias("note"))
+    most = out.groupBy(column).agg(F.max("value").alias("most"))
+    return out.join(most, column).select(row, column, "value", "source", "note", (F.col("value") == F.col("most")).alias("best"))
+
+
 def best_view(ledger: DataFrame, entity: list[str], metric: str, view: str = "method") -> DataFrame:
     """Each entity's best view (of equals the first by name) and its metric."""
     best = F.min(F.struct((-F.col(metric)).alias("m"), F.col(view).alias("v")))

@@ -20,6 +20,11 @@ def pi_identity(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("src"), F.col("id").cast("int").alias("dst"))
 
 
+def moved_patches(tokens: DataFrame, pi: DataFrame) -> DataFrame:
+    """``w, src, dst`` of every token whose patch the map holds; ``pi`` has a row a patch of the grid."""
+    return tokens.select("w", F.col("patch").alias("src")).join(F.broadcast(pi), "src").select("w", "src", "dst")
+
+
 def squared(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 

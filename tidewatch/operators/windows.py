@@ -58,11 +58,17 @@ def pool_tokens(tokens: DataFrame, keys: list[str]) -> DataFrame:
     return d.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("f"))
 
 
-def token_sequences(frames: DataFrame, keys: list[str], k: int, delta: int, t: str = "t") -> DataFrame:
-    """For sample i the k frames from i on, and the target at i + k + delta - 1; n = T - k - delta + 1 of them."""
-    past = Window.partitionBy(*keys).orderBy(t).rowsBetween(-(k + delta - 1), -delta)
-    out = frames.withColumn("past", F.collect_list(t).over(past)).where(F.size("past") == k)
-    return out.select(*keys, (F.col(t) - (k + delta - 1)).alias("i"), "past", F.col(t).alias("target"), "label")
+def token_sequences(frames: DataFrame, keys: list[str], k: int, delta: int, vec: str = "vec", t: str = "t") -> DataFrame:
+    """For sample i the k frames from i on, ``xs`` with their steps ``past``, and the target frame i + k + delta - 1, its vector ``y`` and label.
+
+    Every frame goes to the targets that it precedes, so a long series is as many groups as targets;
+    frames are numbered without gaps, and a target whose past is not whole gives no sample.
+    """
+    offsets = F.explode(F.sequence(F.lit(delta), F.lit(delta + k - 1)))
+    sent = frames.select(*keys, F.col(t).alias("p"), F.col(vec).alias("x"), offsets.alias("o")).select(*keys, (F.col("p") + F.col("o")).alias("target"), "p", "x")
+    past = sent.groupBy(*keys, "target").agg(F.sort_array(F.collect_list(F.struct("p", "x"))).alias("past")).where(F.size("past") == k)
+    out = past.join(frames.select(*keys, F.col(t).alias("target"), F.col(vec).alias("y"), "label"), [*keys, "target"])
+    return out.select(*keys, (F.col("target") - (k + delta - 1)).alias("i"), F.transform("past", lambda s: s["p"]).alias("past"), F.transform("past", lambda s: s["x"]).alias("xs"), "target", "y", "label")
 
 
 def channel_groups(long: DataFrame, size: int, ch: str = "ch") -> DataFrame:
@@ -89,5 +95,8 @@ def aggregate_trace(long: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def concat_layers(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Token vectors of two layers side by side."""
-    return a.join(b.select(*keys, F.col("vec").alias("other")), keys).withColumn("vec", F.concat("vec", "other")).drop("other")
+    """Token vectors of two layers side by side; a token that only one layer has is an error."""
+    both = a.join(b.select(*keys, F.col("vec").alias("other")), keys, "full")
+    missing = F.col("vec").isNull() | F.col("other").isNull()
+    fine = F.when(missing, F.raise_error(F.lit("the layers do not hold the same tokens")).cast("array<double>")).otherwise(F.concat("vec", "other"))
+    return both.withColumn("vec", fine).drop("other")

@@ -152,7 +152,13 @@ def _(spark, sf):
     return conformal.conformal_p(*parts(spark, sf), EV).select("entity", "view", "t", "p_value")
 
 
-@query("flag_fixed", CAL + CT + " select entity, view, t, s > thr as flag from tst join ct using (entity, view)")
+#: No window and no sort of a whole table: a grouped order statistic, and a join on the tested rows alone.
+FLAGS = f""", cq as materialized (select entity, view, list_sort(list(s)) as xs, count(*) as n from fx_scores where t < 30 group by entity, view),
+cr as materialized (select entity, view, xs[cast(greatest(1, least(ceil((cast(n as double) + 1) * (1 - cast(0.1 as double))), n)) as bigint)] as thr from cq),
+te as materialized (select entity, view, t, s from fx_scores where t >= 30)"""
+
+
+@query("flag_fixed", FLAGS + " select entity, view, t, s > thr as flag from te join cr using (entity, view)")
 def _(spark, sf):
     cal, test = parts(spark, sf)
     return conformal.flag_fixed(test, conformal.conformal_threshold(cal, EV, 0.1), EV).select("entity", "view", "t", "flag")
@@ -199,7 +205,7 @@ def halves(spark, sf):
 
 @query("train_tail_calibration", SP + " select entity, view, t, round(s, 6) + 0 as s from tl")
 def _(spark, sf):
-    return conformal.train_tail(halves(spark, sf), EV, 0.2).select("entity", "view", "t", "s")
+    return conformal.train_tail(halves(spark, sf).where("split = 'train'"), EV, 0.2).select("entity", "view", "t", "s")
 
 
 FE = SP + """, al as (select cast(unnest([0.01, 0.05, 0.1]) as double) as alpha), tt as (select entity, view, alpha, n, s as thr from tl, al where rk = greatest(1, least(ceil((cast(n as double) + 1) * (1 - alpha)), n))),

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import metrics, pairwise, post, scorers, tokens, windows
 from tidewatch.plans import fixtures as fx
+from tidewatch.plans.evaluation import ALL
 from tidewatch.plans.registry import query
+from tidewatch.sources.shared import written
 
 E = ["entity"]
 EW = ["entity", "w"]
@@ -67,29 +69,35 @@ def _(spark, sf):
 # ------------------------------------------------------------------ E: a 2 x 2 patch grid
 
 
+def grid(spark, sf):
+    """Tokens of frames of 14 x 14 patches."""
+    e = fx.read(spark, sf, "embeddings")
+    return e.select(F.floor(F.col("vec_id") / 196).alias("w"), (F.col("vec_id") % 196).cast("int").alias("patch"))
+
+
 def pi_sql(diagonal: bool) -> str:
     r = "r - 1" if diagonal else "r"
-    return f"select cast(src as bigint) as src, cast(({r}) * 14 + c - 1 as bigint) as dst from (select n.src, n.src // 14 as r, n.src % 14 as c from (select unnest(range(0, 196)) as src) n) where c - 1 >= 0 and ({r}) >= 0 and exists (select 1 from fx_tokens)"
+    return f"select w, src, cast(({r}) * 14 + c - 1 as bigint) as dst from (select w, src, src // 14 as r, src % 14 as c from (select vec_id // 196 as w, cast(vec_id % 196 as bigint) as src from embeddings)) where c - 1 >= 0 and ({r}) >= 0"
 
 
-@query("pi_line", pi_sql(False))
+@query("pi_line", " " + pi_sql(False))
 def _(spark, sf):
-    return tokens.pi_shift(spark, 14, 14, 10, 100, False).join(fx.tokens(spark, sf).limit(1).select(F.lit(1).alias("k")), how="cross").drop("k")
+    return tokens.moved_patches(grid(spark, sf), tokens.pi_shift(spark, 14, 14, 10, 100, False))
 
 
-@query("pi_diagonal", pi_sql(True))
+@query("pi_diagonal", " " + pi_sql(True))
 def _(spark, sf):
-    return tokens.pi_shift(spark, 14, 14, 10, 100, True).join(fx.tokens(spark, sf).limit(1).select(F.lit(1).alias("k")), how="cross").drop("k")
+    return tokens.moved_patches(grid(spark, sf), tokens.pi_shift(spark, 14, 14, 10, 100, True))
 
 
-@query("pi_identity", "select distinct cast(patch as bigint) as src, cast(patch as bigint) as dst from fx_tokens")
+@query("pi_identity", " select w, cast(patch as bigint) as src, cast(patch as bigint) as dst from fx_tokens")
 def _(spark, sf):
-    return tokens.pi_identity(spark, 4).join(fx.tokens(spark, sf).select(F.col("patch").alias("src")).distinct(), "src")
+    return tokens.moved_patches(fx.tokens(spark, sf), tokens.pi_identity(spark, 4))
 
 
-@query("pi_count", "select count(*) as n from (select distinct patch from fx_tokens)")
+@query("pi_count", " select w, count(*) as n from fx_tokens group by w")
 def _(spark, sf):
-    return tokens.pi_identity(spark, 4).join(fx.tokens(spark, sf).select(F.col("patch").alias("src")).distinct(), "src").agg(F.count("*").alias("n"))
+    return tokens.moved_patches(fx.tokens(spark, sf), tokens.pi_identity(spark, 4)).groupBy("w").agg(F.count("*").alias("n"))
 
 
 @query("ot_plan")
@@ -162,11 +170,16 @@ def _(spark, sf):
 # ------------------------------------------------------------------ F: two scaled channels (SQL) or four
 
 
-def vectors(spark, sf, columns=("x0", "x1", "x2", "x3")):
-    d = fx.daily_long(spark, sf).groupBy("entity", "split", "t", "label").pivot("ch", [0, 1, 2, 3]).agg(F.first("v"))
-    return d.select("entity", "split", "t", "label", F.array(*[F.col(c[1]) for c in columns]).alias("f"))
+def halves(spark, sf):
+    """The daily table, the first half of an entity's steps being train."""
+    d = fx.daily(spark, sf)
+    n = d.groupBy("entity").agg(F.count("*").alias("n"))
+    return d.join(n, "entity").withColumn("split", F.when(F.col("t") < F.floor(F.col("n") / 2), "train").otherwise("test")).drop("n")
 
 
+def vectors(spark, sf, columns=("x0", "x1", "x2", "x3")):
+    return halves(spark, sf).select("entity", "split", "t", "label", F.array(*columns).alias("f"))
+
 LW = """, tr as (select entity, x0 as a, x3 as b from fx_split where split = 'train'), m as (select entity, avg(a) as ma, avg(b) as mb, count(*) as n from tr group by entity),
 s as (select entity, ma, mb, n, avg((a - ma) * (a - ma)) as saa, avg((a - ma) * (b - mb)) as sab, avg((b - mb) * (b - mb)) as sbb, sum(power((a - ma) * (a - ma) + (b - mb) * (b - mb), 2)) as q4 from tr join m using (entity) group by entity, ma, mb, n),
 d0 as (select *, (saa + sbb) / 2 as mm, saa * saa + 2 * sab * sab + sbb * sbb as sz from s), d1 as (select *, (sz - 2 * mm * mm) / 2 as delta from d0), d2 as (select *, least(greatest((q4 / n - sz) / (2 * n), 0), delta) as beta from d1),
@@ -191,27 +204,50 @@ def _(spark, sf):
     return mahalanobis(spark, sf, ("x0", "x3")).select("entity", "t", "split", "s")
 
 
-def pooled_mahalanobis(spark, sf, columns):
-    """Windows of 10 days pooled, fitted on train days, scored on test days, smoothed; all metrics an entity."""
-    d = fx.daily_long(spark, sf).groupBy("entity", "split", "t", "label").pivot("ch", [0, 1, 2, 3]).agg(F.first("v"))
-    d = d.select("entity", "split", "t", "label", *[F.col(c[1]).alias(c) for c in columns])
-    w = windows.mean_pool(d, ["entity", "split"], 10, 1, list(columns))
-    w = w.select("entity", "split", F.col("w").alias("t"), "label", F.array(*columns).alias("f"))
+def window_mahalanobis(spark, sf, columns, flat=False):
+    """Windows of 10 days, pooled or flat, fitted on train days, scored on test days, smoothed."""
+    d, keys = halves(spark, sf), ["entity", "split"]
+    w = windows.mean_pool(d, keys, 10, 1, list(columns)).select("entity", "split", F.col("w").alias("t"), "label", F.array(*columns).alias("f"))
+    if flat:
+        w = w.drop("f").join(windows.flatten(d, keys, 10, 1, list(columns)).withColumnRenamed("w", "t"), [*keys, "t"])
+    w = written(w)
     model = scorers.ledoit_wolf_fit(w.where("split = 'train'"), E)
-    s = scorers.mahalanobis_score(w.where("split = 'test'"), model, E).drop("f")
-    return post.smooth_mean(s, E, 5)
+    s = scorers.mahalanobis_score(w.where("split = 'test'"), model, E).drop("f", "split")
+    return post.smooth_mean(written(s), E, 5)
 
 
 @query("raw_mahalanobis")
 def _(spark, sf):
-    return metrics.all_metrics(pooled_mahalanobis(spark, sf, ("x0", "x1", "x2", "x3")), E)
+    return metrics.all_metrics(window_mahalanobis(spark, sf, ("x0", "x1", "x2", "x3")), E)
+
+
+@query("raw_mahalanobis_flat")
+def _(spark, sf):
+    return metrics.all_metrics(window_mahalanobis(spark, sf, ("x0", "x1", "x2", "x3"), True), E)
+
+
+#: The flagship with two channels, whose inverse SQL can write out: windows, fit, scores, smoothing, metrics.
+PAIR = (
+    """, pw as (select entity, split, t, label, a, b from (select entity, split, t, max(label) over w as label, avg(x0) over w as a, avg(x3) over w as b, count(*) over w as c from fx_split window w as (partition by entity, split order by t rows between current row and 9 following)) where c = 10)"""
+    + LW.replace("x0 as a, x3 as b from fx_split", "a, b from pw")
+    + """, raw as (select entity, t, label, greatest(0, ((a - ma) * (a - ma) * cbb - 2 * (a - ma) * (b - mb) * cab + (b - mb) * (b - mb) * caa) / det) as s from pw join md using (entity) where split = 'test'),
+ed as (select *, row_number() over (partition by entity order by t) - 1 as i, count(*) over (partition by entity) as n, first_value(s) over f as h, last_value(s) over f as l from raw window f as (partition by entity order by t rows between unbounded preceding and unbounded following)),
+pm as (select entity, 'all' as view, t, label, case when n <= 5 then avg(s) over (partition by entity) else (sum(s) over (partition by entity order by t rows between 2 preceding and 2 following) + greatest(0, 2 - i) * h + greatest(0, i + 2 - n + 1) * l) / 5 end as s from ed)"""
+    + ALL.replace("fx_scores", "pm")
+)
+
+
+@query("raw_mahalanobis_pair", PAIR + """ select entity, round(auc_roc, 6) + 0 as auc_roc, round(auc_pr, 6) + 0 as auc_pr, round(best_f1, 6) + 0 as best_f1, round(best_threshold, 6) + 0 as best_threshold, round(f1_pa_oracle, 6) + 0 as f1_pa_oracle,
+cast(null as double) as f1_validation, cast(null as double) as f1_pa_validation, cast(null as double) as threshold_validation from auc join ap using (entity, view) join b1 using (entity, view) join orb using (entity, view)""")
+def _(spark, sf):
+    return metrics.all_metrics(window_mahalanobis(spark, sf, ("x0", "x3")), E)
 
 
 @query("raw_mahalanobis_macro")
 def _(spark, sf):
     from tidewatch.operators.stats import macro_mean
 
-    out = metrics.all_metrics(pooled_mahalanobis(spark, sf, ("x0", "x1", "x2", "x3")), E).withColumn("dataset", F.lit("daily"))
+    out = metrics.all_metrics(window_mahalanobis(spark, sf, ("x0", "x1", "x2", "x3")), E).withColumn("dataset", F.lit("daily"))
     return macro_mean(out, ["dataset"], ["auc_roc", "auc_pr", "best_f1", "f1_pa_oracle"])
 
 
@@ -238,10 +274,13 @@ def _(spark, sf):
     return out.select("w", "patch", F.posexplode("f").alias("d", "x"))
 
 
-@query("knn_score", """, k as (select a.entity, a.t, sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x3 - b.x3) * (a.x3 - b.x3)) as d, row_number() over (partition by a.entity, a.t order by sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x3 - b.x3) * (a.x3 - b.x3)), b.t) as rk
+GAP = "sqrt(" + " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(4)) + ")"
+
+
+@query("knn_score", f""", k as (select a.entity, a.t, {GAP} as d, row_number() over (partition by a.entity, a.t order by {GAP}, b.t) as rk
 from fx_split a join fx_split b using (entity) where a.split = 'test' and b.split = 'train') select entity, t, round(avg(d), 6) + 0 as s from k where rk <= 5 group by entity, t""")
 def _(spark, sf):
-    v = vectors(spark, sf, ("x0", "x3"))
+    v = written(vectors(spark, sf))
     return scorers.knn_score(v.where("split = 'test'"), v.where("split = 'train'"), E)
 
 
@@ -255,27 +294,26 @@ def _(spark, sf):
     return scorers.pca_recon(vectors(spark, sf), E)
 
 
-def near_sql(out: str, own: str, other: str) -> str:
-    """The 20 nearest rows ``o`` of ``other`` to each row of ``own``, itself left out."""
-    d = "sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x3 - b.x3) * (a.x3 - b.x3))"
-    return f"{out} as (select * from (select a.entity, a.t, b.t as o, {d} as d, row_number() over (partition by a.entity, a.t order by {d}, b.t) as r from {own} a join {other} b on a.entity = b.entity and a.t <> b.t) where r <= 20)"
-
-
-LOF = ", tr as (select * from fx_split where split = 'train'), te as (select * from fx_split where split = 'test'), " + near_sql("ow", "tr", "tr") + ", " + near_sql("nn", "te", "tr") + """,
-kd as (select entity, t as o, max(d) as kd from ow group by entity, t), ld as (select entity, t as o, 1 / (avg(greatest(kd, d)) + 1e-10) as lrd from ow join kd using (entity, o) group by entity, t),
-lm as (select entity, t, 1 / (avg(greatest(kd, d)) + 1e-10) as mine, avg(lrd) as theirs from nn join kd using (entity, o) join ld using (entity, o) group by entity, t)
-select entity, t, round(theirs / mine, 6) + 0 as s from lm"""
+#: All rows ``z`` standardised by train, the 20 nearest train rows ``nn`` of each, itself left out, and the factors ``lf``.
+LOF = ", zs as (select entity, " + ", ".join(f"avg(x{i}) as m{i}, stddev_pop(x{i}) as s{i}" for i in range(4)) + " from fx_split where split = 'train' group by entity), z as materialized (select entity, t, split, " + ", ".join(
+    f"(x{i} - m{i}) / case when s{i} > 0 then s{i} else 1 end as x{i}" for i in range(4)
+) + f""" from fx_split join zs using (entity)),
+nn as materialized (select * from (select a.entity, a.t, a.split, b.t as o, {GAP} as d, row_number() over (partition by a.entity, a.t order by {GAP}, b.t) as r from z a join z b on a.entity = b.entity and a.t <> b.t where b.split = 'train') where r <= 20),
+kd as (select entity, t as o, max(d) as kd from nn where split = 'train' group by entity, t), ld as materialized (select entity, t, split, 1 / (avg(greatest(kd, d)) + 1e-10) as lrd from nn join kd using (entity, o) group by entity, t, split),
+lf as (select n.entity, n.t, n.split, avg(o.lrd) / any_value(m.lrd) as s from nn n join ld o on o.entity = n.entity and o.t = n.o join ld m on m.entity = n.entity and m.t = n.t group by n.entity, n.t, n.split),
+fo as (select entity, quantile_cont(s, cast(0.95 as double)) as q from lf where split = 'train' group by entity)
+select entity, t, round(s - q, 6) + 0 as s from lf join fo using (entity) where split = 'test'"""
 
 
 @query("lof_score", LOF)
 def _(spark, sf):
-    v = vectors(spark, sf, ("x0", "x3"))
+    v = written(vectors(spark, sf))
     return scorers.lof_score(v.where("split = 'test'"), v.where("split = 'train'"), E)
 
 
 @query("isolation_forest")
 def _(spark, sf):
-    return scorers.isolation_forest(vectors(spark, sf), E)
+    return scorers.isolation_forest(written(vectors(spark, sf)), E)
 
 
 @query("train_cap_sample", "select entity, t from (select entity, t, row_number() over (partition by entity order by md5('42:' || cast(t as varchar)), t) as rk from fx_split where split = 'train') where rk <= 200")
@@ -283,13 +321,14 @@ def _(spark, sf):
     return scorers.train_cap_sample(vectors(spark, sf).where("split = 'train'"), E, 200).select("entity", "t")
 
 
-@query("reconstruction_mse", """, x as (select entity, t // 20 as w, t, ch, v / 100 as v from fx_long), r as (select entity, w, t, ch, avg(v) over (partition by entity, w, ch) as r from x) select entity, w, round(avg((v - r) * (v - r)), 6) + 0 as s from x join r using (entity, w, t, ch) where ch <> 2 group by entity, w""")
+@query("reconstruction_mse", """, x as (select entity, t // 20 as w, t, ch, v / case when ch = 2 then 10000 else 100 end as v from fx_long), r as (select entity, w, t, ch, avg(v) over (partition by entity, w, ch) as a, median(v) over (partition by entity, w, ch) as b from x) select entity, w, round(0.5 * avg((v - a) * (v - a)) + 0.5 * avg((v - b) * (v - b)), 6) + 0 as s from x join r using (entity, w, t, ch) group by entity, w""")
 def _(spark, sf):
     from pyspark.sql import Window
 
-    x = fx.daily_long(spark, sf).select("entity", F.floor(F.col("t") / 20).alias("w"), "t", "ch", (F.col("v") / 100).alias("v"))
-    r = x.select("entity", "w", "t", "ch", F.avg("v").over(Window.partitionBy("entity", "w", "ch")).alias("v"))
-    return scorers.reconstruction_mse(x.where("ch <> 2"), r, EW)
+    x = fx.daily_long(spark, sf).select("entity", F.floor(F.col("t") / 20).alias("w"), "t", "ch", (F.col("v") / F.when(F.col("ch") == 2, 10000).otherwise(100)).alias("v"))
+    by = Window.partitionBy("entity", "w", "ch")
+    decoders = [x.select("entity", "w", "t", "ch", f("v").over(by).alias("v")) for f in (F.avg, F.median)]
+    return scorers.reconstruction_blend(x, decoders, EW)
 
 
 @query("pooled_projected_maha")

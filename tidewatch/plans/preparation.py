@@ -89,12 +89,13 @@ def _(spark, sf):
     return series_io.read_metrics(spark, path, "entity long, view string, n long, positives long, mean double").drop("path")
 
 
-@query("read_scores", "select entity, view, t, round(s, 6) + 0 as s from fx_scores where view in ('level', 'jump')")
+@query("read_scores", ", c as (select entity from fx_scores group by entity having max(case when t < 55 then label else 0 end) = 1 and min(case when t < 55 then label else 1 end) = 0) select entity, win, view, t, round(s, 6) + 0 as s from fx_scores join c using (entity), (select cast(unnest([10, 50]) as bigint) as win) where view in ('level', 'jump') and t < 55")
 def _(spark, sf):
-    """A ledger written by view, of which two views are read."""
+    """A ledger written by window size and view, of which two views and two sizes are read, entities of one class left out."""
     path = new_folder(spark)
-    series_io.write_scores(fx.scores(spark, sf), path)
-    return series_io.read_scores(spark, path, ["level", "jump", "absent"]).select("entity", "view", "t", "s")
+    df = fx.scores(spark, sf).where("t < 55").withColumn("win", F.explode(F.array(*map(F.lit, (10, 50, 100)))))
+    series_io.write_scores(df, path)
+    return series_io.read_scores(spark, path, ["level", "jump", "absent"], [10, 50, 200], ["entity"]).select("entity", "win", "view", "t", "s")
 
 
 @query("validate_series", """, x as (select *, case when entity % 5 = 1 and t = 3 then cast('nan' as double) else v end as w from fx_series where not (entity % 5 = 2 and t = 0))
@@ -206,8 +207,8 @@ def _(spark, sf):
 
 @query("feat_flatten", f"select entity, t // 5 as w, flatten(list_transform(list([x0, x3]) over w, lambda p: [round(p[1], 6), round(p[2], 6)])) as f from fx_daily {WIN} {FULL}")
 def _(spark, sf):
-    out = windows.sliding_windows(fx.daily(spark, sf), E, 10, 5, ["x0", "x3"])
-    return out.select("entity", "w", F.transform(F.flatten("xs"), lambda x: F.round(x, 6)).alias("f"))
+    out = windows.flatten(fx.daily(spark, sf), E, 10, 5, ["x0", "x3"])
+    return out.select("entity", "w", F.transform("f", lambda x: F.round(x, 6)).alias("f"))
 
 
 @query("feat_last_step", f"select entity, t // 5 as w, round(last_value(x0) over w, 6) + 0 as x0, round(last_value(x3) over w, 6) + 0 as x3 from fx_daily {WIN} {FULL}")
@@ -220,11 +221,13 @@ def _(spark, sf):
     return windows.pool_tokens(fx.tokens(spark, sf), ["w"]).select("w", F.posexplode("f").alias("d", "x"))
 
 
-@query("token_sequences", """, n as (select distinct w as t, 0 as g, max(label) over (partition by w) as label from fx_tokens)
-select g, t - 5 as i, list(t) over (partition by g order by t rows between 5 preceding and 2 preceding) as past, t as target, label from n qualify len(list(t) over (partition by g order by t rows between 5 preceding and 2 preceding)) = 4""")
+@query("token_sequences", """, d as (select w, d, avg(x) as x, max(label) as label from (select w, label, unnest(vec) as x, unnest(range(0, 64)) as d from fx_tokens) group by w, d), n as materialized (select w as t, list(round(x, 6) order by d) as f, max(label) as label from d group by w)
+select a.t - 5 as i, list(b.t order by b.t) as past, flatten(list(b.f order by b.t)) as xs, a.t as target, any_value(a.label) as label from n a join n b on b.t between a.t - 5 and a.t - 2 group by a.t having count(*) = 4""")
 def _(spark, sf):
-    frames = fx.tokens(spark, sf).groupBy(F.col("w").alias("t")).agg(F.max("label").alias("label")).withColumn("g", F.lit(0))
-    return windows.token_sequences(frames, ["g"], 4, 2).select("g", "i", "past", "target", "label")
+    t = fx.tokens(spark, sf)
+    frames = windows.pool_tokens(t, ["w"]).join(t.groupBy("w").agg(F.max("label").alias("label")), "w").withColumnRenamed("w", "t")
+    out = windows.token_sequences(frames, [], 4, 2, "f")
+    return out.select("i", "past", F.transform(F.flatten("xs"), lambda x: F.round(x, 6)).alias("xs"), "target", "label")
 
 
 @query("channel_groups", "select entity, ch // 3 as \"group\", t, round(avg(v), 6) + 0 as v from fx_long group by entity, ch // 3, t")

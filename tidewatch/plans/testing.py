@@ -213,6 +213,11 @@ def _(spark, sf):
     return stats.improvement_counts(diffs(spark, sf).where("d is not null"), ["ds"], "entity")
 
 
+@query("extreme_differences", DIFF + ", r as (select *, row_number() over (partition by ds order by d desc, entity) as hi, row_number() over (partition by ds order by d, entity) as lo from df where d is not null) select ds, 'top' as side, hi as rank, entity, round(d, 6) + 0 as d from r where hi <= 5 union all select ds, 'bottom', lo, entity, round(d, 6) + 0 from r where lo <= 5")
+def _(spark, sf):
+    return stats.extreme_differences(diffs(spark, sf), ["ds"], "entity")
+
+
 @query("acf", """, c as (select entity, t, s - avg(s) over (partition by entity) as c, count(*) over (partition by entity) as n from fx_scores where view = 'level'), k as (select unnest(range(1, 11)) as lag),
 x as (select a.entity, k.lag, a.n, sum(a.c * b.c) as ck from c a join k on true join c b on b.entity = a.entity and b.t = a.t + k.lag group by a.entity, k.lag, a.n), z as (select entity, sum(c * c) as c0 from c group by entity)
 select entity, lag, round(case when c0 > 1e-12 then ck / c0 else 0 end, 6) + 0 as acf, abs(case when c0 > 1e-12 then ck / c0 else 0 end) > 1.96 / sqrt(n) as significant from x join z using (entity)""")
@@ -228,11 +233,11 @@ def _(spark, sf):
 
 
 @query("kruskal_blocks", """, b as (select entity, s, t // 10 as block, count(*) over (partition by entity) as n from fx_scores where view = 'level' qualify t // 10 < n // 10),
-r as (select entity, block, rank() over (partition by entity order by s) + (count(*) over (partition by entity, s) - 1) / 2.0 as rk, cast(count(*) over (partition by entity, s) as double) as c, cast(count(*) over (partition by entity) as double) as n from b),
-p as (select entity, block, n, sum(rk) as rs, count(*) as nb, sum(c * c - 1) as tie from r group by entity, block, n), o as (select entity, n, sum(rs * rs / nb) as q, count(*) as blocks, 1 - sum(tie) / (n * n * n - n) as fix from p group by entity, n)
-select entity, blocks, round(case when blocks >= 3 and fix > 0 then (12 / (n * (n + 1)) * q - 3 * (n + 1)) / fix end, 6) + 0 as h from o""")
+r as (select entity, block, s, rank() over (partition by entity order by s) + (count(*) over (partition by entity, s) - 1) / 2.0 as rk, cast(count(*) over (partition by entity, s) as double) as c, cast(count(*) over (partition by entity) as double) as n from b),
+p as (select entity, block, n, avg(s) as m, sum(rk) as rs, count(*) as nb, sum(c * c - 1) as tie from r group by entity, block, n), o as (select entity, n, min(m) as lo, max(m) as hi, stddev_pop(m) as sd, sum(rs * rs / nb) as q, count(*) as blocks, 1 - sum(tie) / (n * n * n - n) as fix from p group by entity, n)
+select entity, blocks, round(case when blocks >= 3 and fix > 0 then (12 / (n * (n + 1)) * q - 3 * (n + 1)) / fix end, 6) + 0 as h, round(lo, 6) + 0 as mean_min, round(hi, 6) + 0 as mean_max, round(sd, 6) + 0 as mean_std from o""")
 def _(spark, sf):
-    return stats.kruskal_blocks(fx.scores(spark, sf).where("view = 'level'"), E, 10)
+    return stats.kruskal_blocks(fx.scores(spark, sf).where("view = 'level'"), E, 10).drop("p")
 
 
 @query("exchangeability")
@@ -272,6 +277,16 @@ def _(spark, sf):
     return stats.comparison_pivot(ledger(spark, sf), "method", "ds", [0, 1, 2, 3], "auc_roc")
 
 
+@query("comparison_sources", LEDGER + """, c as (select method, ds, avg(auc_roc) as v, 0 as i, 'main' as source from lg where not (method = 'dev' and ds = 1) group by method, ds union all select method, ds, avg(auc_pr), 1, 'other' from lg where method <> 'jump' group by method, ds),
+k as (select method, ds, arg_min(v, i) as v, arg_min(source, i) as source, count(*) - 1 as others from c where v is not null group by method, ds)
+select method, ds, round(v, 6) + 0 as value, source, case when others > 0 then cast(others as varchar) || ' more' else '' end as note, v = max(v) over (partition by ds) as best from k""")
+def _(spark, sf):
+    lg = ledger(spark, sf)
+    main = lg.where("not (method = 'dev' and ds = 1)")
+    other = lg.where("method <> 'jump'").select("method", "ds", F.col("auc_pr").alias("auc_roc"))
+    return stats.comparison_sources([("main", main), ("other", other)], "method", "ds", "auc_roc")
+
+
 @query("best_view_per_entity", LEDGER + " select entity, method as best_view, round(auc_roc, 6) + 0 as best from lg where auc_roc is not null qualify row_number() over (partition by entity order by round(auc_roc, 9) desc, method) = 1")
 def _(spark, sf):
     return stats.best_view(ledger(spark, sf).withColumn("auc_roc", F.round("auc_roc", 9)), E, "auc_roc")

@@ -96,16 +96,22 @@ def concat_entities(df: DataFrame, entity: str = "entity", t: str = "t") -> Data
 
 
 def write_scores(df: DataFrame, path: str) -> None:
-    """Partitioned by view, so that readers prune."""
-    df.write.mode("overwrite").partitionBy("view").parquet(path)
+    """Partitioned by window size, if there is one (``win``), and view, so that readers prune."""
+    df.write.mode("overwrite").partitionBy(*[c for c in ("win", "view") if c in df.columns]).parquet(path)
 
 
-def read_scores(spark: SparkSession, path: str, views: list[str] | None = None) -> DataFrame:
-    """The ledger, or those of the ``views`` that it has; an error if it has none of them."""
+def read_scores(spark: SparkSession, path: str, views: list[str] | None = None, sizes: list[int] | None = None, keys: list[str] | None = None) -> DataFrame:
+    """The ledger, or those of the ``views`` and window ``sizes`` that it has; an error if it has none of them.
+
+    With ``keys``, entities whose labels are all of one class go.
+    """
     df = spark.read.parquet(path)
     df = df.where(F.col("view").isin(*views)) if views else df
+    df = df.where(F.col("win").isin(*sizes)) if sizes else df
     if df.isEmpty():
-        raise ValueError(f"no scores of {views or 'any view'} in {path}")
+        raise ValueError(f"no scores of {views or 'any view'} and {sizes or 'any size'} in {path}")
+    if keys:
+        df = df.join(df.groupBy(*keys).agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a = 0 and b = 1").select(*keys), keys, "left_semi")
     return df
 
 
@@ -118,11 +124,30 @@ def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, recursiveFileLookup=True).withColumn("path", F.col("_metadata.file_path"))
 
 
-def validate_series(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Violations ``keys, problem``: gaps in t, missing values, labels other than 0 and 1, an empty split."""
-    a = df.groupBy(*keys).agg(F.count("*").alias("n"), F.max("t").alias("last"), F.min("t").alias("first"), F.count_if(F.col("v").isNull() | F.isnan("v")).alias("gaps"), F.count_if(~F.col("label").isin(0, 1)).alias("odd"), F.count_if(F.col("split") == "train").alias("train"))
+def validate_series(df: DataFrame, keys: list[str], features: int | None = None, labels: DataFrame | None = None, files: int | None = None) -> DataFrame:
+    """Violations ``keys, problem``: gaps in t, missing values, labels other than 0 and 1, an empty split.
+
+    With ``features``, also entities of another number of channels ``ch``; with ``labels(keys, n)``,
+    entities whose test rows are not as many as their labels, or that only one of both tables has;
+    with ``files``, a row of null keys if the entities are not so many, and also if there are none.
+    """
+    wide = "ch" in df.columns
+    steps = F.count_distinct("t") if wide else F.count("*")
+    tested = F.count_distinct(F.when(F.col("split") == "test", F.col("t"))) if wide else F.count_if(F.col("split") == "test")
+    a = df.groupBy(*keys).agg(
+        steps.alias("n"), F.max("t").alias("last"), F.min("t").alias("first"), F.count_if(F.col("v").isNull() | F.isnan("v")).alias("gaps"), F.count_if(~F.col("label").isin(0, 1)).alias("odd"),
+        F.count_if(F.col("split") == "train").alias("train"), tested.alias("test"), (F.count_distinct("ch") if wide else F.lit(1)).alias("width"),
+    )
     checks = [("steps", (F.col("first") != 0) | (F.col("last") != F.col("n") - 1)), ("missing values", F.col("gaps") > 0), ("labels", F.col("odd") > 0), ("no train rows", F.col("train") == 0)]
-    return a.select(*keys, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks]))).alias("problem"))
+    if features is not None:
+        checks.append(("channels", F.col("width") != features))
+    if labels is not None:
+        a = a.join(labels.select(*keys, F.col("n").alias("labelled")), keys, "full")
+        checks += [("label length", F.col("test") != F.col("labelled")), ("no labels", F.col("labelled").isNull()), ("no series", F.col("n").isNull())]
+    out = a.select(*keys, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks]))).alias("problem"))
+    total = a.where("n is not null" if labels is not None else "true").agg(F.count("*").alias("n"))
+    said = F.when(F.col("n") == 0, F.lit("empty")).when(F.lit(files is not None) & (F.col("n") != (files or 0)), F.lit("files"))
+    return out.unionByName(total.select(*[F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys], said.alias("problem")).where("problem is not null"))
 
 
 def select_by_keyword(files: DataFrame, words: list[str], count: int, name: str = "name") -> DataFrame:
