@@ -219,6 +219,25 @@ def test_bootstrap_interval(spark):
     assert (row["low"], row["high"]) == pytest.approx((x.mean() - half, x.mean() + half), abs=0.1)
 
 
+def test_bootstrap_of_many_leaves(spark):
+    """A million values, mostly repeated: the interval is that of the normal limit, and the draws of all leaves are a whole resample."""
+    x = np.round(np.random.default_rng(1).gamma(2, 3, 1_000_000), 2)
+    value, count = np.unique(x, return_counts=True)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(value, count, strict=True)], "v double, c int").select(F.lit("a").alias("g"), "v", F.explode(F.sequence(F.lit(1), "c")))
+    row = stats.bootstrap_ci(df, ["g"], "v", resamples=400).first()
+    half = 1.96 * x.std() / 1000
+    assert row["mean"] == pytest.approx(x.mean(), abs=half / 4) and (row["high"] - row["low"]) / 2 == pytest.approx(half, rel=0.15)
+    assert row == stats.bootstrap_ci(df.repartition(7), ["g"], "v", resamples=400).first()
+    shares = np.array([stats.leaf_draws(42, 5, 10_000, leaf, 50) for leaf in range(3)])
+    assert (shares.sum(axis=0) == 10_000).all() and shares[2].mean() == pytest.approx(10_000 - 8192, rel=0.05)
+
+
+def test_bootstrap_of_small_groups(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), ("a", None)], "g string, v double")
+    got = {r["g"]: r for r in stats.bootstrap_ci(df, ["g"], "v").collect()}
+    assert (got["a"]["low"], got["a"]["high"]) == (1.0, 3.0) and got["a"]["mean"] == pytest.approx(2, abs=0.03) and got["b"]["low"] == got["b"]["high"] == 5
+
+
 def test_spectral_entropy_and_periodicity():
     t = np.arange(200)
     assert stats.spectral_entropy(np.ones(50)) == 0 and stats.spectral_entropy(np.random.default_rng(0).normal(size=400)) > 0.85

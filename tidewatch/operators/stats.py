@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.post import average_rank
+from tidewatch.operators.ranges import running
+from tidewatch.sources.shared import written
 
 
 def macro_mean(ledger: DataFrame, group: list[str], metrics: list[str]) -> DataFrame:
@@ -90,13 +92,64 @@ def effect_label(d: Column) -> Column:
     return F.when(F.abs(d) < 0.2, "Negligible").when(F.abs(d) < 0.5, "Small").when(F.abs(d) < 0.8, "Medium").otherwise("Large")
 
 
+#: Places of a leaf of the tree that a resample's draws are dealt by.
+LEAF = 4096
+
+
+def node_seed(seed: int, group: int, low: int, high: int) -> np.random.Generator:
+    return np.random.default_rng([seed, group & ((1 << 63) - 1), low, high])
+
+
+def leaf_draws(seed: int, group: int, n: int, leaf: int, resamples: int) -> np.ndarray:
+    """How many of its ``n`` draws each resample has in a leaf.
+
+    The draws of a node are dealt to its halves by a binomial that the node's own seed gives, from the
+    root down, so every leaf finds its share alone and the shares of all leaves sum to ``n``.
+    """
+    low, high, own = 0, -(-n // LEAF), np.full(resamples, n, np.int64)
+    while high - low > 1:
+        mid = (low + high) // 2
+        places = lambda a, b: min(b * LEAF, n) - a * LEAF
+        left = node_seed(seed, group, low, high).binomial(own, places(low, mid) / places(low, high))
+        low, high, own = (low, mid, left) if leaf < mid else (mid, high, own - left)
+    return own
+
+
 def bootstrap_ci(values: DataFrame, group: list[str], v: str, resamples: int = 10_000, seed: int = 42) -> DataFrame:
-    """Percentile interval of the mean; draws come from a hash of resample, place and seed, so they repeat."""
-    by = Window.partitionBy(*group)
-    ranked = values.select(*group, v, (F.row_number().over(by.orderBy(v)) - 1).alias("i"), F.count("*").over(by).alias("n"))
-    draws = ranked.select(*group, "n", F.col("i").alias("place"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("i", F.pmod(F.xxhash64("b", "place", F.lit(seed)), F.col("n")).cast("int"))
-    means = draws.join(ranked.select(*group, "i", v), [*group, "i"]).groupBy(*group, "b").agg(F.avg(v).alias("m"))
-    return means.groupBy(*group).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg("m").alias("mean"))
+    """Percentile interval of the mean of resamples drawn with replacement; draws repeat with the seed.
+
+    Values lie in leaves of LEAF places in their order; one pass draws each leaf's share of every
+    resample, and the leaves' sums of a resample are added up.  Nulls take no part.
+    """
+    one = values.where(F.col(v).isNotNull()).groupBy(*group, F.col(v).cast("double").alias("v__")).agg(F.count("*").alias("c__"))
+    one = written(one.repartitionByRange(*group, "v__").withColumn("block__", F.spark_partition_id()))
+    until, n = F.col("until__"), F.col("c__")
+    placed = running(one, group, F.col("block__"), [F.col("v__")], {"until__": n})
+    size = one.groupBy(*group).agg(F.sum("c__").alias("n__"))
+    # equal values lie in one run of places; a row a leaf that the run reaches says how many lie there
+    runs = placed.join(size, group).withColumn("leaf__", F.explode(F.sequence(F.floor((until - n) / LEAF), F.floor((until - 1) / LEAF))))
+    runs = runs.withColumn("k__", F.least(until, (F.col("leaf__") + 1) * LEAF) - F.greatest(until - n, F.col("leaf__") * LEAF))
+    runs = runs.withColumn("g__", F.xxhash64(*[F.col(k).cast("string") for k in group]))
+    kinds = ", ".join(f"{c} {values.schema[c].dataType.simpleString()}" for c in group)
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("v__")
+        x = np.repeat(pdf["v__"].to_numpy(), pdf["k__"].to_numpy())
+        n, leaf, g = (int(pdf[c].iloc[0]) for c in ("n__", "leaf__", "g__"))
+        own, rng = leaf_draws(seed, g, n, leaf, resamples), node_seed(seed, g, leaf, leaf)
+        out = np.zeros(resamples)
+        step = max(1, (1 << 22) // LEAF)
+        for at in range(0, resamples, step):  # some millions of draws at a time
+            part = own[at : at + step]
+            some = np.flatnonzero(part)
+            if len(some):
+                got = x[rng.integers(0, len(x), int(part.sum()), np.int32)]
+                out[at + some] = np.add.reduceat(got, (np.cumsum(part) - part)[some])
+        return pdf[group].head(1).reset_index(drop=True).assign(n__=n, sums__=[out])
+
+    drawn = runs.groupBy(*group, "leaf__").applyInPandas(draw, f"{kinds}, n__ long, sums__ array<double>")
+    means = drawn.select(*group, "n__", F.posexplode("sums__").alias("b__", "x__")).groupBy(*group, "b__").agg((F.sum("x__") / F.max("n__")).alias("m__"))
+    return means.groupBy(*group).agg(F.percentile("m__", F.lit(0.025)).alias("low"), F.percentile("m__", F.lit(0.975)).alias("high"), F.avg("m__").alias("mean"))
 
 
 def bonferroni(tests: DataFrame, p: str = "p", level: float = 0.05) -> DataFrame:
