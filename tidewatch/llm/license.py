@@ -19,9 +19,10 @@ TEMPLATES = {
 }
 WIDTH = 5
 CONTAINED = 0.8
-#: One hash a band and so many bands: a window whose known shingles have similarity s to a template
-#: meets it with probability 1 - (1 - s) ** BANDS, over 0.9999 from s = 0.44 on.
-BANDS = 16
+#: One hash a band, and so many bands.  A window is two steps long and a template has over half a step of
+#: shingles, at least CONTAINED of which a match shares: the similarity of their shingle sets is then
+#: 0.4 / 2.1 = 0.19 or more, and they meet in a band with probability 1 - (1 - 0.19) ** BANDS > 0.9999.
+BANDS = 48
 
 
 def words(text: Column) -> Column:
@@ -75,13 +76,14 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
 
 
 def scan_licenses(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """``(key, template, containment, matched, total, first_word)``: one row for each key and template contained.
+    """``(key, template, containment, matched, total, first_word)``: one row for each row of ``docs`` and template contained.
 
     Containment is the share of a template's distinct five-word shingles within one window; 0.8 or
     more counts, the best window is reported (of equals the first), and ``first_word`` is the number
     of words before its first matched shingle.  Null texts and texts under five words have none;
-    texts are read whole; rows of one key are taken together, null keys too; other columns are
-    ignored; an empty table gives none.  Templates must have five words at least.
+    texts are read whole; every row is scanned by itself, so rows that repeat a key, or have a null
+    one, give results of their own; other columns are ignored; an empty table gives none.
+    Templates must have five words at least.
     """
     if short := [k for k, v in templates.items() if len(plain_words(v)) < WIDTH]:
         raise ValueError(f"templates under {WIDTH} words: {short}")
@@ -91,25 +93,22 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, key: str = "doc_id", tex
     gate = r"(?<![\p{L}\p{N}])(?:" + "|".join(anchors(templates)) + r")(?![\p{L}\p{N}])"
     some = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.lower("text").rlike(gate))
     # the words stand in a row of their own, so that a shingle reads them instead of splitting the text anew
-    apart = some.select("key", F.explode(F.array(words(F.col("text")))).alias("ws"))
-    found = apart.select("key", F.posexplode(shingles(F.col("ws"))).alias("at", "shingle"))
-    # a shingle that no template has cannot add to a containment: only those of templates go on
-    found = found.join(F.broadcast(known.select("shingle").distinct()), "shingle", "left_semi")
-    found, _ = cut(spark, found)  # the texts are read once
+    apart = some.select("key", F.monotonically_increasing_id().alias("row"), F.explode(F.array(words(F.col("text")))).alias("ws"))
+    found, _ = cut(spark, apart.select("key", "row", F.posexplode(shingles(F.col("ws"))).alias("at", "shingle")))  # the texts are read once, and rows keep their numbers
     sizes = F.array(*[F.lit(s) for s in steps])
-    placed = found.select("key", "shingle", "at", F.explode(sizes).alias("step")).join(F.broadcast(known.select("step").distinct()), "step", "left_semi")
-    placed = placed.select("key", "step", "shingle", "at", F.explode(F.array(F.floor(F.col("at") / F.col("step")), F.floor(F.col("at") / F.col("step")) - 1)).alias("window"))
-    # MinHash of a window, a partial aggregate: one row a window leaves each task
+    placed = found.select("key", "row", "shingle", "at", F.explode(sizes).alias("step")).join(F.broadcast(known.select("step").distinct()), "step", "left_semi")
+    placed = placed.select("key", "row", "step", "shingle", "at", F.explode(F.array(F.floor(F.col("at") / F.col("step")), F.floor(F.col("at") / F.col("step")) - 1)).alias("window"))
+    # MinHash of all of a window's shingles, a partial aggregate: one row a window leaves each task
     least = [F.min(F.xxhash64("shingle", F.lit(b))).alias(f"b{b}") for b in range(BANDS)]
     bands = F.posexplode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band", "value")
-    windows = placed.groupBy("key", "step", "window").agg(*least).select("key", "step", "window", bands)
+    windows = placed.groupBy("row", "step", "window").agg(*least).select("row", "step", "window", bands)
     mine = known.groupBy("template", "step").agg(*least).select("template", "step", bands)
-    candidates = windows.join(F.broadcast(mine), ["step", "band", "value"]).select("key", "step", "window", "template").distinct()
-    # verification: the window's shingles against the template's
-    k2 = F.broadcast(known.select("template", F.col("step").alias("s"), "shingle", "total"))
-    hits = placed.join(k2, "shingle").where("step = s").groupBy("key", "step", "window", "template", "total").agg(F.count_distinct("shingle").alias("matched"), F.min("at").alias("first_word"))
-    same = F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.window") == F.col("b.window")) & (F.col("a.template") == F.col("b.template"))
-    exact = hits.alias("a").join(candidates.alias("b"), same, "left_semi").where(F.col("matched") >= CONTAINED * F.col("total"))
+    candidates, _ = cut(spark, windows.join(F.broadcast(mine), ["step", "band", "value"]).select("row", "step", "window", "template").distinct())
+    # verification: the shingles of a candidate's window against its template's, and nothing else
+    ours = known.select("template", "shingle", "total")
+    asked = placed.join(candidates, ["row", "step", "window"]).join(F.broadcast(ours), ["template", "shingle"])
+    hits = asked.groupBy("key", "row", "window", "template", "total").agg(F.count_distinct("shingle").alias("matched"), F.min("at").alias("first_word"))
+    exact = hits.where(F.col("matched") >= CONTAINED * F.col("total"))
     best = F.max_by(F.struct("matched", "first_word"), F.struct("matched", -F.col("first_word")))
-    out = exact.groupBy("key", "template", "total").agg(best.alias("best"))
+    out = exact.groupBy("key", "row", "template", "total").agg(best.alias("best"))
     return out.select("key", "template", (F.col("best.matched") / F.col("total")).alias("containment"), F.col("best.matched").alias("matched"), F.col("total").cast("long").alias("total"), F.col("best.first_word").cast("long").alias("first_word"))
