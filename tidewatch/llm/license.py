@@ -3,8 +3,6 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.scratch import cut
-
 #: Notices to look for.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -36,11 +34,6 @@ def shingles(ws: Column) -> Column:
     return F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(ws, i, WIDTH), " ")))
 
 
-def band_values(shingle: Column) -> Column:
-    """The band hashes of a shingle; a window's MinHash is their least over its shingles."""
-    return F.array(*[F.xxhash64(shingle, F.lit(b)) for b in range(BANDS)])
-
-
 def plain_words(text: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in text.lower()).split()
 
@@ -63,16 +56,23 @@ def anchors(templates: dict[str, str]) -> list[str]:
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """``(template, shingle, total, step)``: as large as the templates given, whatever the documents.
+    """``(template, step, ours, total)``: as large as the templates given, whatever the documents.
 
-    ``step`` is the distance of windows for the template's length, the least power of two that is
-    not below its number of shingles; windows are two steps long, so one holds each occurrence whole.
+    ``ours`` are a template's distinct shingles.  ``step`` is the distance of windows for its length,
+    the least power of two that is not below their number; windows are two steps long, so one holds
+    each occurrence whole.
     """
     rows = F.array(*[F.struct(F.lit(k).alias("template"), F.lit(v).alias("text")) for k, v in templates.items()])
     apart = spark.range(1).select(F.explode(rows).alias("t")).select("t.template", F.explode(F.array(words(F.col("t.text")))).alias("ws"))
-    one = apart.select("template", F.array_distinct(shingles(F.col("ws"))).alias("all"))
-    step = F.pow(2.0, F.ceil(F.log2(F.size("all").cast("double")))).cast("int")
-    return one.select("template", F.explode("all").alias("shingle"), F.size("all").alias("total"), step.alias("step"))
+    one = apart.select("template", F.array_distinct(shingles(F.col("ws"))).alias("ours"))
+    step = F.pow(2.0, F.ceil(F.log2(F.size("ours").cast("double")))).cast("int")
+    return one.select("template", step.alias("step"), "ours", F.size("ours").alias("total"))
+
+
+def minhash(of: Column) -> Column:
+    """A window's bands: the least hash of its shingles, under each band's seed."""
+    least = lambda b: F.array_min(F.transform(of, lambda s: F.xxhash64(s, F.lit(b))))
+    return F.array(*map(least, range(BANDS)))
 
 
 def scan_licenses(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -88,26 +88,32 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, key: str = "doc_id", tex
     if short := [k for k, v in templates.items() if len(plain_words(v)) < WIDTH]:
         raise ValueError(f"templates under {WIDTH} words: {short}")
     known = template_table(spark, templates)  # broadcast below: its size is that of the templates given
-    longest = max(len(plain_words(v)) for v in templates.values())
-    steps = [1 << b for b in range(longest.bit_length() + 1)]
+    told = known.select("step", "ours").collect()
+    steps, all_ours = sorted({r["step"] for r in told}), sorted({x for r in told for x in r["ours"]})
     gate = r"(?<![\p{L}\p{N}])(?:" + "|".join(anchors(templates)) + r")(?![\p{L}\p{N}])"
     some = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.lower("text").rlike(gate))
-    # the words stand in a row of their own, so that a shingle reads them instead of splitting the text anew
+    # words and shingles stand in rows of their own, so that later steps read them instead of making them anew
     apart = some.select("key", F.monotonically_increasing_id().alias("row"), F.explode(F.array(words(F.col("text")))).alias("ws"))
-    found, _ = cut(spark, apart.select("key", "row", F.posexplode(shingles(F.col("ws"))).alias("at", "shingle")))  # the texts are read once, and rows keep their numbers
-    sizes = F.array(*[F.lit(s) for s in steps])
-    placed = found.select("key", "row", "shingle", "at", F.explode(sizes).alias("step")).join(F.broadcast(known.select("step").distinct()), "step", "left_semi")
-    placed = placed.select("key", "row", "step", "shingle", "at", F.explode(F.array(F.floor(F.col("at") / F.col("step")), F.floor(F.col("at") / F.col("step")) - 1)).alias("window"))
-    # MinHash of all of a window's shingles, a partial aggregate: one row a window leaves each task
-    least = [F.min(F.xxhash64("shingle", F.lit(b))).alias(f"b{b}") for b in range(BANDS)]
-    bands = F.posexplode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band", "value")
-    windows = placed.groupBy("row", "step", "window").agg(*least).select("row", "step", "window", bands)
-    mine = known.groupBy("template", "step").agg(*least).select("template", "step", bands)
-    candidates, _ = cut(spark, windows.join(F.broadcast(mine), ["step", "band", "value"]).select("row", "step", "window", "template").distinct())
+    hashed = apart.select("key", "row", F.explode(F.array(shingles(F.col("ws")))).alias("all"))
+    # a window without any template's shingle contains no template: the others are cut out, with all their shingles
+    at = F.filter(F.transform("all", lambda s, i: F.when(s.isin(all_ours), i)), lambda i: i.isNotNull())
+    near = hashed.select("key", "row", "all", F.explode(F.array(at)).alias("at")).where(F.size("at") > 0)
+
+    def of_step(s: int) -> Column:
+        both = F.array_distinct(F.flatten(F.transform("at", lambda i: F.array(F.floor(i / s), F.floor(i / s) - 1))))
+        return F.transform(F.filter(both, lambda w: w >= 0), lambda w: F.struct(F.lit(s).alias("step"), w.alias("window")))
+
+    places = F.flatten(F.array(*map(of_step, steps)))
+    cut_out = near.select("key", "row", "all", F.explode(places).alias("p"))
+    window = F.slice("all", (F.col("p.window") * F.col("p.step") + 1).cast("int"), 2 * F.col("p.step"))
+    windows = cut_out.select("key", "row", "p.step", "p.window", F.explode(F.array(window)).alias("of"))
+    bands = windows.select("*", F.posexplode(minhash(F.col("of"))).alias("band", "value"))
+    mine = known.select("template", "step", F.posexplode(minhash(F.col("ours"))).alias("band", "value"))
+    candidates = bands.join(F.broadcast(mine), ["step", "band", "value"]).groupBy("key", "row", "step", "window", "template").agg(F.first("of").alias("of"))
     # verification: the shingles of a candidate's window against its template's, and nothing else
-    ours = known.select("template", "shingle", "total")
-    asked = placed.join(candidates, ["row", "step", "window"]).join(F.broadcast(ours), ["template", "shingle"])
-    hits = asked.groupBy("key", "row", "window", "template", "total").agg(F.count_distinct("shingle").alias("matched"), F.min("at").alias("first_word"))
+    asked = candidates.join(F.broadcast(known.select("template", "ours", "total")), "template")
+    first = F.array_min(F.filter(F.transform("of", lambda s, i: F.when(F.array_contains("ours", s), i)), lambda i: i.isNotNull()))
+    hits = asked.select("key", "row", "template", "total", F.size(F.array_intersect("of", "ours")).cast("long").alias("matched"), (F.col("window") * F.col("step") + first).alias("first_word"))
     exact = hits.where(F.col("matched") >= CONTAINED * F.col("total"))
     best = F.max_by(F.struct("matched", "first_word"), F.struct("matched", -F.col("first_word")))
     out = exact.groupBy("key", "row", "template", "total").agg(best.alias("best"))
