@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.blocks import handfuls
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
@@ -60,8 +62,8 @@ def base_spans(text: str) -> list[Span]:
 
 
 DIGIT = re.compile("[0-9]")
-#: Without one of these characters no span of any kind can stand in a window.
-TRIGGER = re.compile("[0-9@]")
+#: Every span of any kind holds one of these characters; and what stands between white space.
+TRIGGER, RUN = re.compile("[0-9@]"), re.compile(r"\S+")
 
 # ---------------------------------------------------------------- the model
 
@@ -69,6 +71,8 @@ TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 NT = len(TAGS)
 #: Windows of this many characters, each starting half a window after the one before.
 WINDOW, STRIDE = 64, 32
+#: Characters of a part of a long region, and how far it reaches into the next part.
+PART, OVERLAP = 2048, 512
 SYMBOLS = " @.-+()_%:,;/\n"
 
 
@@ -94,12 +98,12 @@ def classes(text: str) -> np.ndarray:
 
 
 def allowed() -> np.ndarray:
-    """CRF transitions that BIO tagging permits: I-k only behind B-k or I-k; column 0 of row NT is the start."""
+    """CRF transitions that BIO tagging permits: I-k only behind B-k or I-k, or first (row NT), where a window cuts a span."""
     ok = np.ones((NT + 1, NT), bool)
     for j, t in enumerate(TAGS):
         if t[0] == "I":
             ok[:, j] = False
-            ok[[TAGS.index("B" + t[1:]), j], j] = True
+            ok[[TAGS.index("B" + t[1:]), j, NT], j] = True
     return ok
 
 
@@ -113,22 +117,27 @@ def sample_windows(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
     def entity(kind: str) -> str:
         if kind == "email":
-            return f"{word()}{pick(['', '.', '_', '+'])}{pick([word(), digits(2)])}@{word()}.{pick(['com', 'org', 'net', 'example.com', 'io'])}"
+            local = f"{word()}{pick(['', '.', '_', '+'])}{pick([word(), digits(2)])}" if rng.random() < 0.7 else pick([".", "-", "_"]).join(word() for _ in range(rng.integers(2, 9)))
+            e = f"{local}@{word()}{pick(['', '', digits(1)])}.{pick(['com', 'org', 'net', 'example.com', 'io', word() + '.de'])}"
+            at = rng.integers(len(e.split("@")[0]))
+            return e[:at] + pick(["\u00e9", "\u00fc", "\u0436"]) + e[at + 1 :] if rng.random() < 0.3 else e
         if kind == "ip":
             return ".".join(str(rng.integers(256)) for _ in range(4))
         if kind == "card":
             d, s = digits(16), pick(["", " ", "-"])
             return s.join(d[i : i + 4] for i in range(0, 16, 4))
-        return f"+{rng.integers(1, 99)}{pick([' ', '-', ' ('])}{digits(3)}{pick([' ', '-', ') '])}{digits(3)}{pick([' ', '-', ''])}{digits(4)}"
+        head = f"+{rng.integers(1, 99)}{pick([' ', '-', ' ('])}" if rng.random() < 0.8 else pick(["(", "0"])
+        return f"{head}{digits(3)}{pick([' ', '-', ') '])}{digits(3)}{pick([' ', '-', ''])}{digits(4)}"
 
     def decoy() -> str:
         return pick([lambda: digits(rng.integers(1, 7)), lambda: f"{digits(1)}.{digits(1)}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"@{word()}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"{digits(3)},{digits(3)}", lambda: f"{digits(32)}"])()
 
     xs, ys = np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), np.int64)
     for row in range(n):
-        text, tags, mark = "", [], rng.integers(5)
+        text = "\n" * 12 if rng.random() < 0.3 else ""  # beyond its start and end a text is read as line ends
+        tags, mark = [0] * len(text), rng.integers(5)
         while len(text) < WINDOW + 24:
-            if mark < 4 and 12 < len(text) and rng.random() < 0.3:
+            if mark < 4 and 12 <= len(text) and rng.random() < 0.3:
                 kind = KINDS[mark]
                 e = entity(kind)
                 b = TAGS.index(f"B-{kind}")
@@ -139,8 +148,9 @@ def sample_windows(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
                 tags += [0] * len(e)
             gap = pick([" ", " ", " ", ", ", ". ", "\n"])
             text, tags = text + e + gap, tags + [0] * len(gap)
-        cut = rng.integers(24)
-        xs[row], ys[row] = classes(text)[cut : cut + WINDOW], tags[cut : cut + WINDOW]
+        cut, stop = rng.integers(24), WINDOW if rng.random() < 0.8 else rng.integers(WINDOW // 3, WINDOW)
+        xs[row, :stop], ys[row, :stop] = classes(text)[cut : cut + stop], tags[cut : cut + stop]
+        xs[row, stop:] = classes("\n")[0]
     return xs, ys
 
 
@@ -250,8 +260,13 @@ class Tagger:
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Viterbi tags of each window, and each position's margin of the tag's emission over O."""
         em, _ = self.emissions(x)
+        tags = self.best_path(em)
+        return tags, np.take_along_axis(em, tags[:, :, None], 2)[:, :, 0] - em[:, :, 0]
+
+    def best_path(self, em: np.ndarray) -> np.ndarray:
+        """Viterbi tags of rows of emissions."""
         first, trans = self.crf()
-        n, steps = x.shape
+        n, steps, _ = em.shape
         score, back = first + em[:, 0], np.zeros((n, steps, NT), np.int8)
         for t in range(1, steps):
             s = score[:, :, None] + trans
@@ -262,17 +277,21 @@ class Tagger:
         rows = np.arange(n)
         for t in range(steps - 1, 0, -1):
             tags[:, t - 1] = back[rows, t, tags[:, t]]
-        return tags, np.take_along_axis(em, tags[:, :, None], 2)[:, :, 0] - em[:, :, 0]
+        return tags
 
 
 @lru_cache(1)
-def trained(windows: int = 1600, epochs: int = 10) -> Tagger:
+def trained(windows: int = 2400, epochs: int = 10) -> Tagger:
     """The tagger fitted on ``windows`` labelled windows, a fixed bound; the same in every process."""
     return Tagger().fit(*sample_windows(windows, 11), epochs)
 
 
 def plausible(kind: str, piece: str) -> bool:
-    """What each kind must hold at least, so that the tagger's spans stay precise."""
+    """What each kind must hold at least, so that the tagger's spans stay precise; each needs a digit or an at sign.
+
+    Looser than the base patterns: letters of any script in an address, a telephone number that
+    begins with a bracket or a zero, a card whose digits are parted by dots.
+    """
     n = sum("0" <= c <= "9" for c in piece)
     if kind == "email":
         return bool(re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@.]{2,}", piece))
@@ -281,15 +300,25 @@ def plausible(kind: str, piece: str) -> bool:
     return (16 <= n <= 19 and luhn(re.sub(r"\D", "", piece))) if kind == "card" else (piece[0] in "+(0" and 8 <= n <= 15)
 
 
-def window_starts(text: str) -> list[int]:
-    """Starts of the overlapping windows that hold a trigger character; the others decode to O throughout."""
-    starts: dict[int, None] = {}
-    for m in TRIGGER.finditer(text):
-        k = m.start() // STRIDE
-        starts[k * STRIDE] = None
-        if k:
-            starts[(k - 1) * STRIDE] = None
-    return sorted(starts)
+def regions(text: str) -> list[tuple[int, int]]:
+    """Stretches of a text in which spans can stand: what is not white space around each trigger, and STRIDE characters about it.
+
+    No plausible span lacks a trigger, and none but numbers in groups, which hold triggers themselves, crosses white space.
+    """
+    out: list[list[int]] = []
+    for m in RUN.finditer(text):
+        if TRIGGER.search(m[0]):
+            a, b = max(0, m.start() - STRIDE) // STRIDE * STRIDE, min(len(text), m.end() + STRIDE)
+            if out and a <= out[-1][1]:
+                out[-1][1] = b
+            else:
+                out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def pieces(a: int, b: int) -> list[tuple[int, int]]:
+    """A region in parts that are decoded side by side, each OVERLAP characters into the next."""
+    return [(s, min(b, s + PART + OVERLAP)) for s in range(a, max(a + 1, b - OVERLAP), PART)]
 
 
 def reconcile(spans: dict[Span, float]) -> list[Span]:
@@ -310,37 +339,78 @@ def reconcile(spans: dict[Span, float]) -> list[Span]:
     return out[::-1]
 
 
+def merged_emissions(texts: list[str], where: list[tuple[int, int, int]], tagger: Tagger) -> list[np.ndarray]:
+    """Emissions of parts ``(text, start, end)``: those of overlapping windows are averaged, each weighing most in its middle."""
+    slots = [(n, s) for n, (_, a, b) in enumerate(where) for s in range(a - STRIDE, b, STRIDE)]
+    out = [np.zeros((b - a, NT), np.float32) for _, a, b in where]
+    weight = [np.zeros((b - a, 1), np.float32) for _, a, b in where]
+    tent = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1).astype(np.float32)[:, None]
+    for at in range(0, len(slots), 1024):
+        part = slots[at : at + 1024]
+        x = np.full((len(part), WINDOW), classes("\n")[0])
+        for r, (n, s) in enumerate(part):
+            c = classes(texts[where[n][0]][max(0, s) : s + WINDOW])
+            x[r, max(0, -s) : max(0, -s) + len(c)] = c
+        em, _ = tagger.emissions(x)
+        for r, (n, s) in enumerate(part):
+            _, a, b = where[n]
+            low, high = max(a, s), min(b, s + WINDOW)
+            if low < high:
+                out[n][low - a : high - a] += em[r, low - s : high - s] * tent[low - s : high - s]
+                weight[n][low - a : high - a] += tent[low - s : high - s]
+    return [e / w for e, w in zip(out, weight, strict=True)]
+
+
+def decoded_parts(em: list[np.ndarray], tagger: Tagger) -> list[np.ndarray]:
+    """Viterbi tags of parts of any lengths; those of like length are decoded together."""
+    tags: list[np.ndarray] = [np.empty(0, np.int64)] * len(em)
+    order = sorted(range(len(em)), key=lambda n: len(em[n]))
+    for at in range(0, len(order), 256):
+        group = order[at : at + 256]
+        steps = len(em[group[-1]])
+        padded = np.zeros((len(group), steps, NT), np.float32)
+        padded[:, :, 0] = 1e4  # behind its end a part is outside any span
+        for r, n in enumerate(group):
+            padded[r, : len(em[n])] = em[n]
+        got = tagger.best_path(padded)
+        for r, n in enumerate(group):
+            tags[n] = got[r, : len(em[n])]
+    return tags
+
+
 def model_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
-    """Spans of each text: windows decoded in batches, then reconciled over the whole text."""
-    where = [(i, s) for i, t in enumerate(texts) for s in window_starts(t)]
+    """Spans of each text: windows' emissions are merged, regions decoded, and spans reconciled over the whole text.
+
+    A span of the tagger may be as long as a region; beyond OVERLAP characters one that begins in the
+    last part of a long region's part may be cut there.
+    """
+    where = [(i, *p) for i, t in enumerate(texts) for r in regions(t) for p in pieces(*r)]
     found: list[dict[Span, float]] = [{} for _ in texts]
-    for at in range(0, len(where), 1024):
-        part = where[at : at + 1024]
-        x = np.zeros((len(part), WINDOW), np.int64)
-        for r, (i, s) in enumerate(part):
-            c = classes(texts[i][s : s + WINDOW])
-            x[r, : len(c)] = c
-        tags, margin = tagger.decode(x)
-        for r in np.flatnonzero((tags > 0).any(axis=1)).tolist():
-            i, s = part[r]
-            text, row = texts[i], tags[r]
+    for at in range(0, len(where), 512):
+        some = where[at : at + 512]
+        emissions = merged_emissions(texts, some, tagger)
+        for (i, a, _), em, row in zip(some, emissions, decoded_parts(emissions, tagger), strict=True):
+            text = texts[i]
             for b in np.flatnonzero(row % 2 == 1).tolist():
                 e = b + 1
-                while e < WINDOW and row[e] == row[b] + 1:
+                while e < len(row) and row[e] == row[b] + 1:
                     e += 1
-                # a span that a window's edge cuts is left to the window beside it
-                if (b == 0 and s > 0) or (e == WINDOW and s + e < len(text)) or s + e > len(text):
-                    continue
                 kind = KINDS[(row[b] - 1) // 2]
-                score = float(margin[r, b:e].mean())
-                if score > 0 and plausible(kind, text[s + b : s + e]):
-                    key = (kind, s + b, s + e)
-                    found[i][key] = found[i].get(key, 0.0) + score
+                score = float((em[np.arange(b, e), row[b:e]] - em[b:e, 0]).mean())
+                if score > 0 and plausible(kind, text[a + b : a + e]):
+                    key = (kind, a + b, a + e)
+                    found[i][key] = max(found[i].get(key, 0.0), score)
     return [reconcile(f) if f else [] for f in found]
 
 
+def adds(span: Span, base: list[Span]) -> bool:
+    """Whether a tagger's span is new: it touches no base span, or is wider than all that it touches, of its own kind."""
+    touched = [x for x in base if x[1] < span[2] and span[1] < x[2]]
+    return all(x[0] == span[0] and span[1] <= x[1] and x[2] <= span[2] and x != span for x in touched)
+
+
 def all_spans(texts: list[str | None], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
-    """For each text its base spans, and those that the tagger adds beside them without touching one."""
+    """For each text its base spans, and those that the tagger adds: beside them, or around one that caught a part only."""
     texts = [t or "" for t in texts]
     hot = [i for i, t in enumerate(texts) if TRIGGER.search(t)]
     base = {i: base_spans(texts[i]) for i in hot}
@@ -349,10 +419,8 @@ def all_spans(texts: list[str | None], tagger: Tagger) -> list[tuple[list[Span],
     out = []
     for i in range(len(texts)):
         b = sorted(base.get(i, ()), key=lambda s: (rank[s[0]], s[1]))
-        taken = bytearray(len(texts[i]) if b else 0)
-        for _, x, y in b:
-            taken[x:y] = b"\1" * (y - x)
-        out.append((b, [s for s in extra.get(i, ()) if 1 not in taken[s[1] : s[2]]]))
+        by_start = sorted(b, key=lambda s: s[1])
+        out.append((b, [s for s in extra.get(i, ()) if adds(s, by_start)]))
     return out
 
 
@@ -370,9 +438,10 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         put = lambda ss: [{"kind": k, "start": a, "end": b} for k, a, b in ss]
-        for b in batches:
-            got = all_spans(b.column(1).to_pylist(), tagger)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([put(x) for x, _ in got], kind), pa.array([put(y) for _, y in got], kind)], names=["key", "base", "added"])
+        for whole in batches:
+            for b in handfuls(whole):
+                got = all_spans(b.column(1).to_pylist(), tagger)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([put(x) for x, _ in got], kind), pa.array([put(y) for _, y in got], kind)], names=["key", "base", "added"])
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, base array<{SPAN_TYPE}>, added array<{SPAN_TYPE}>")
 
@@ -380,7 +449,9 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def redact(docs: DataFrame, text: str = "text", size: str = "n_chars") -> DataFrame:
     """``docs`` with each personal span of ``text`` replaced by ``[KIND]`` and ``size`` brought up to date.
 
-    Overlapping spans of different kinds are replaced as one, by the first kind's mark.  Null texts stay null.
+    Overlapping spans of different kinds are replaced as one, by the first kind's mark.  Null texts
+    stay null, empty ones empty; texts of any length are read whole; repeated rows, null keys and
+    other columns stay as they are; an empty table stays empty.
     """
     tagger = trained()
     schema = docs.schema
@@ -394,14 +465,15 @@ def redact(docs: DataFrame, text: str = "text", size: str = "n_chars") -> DataFr
         return t if not spans else "".join(out) + t[at:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            i = b.schema.get_field_index(text)
-            texts = b.column(i).to_pylist()
-            new = pa.array([clean(t, x + y) for t, (x, y) in zip(texts, all_spans(texts, tagger), strict=True)], b.schema.field(i).type)
-            b = b.set_column(i, b.schema.field(i), new)
-            if (j := b.schema.get_field_index(size)) >= 0:
-                b = b.set_column(j, b.schema.field(j), pa.compute.utf8_length(new).cast(b.schema.field(j).type))
-            yield b
+        for whole in batches:
+            i = whole.schema.get_field_index(text)
+            for b in handfuls(whole, i):
+                texts = b.column(i).to_pylist()
+                new = pa.array([clean(t, x + y) for t, (x, y) in zip(texts, all_spans(texts, tagger), strict=True)], b.schema.field(i).type)
+                b = b.set_column(i, b.schema.field(i), new)
+                if (j := b.schema.get_field_index(size)) >= 0:
+                    b = b.set_column(j, b.schema.field(j), pa.compute.utf8_length(new).cast(b.schema.field(j).type))
+                yield b
 
     import pyarrow.compute  # noqa: F401
 
