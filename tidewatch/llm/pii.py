@@ -1,8 +1,10 @@
 """Personal data: exact base patterns, and a character BiLSTM with CRF transitions trained in numpy."""
 
+import bisect
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -327,7 +329,7 @@ def reconcile(spans: dict[Span, float]) -> list[Span]:
     best: list[tuple[float, int, Span | None]] = [(0.0, 0, None)]
     ends = [0]
     for s in order:
-        at = int(np.searchsorted(ends[1:], s[1], side="right"))
+        at = bisect.bisect_right(ends, s[1], 1) - 1
         with_s = best[at][0] + spans[s]
         best.append((with_s, at, s) if with_s > best[-1][0] else (best[-1][0], len(best) - 1, None))
         ends.append(s[2])
@@ -403,10 +405,20 @@ def model_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
     return [reconcile(f) if f else [] for f in found]
 
 
-def adds(span: Span, base: list[Span]) -> bool:
-    """Whether a tagger's span is new: it touches no base span, or is wider than all that it touches, of its own kind."""
-    touched = [x for x in base if x[1] < span[2] and span[1] < x[2]]
-    return all(x[0] == span[0] and span[1] <= x[1] and x[2] <= span[2] and x != span for x in touched)
+def new_spans(extra: list[Span], base: list[Span]) -> list[Span]:
+    """Those of the tagger's spans that touch no base span, or are wider than all that they touch, of their own kind."""
+    base = sorted(base, key=lambda s: s[1])
+    starts, reach = [s[1] for s in base], list(accumulate((s[2] for s in base), max))
+    out = []
+    for span in extra:
+        at, fits = bisect.bisect_left(starts, span[2]) - 1, True
+        while fits and at >= 0 and reach[at] > span[1]:  # no earlier base span ends behind this one's start
+            x = base[at]
+            fits = x[2] <= span[1] or (x[0] == span[0] and span[1] <= x[1] and x[2] <= span[2] and x != span)
+            at -= 1
+        if fits:
+            out.append(span)
+    return out
 
 
 def all_spans(texts: list[str | None], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
@@ -419,8 +431,7 @@ def all_spans(texts: list[str | None], tagger: Tagger) -> list[tuple[list[Span],
     out = []
     for i in range(len(texts)):
         b = sorted(base.get(i, ()), key=lambda s: (rank[s[0]], s[1]))
-        by_start = sorted(b, key=lambda s: s[1])
-        out.append((b, [s for s in extra.get(i, ()) if adds(s, by_start)]))
+        out.append((b, new_spans(extra.get(i, []), b)))
     return out
 
 
