@@ -99,3 +99,20 @@ def test_running_sums_with_null_keys(spark):
     df = spark.createDataFrame([(None, i, 1) for i in range(50)] + [("x", i, 2) for i in range(50)], "k string, t long, v int")
     got = ranges.running(df, ["k"], F.floor(F.col("t") / 7), [F.col("t")], {"total": F.col("v")}).collect()
     assert all(r["total"] == (r["t"] + 1) * r["v"] for r in got) and len(got) == 100
+
+
+def test_order_statistics_and_p_values_in_ranges(spark, long):
+    from tidewatch.operators import conformal
+
+    s, _, df = long
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cal, test = df.where("t < 400"), df.where("t >= 400")
+        for alpha in (0.001, 0.1, 0.5, 0.999):
+            at = min(max(int(np.ceil(401 * (1 - alpha))), 1), 400)
+            got = {r["entity"]: r for r in conformal.conformal_threshold(cal, K, alpha).collect()}
+            assert (got["a"]["n_cal"], got["a"]["thr"]) == (400, np.sort(s[:400])[at - 1]) and got["b"]["n_cal"] == 3
+        p = of_a(conformal.conformal_p(cal, test, K), "p_value")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert p == pytest.approx([(1 + (s[:400] >= x).sum()) / 401 for x in s[400:]])

@@ -1,8 +1,13 @@
 """Conformal calibration with control of the false-alarm rate, set-based."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.ranges import counted
+
 
 def order_index(n: Column, alpha: Column) -> Column:
     """The 1-based order statistic of n calibration scores at level alpha."""
@@ -12,17 +17,18 @@ def order_index(n: Column, alpha: Column) -> Column:
 def conformal_threshold(cal: DataFrame, keys: list[str], alpha: float | Column, alpha_columns: list[str] = ()) -> DataFrame:
     """``keys, n_cal, thr``: the order statistic of the calibration scores that alpha asks for."""
     a = F.lit(float(alpha)) if isinstance(alpha, (int, float)) else alpha
-    by = Window.partitionBy(*keys, *alpha_columns)
-    ranked = cal.select("*", F.row_number().over(by.orderBy("s")).alias("rk"), F.count("*").over(by).alias("n_cal"))
-    return ranked.where(F.col("rk") == order_index(F.col("n_cal"), a)).select(*keys, *alpha_columns, "n_cal", F.col("s").alias("thr"))
+    of = counted(cal, [*keys, *alpha_columns], "s", F.count("*"))
+    at = order_index(F.col("total__"), a)
+    return of.where((F.col("until__") - F.col("n__") < at) & (at <= F.col("until__"))).select(*keys, *alpha_columns, F.col("total__").alias("n_cal"), F.col("v__").alias("thr"))
 
 
 def conformal_p(cal: DataFrame, test: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds p = (1 + number of calibration scores >= s) / (n + 1), by a running count over both tables."""
-    both = cal.select(*keys, F.lit(None).cast("long").alias("t"), "s", F.lit(None).cast("int").alias("label"), F.lit(1).alias("cal")).unionByName(test.select(*keys, "t", "s", "label", F.lit(0).alias("cal")))
-    above = F.sum("cal").over(Window.partitionBy(*keys).orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, 0))
-    out = both.select("*", above.alias("ge"), F.sum("cal").over(Window.partitionBy(*keys)).alias("n_cal"))
-    return out.where("cal = 0").select(*keys, "t", "s", "label", ((1 + F.col("ge")) / (F.col("n_cal") + 1)).alias("p_value"))
+    """Adds p = (1 + number of calibration scores >= s) / (n + 1), by running counts of both tables' distinct scores."""
+    both = cal.select(*keys, "s", F.lit(1).alias("cal")).unionByName(test.select(*keys, "s", F.lit(0).alias("cal")))
+    of = counted(both, keys, "s", F.sum("cal"), falling=True)
+    of = of.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "v__", "until__", "total__")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], F.col("s").eqNullSafe(F.col("v__")))
+    return test.select(*keys, "t", "s", "label").join(of, same).select(*keys, "t", "s", "label", ((1 + F.col("until__")) / (F.col("total__") + 1)).alias("p_value"))
 
 
 def flag_fixed(test: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:

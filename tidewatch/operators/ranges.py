@@ -5,9 +5,14 @@ is a block's own plus the totals of the blocks before it, and a frame of neighbo
 rows that lie close behind its block's bounds.
 """
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.sources.shared import written
+
 #: Steps of a block.
 BLOCK = 1 << 16
 
@@ -24,9 +29,22 @@ def running(df: DataFrame, keys: list[str], block: Column, order: list[Column],
     own = Window.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = marked.select(*df.columns, "__block", *[F.sum(f"__{n}").over(own).alias(f"__{n}") for n in sums])
     same = F.col("__block").eqNullSafe(F.col("__b"))
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return local.join(before, same).select(*df.columns, *[(F.col(f"__{n}") + F.col(f"__before_{n}")).alias(n) for n in sums])
+    return local.join(before, reduce(and_, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], same)).select(*df.columns, *[(F.col(f"__{n}") + F.col(f"__before_{n}")).alias(n) for n in sums])
+
+
+def counted(df: DataFrame, keys: list[str], value: str, count: Column, falling: bool = False) -> DataFrame:
+    """One row a key and distinct value, ``keys, v__, n__, until__, total__``: its count, and that of all values up to it.
+
+    Values are written in ranges of their order, so that no key is sorted whole.
+    """
+    order = F.desc("v__") if falling else F.asc("v__")
+    one = df.groupBy(*keys, F.col(value).alias("v__")).agg(count.alias("n__"))
+    one = written(one.repartitionByRange(*keys, order).withColumn("block__", F.spark_partition_id()))
+    out = running(one, keys, F.col("block__"), [order], {"until__": F.col("n__")})
+    total = one.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.sum("n__").alias("total__"))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    joined = out.join(total, reduce(and_, same)) if same else out.crossJoin(F.broadcast(total))  # one row of totals
+    return joined.select(*keys, "v__", "n__", "until__", "total__")
 
 
 def numbered(df: DataFrame, keys: list[str], t: str = "t", name: str = "__i", block: int | None = None) -> DataFrame:
