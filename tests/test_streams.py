@@ -58,6 +58,16 @@ def test_late_and_repeated_rows_find_their_place(spark, mode, files):
     assert told(out) == told(batch) and out.count() == 180
 
 
+def test_an_entity_that_begins_with_alarms_has_an_empty_buffer(spark):
+    """Alarms are not remembered in mode rolling, so the first micro-batches leave nothing to keep."""
+    cal = spark.createDataFrame([("a", float(x)) for x in range(20)], "entity string, s double")
+    rows = [("a", START + datetime.timedelta(hours=t), t, 100.0 if t < 8 else 1.0) for t in range(30)]
+    df = spark.createDataFrame([(*r, r[1]) for r in rows], ROWS + ", arrival timestamp")
+    folder = replay.write_arrivals(df, "arrival", [START + datetime.timedelta(hours=h) for h in (4, 12)], "entity")
+    out = replay.run_append(guard.guard_stream(replay.read_arrivals(spark, folder, 1), cal, mode="rolling", window=20))
+    assert told(out) == told(guard.guard_batch(spark.createDataFrame(rows, ROWS), cal, mode="rolling", window=20)) and out.count() == 30
+
+
 def test_rows_behind_the_watermark_are_dropped(spark):
     cal, rows = history(spark, entities=("a",))
     sent = [(*r, START + datetime.timedelta(days=20) if r[2] in (3, 17) else r[1]) for r in rows]

@@ -163,7 +163,10 @@ class GuardState(StatefulProcessor):
             raise ValueError(f"no calibration scores of {key[0]}")
         guard = Guard(np.frombuffer(bytes(cal[0])), self.mode, buffer=[float(x[0]) for x in self.buffer.get()], status=self.status.get(), **self.options)
         out = seen_rows(guard, ts, ss, self.key, key[0])
-        self.buffer.put([(float(x),) for x in guard.buffer])
+        if guard.buffer:
+            self.buffer.put([(float(x),) for x in guard.buffer])
+        else:  # state holds no empty lists; an entity whose first scores are all alarms has none to remember
+            self.buffer.clear()
         self.status.update(guard.status())
         yield pd.DataFrame([(key[0], *guard.stats())], columns=[self.key, *names(STATS)]) if self.stats else out
 
