@@ -221,7 +221,7 @@ def _(spark, sf):
     return windows.pool_tokens(fx.tokens(spark, sf), ["w"]).select("w", F.posexplode("f").alias("d", "x"))
 
 
-@query("token_sequences", """, d as (select w, d, avg(x) as x, max(label) as label from (select w, label, unnest(vec) as x, unnest(range(0, 64)) as d from fx_tokens) group by w, d), n as materialized (select w as t, list(round(x, 6) order by d) as f, max(label) as label from d group by w)
+@query("token_sequences", """, d as (select w, d, avg(x) as x, max(label) as label from (select w, label, unnest(vec) as x, unnest(range(0, 64)) as d from fx_tokens) group by w, d), n as materialized (select w as t, list(0 + round(x, 6) order by d) as f, max(label) as label from d group by w)
 select a.t - 5 as i, list(b.t order by b.t) as past, flatten(list(b.f order by b.t)) as xs, a.t as target, any_value(a.label) as label from n a join n b on b.t between a.t - 5 and a.t - 2 group by a.t having count(*) = 4""")
 def _(spark, sf):
     t = fx.tokens(spark, sf)
