@@ -1,9 +1,12 @@
 """Registered queries against their SQL on small tables that hold odd values."""
 
+import datetime
+
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from tidewatch.plans import registry
 
@@ -31,6 +34,21 @@ def test_token_sequences_have_no_negative_zeros(spark, tmp_path):
     assert got == want and len(got) == 5
 
 
+@pytest.mark.parametrize("name", ["far_at_alpha_v2", "fixed_quantile_eval"])
+def test_equal_scores_are_equal_whatever_their_mean_was_summed_from(spark, tmp_path, name):
+    """Users whose deviations from the mean are all the same but for the last bits: none lies above the threshold."""
+    pairs = [(0.1, 0.7), (0.7, 0.1), (10.1, 30.4), (30.4, 10.1), (5.55, 7.77), (7.77, 5.55), (0.3, 99.9), (99.9, 0.3)]
+    rows = [(u, t, (a if t < 10 else b)) for u, (a, b) in enumerate(pairs) for t in range(20)]
+    n = len(rows)
+    ts = [datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=t) for _, t, _ in rows]
+    events = {"event_id": pa.array(range(n), pa.int64()), "ts": pa.array(ts, pa.timestamp("us")), "user_id": pa.array([r[0] for r in rows], pa.int64()), "event_type": pa.array(["error" if r[1] >= 12 else "view" for r in rows]), "value": pa.array([r[2] for r in rows], pa.float64())}
+    for table, empty in EMPTY.items():
+        pq.write_table(pa.table(events if table == "events" else empty), tmp_path / f"{table}.parquet")
+    got, want = both(spark, tmp_path, name)
+    assert got == want and got
+    assert {r["far"] for r in registry.QUERIES[name](spark, str(tmp_path)).where("view = 'dev'").collect()} == {0.0}
+
+
 #: Tables that the fixtures' SQL names, without rows.
 EMPTY = {
     "events": {"event_id": pa.array([], pa.int64()), "ts": pa.array([], pa.timestamp("us")), "user_id": pa.array([], pa.int64()), "event_type": pa.array([], pa.string()), "value": pa.array([], pa.float64())},

@@ -106,9 +106,10 @@ def far_summary(evals: DataFrame, group: list[str]) -> DataFrame:
     return evals.groupBy(*group, "alpha").agg(F.avg("far").alias("far_mean"), F.stddev_samp("far").alias("far_std"), F.avg("coverage").alias("coverage"), F.avg(F.col("controlled").cast("double")).alias("controlled"), F.min((F.col("gap") < 0.02).cast("int")).alias("all_close"))
 
 
-def fixed_quantile_eval(df: DataFrame, keys: list[str], alpha: float) -> DataFrame:
-    """The plain train quantile as threshold: its rate, gap and recall on test."""
-    thr = df.where("split = 'train'").groupBy(*keys).agg(F.percentile("s", F.lit(1 - alpha)).alias("thr"))
+def fixed_quantile_eval(df: DataFrame, keys: list[str], alpha: float, digits: int | None = None) -> DataFrame:
+    """The plain train quantile as threshold, to ``digits`` if given: its rate, gap and recall on test."""
+    q = F.percentile("s", F.lit(1 - alpha))
+    thr = df.where("split = 'train'").groupBy(*keys).agg((q if digits is None else F.round(q, digits)).alias("thr"))
     hit = df.where("split = 'test'").join(thr, keys).withColumn("hit", (F.col("s") > F.col("thr")).cast("double"))
     far = F.avg(F.when(F.col("label") == 0, F.col("hit")))
     return hit.groupBy(*keys).agg(F.max("thr").alias("thr"), far.alias("far"), F.avg(F.when(F.col("label") == 1, F.col("hit"))).alias("recall")).withColumn("gap", F.abs(F.col("far") - F.lit(alpha)))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import conformal, metrics
 from tidewatch.plans import fixtures as fx
 from tidewatch.plans.registry import query
+from tidewatch.sources.shared import written
 
 EV = ["entity", "view"]
 P = "over (partition by entity, view)"
@@ -164,10 +165,19 @@ def _(spark, sf):
     return conformal.flag_fixed(test, conformal.conformal_threshold(cal, EV, 0.1), EV).select("entity", "view", "t", "flag")
 
 
-def far_sql(ratio: float, held: bool, hit: str) -> str:
+#: Scores count as equal from nine digits on, whatever the order that their means were summed in; they are computed once.
+NINE = ", ns as materialized (select * replace (round(s, 9) as s) from fx_scores)"
+
+
+def nine(df):
+    """The same rule as ``NINE``: a mean that is summed again may move a score by its last bit, and so across its equal."""
+    return written(df.withColumn("s", F.round("s", 9)))
+
+
+def far_sql(ratio: float, held: bool, hit: str, rows: str = "fx_scores") -> str:
     k = f"greatest(1, floor(nn * cast({ratio} as double)))"
     k = f"least({k}, nn - 1)" if held else k
-    return f""", nm as (select *, row_number() over (partition by entity, view, label order by t) as r, sum(1 - label) {P} as nn from fx_scores), pt as (select *, case when label = 1 then 'anomaly' when r <= {k} then 'cal' else 'normal' end as part from nm),
+    return f""", nm as (select *, row_number() over (partition by entity, view, label order by t) as r, sum(1 - label) {P} as nn from {rows}), pt as (select *, case when label = 1 then 'anomaly' when r <= {k} then 'cal' else 'normal' end as part from nm),
 al as (select cast(unnest([0.01, 0.05, 0.1]) as double) as alpha), cc as (select *, row_number() over (partition by entity, view order by s) as rk, count(*) {P} as n, avg(s) {P} as mu, stddev_pop(s) {P} + 1e-10 as sd from pt where part = 'cal'),
 ft as (select entity, view, alpha, n, s as thr, mu, sd from cc, al where rk = greatest(1, least(ceil((cast(n as double) + 1) * (1 - alpha)), n)))
 select entity, view, alpha, max(n) as n_cal, round(max(thr), 6) + 0 as threshold, round(avg(case when part = 'normal' then case when {hit} then 1.0 else 0 end end), 6) + 0 as far, round(avg(case when part = 'anomaly' then case when {hit} then 1.0 else 0 end end), 6) + 0 as coverage
@@ -179,9 +189,9 @@ def _(spark, sf):
     return conformal.far_at_alpha(fx.scores(spark, sf), EV, [0.01, 0.05, 0.1])
 
 
-@query("far_at_alpha_v2", far_sql(0.8, True, "(s - mu) / sd > (thr - mu) / sd").replace("select entity, view, alpha, max(n)", "select entity, view, round(alpha, 6) + 0 as alpha, max(n)"))
+@query("far_at_alpha_v2", NINE + far_sql(0.8, True, "(s - mu) / sd > (thr - mu) / sd", "ns").replace("select entity, view, alpha, max(n)", "select entity, view, round(alpha, 6) + 0 as alpha, max(n)"))
 def _(spark, sf):
-    return conformal.far_at_alpha(fx.scores(spark, sf), EV, [0.01, 0.05, 0.1], 0.8, True)
+    return conformal.far_at_alpha(nine(fx.scores(spark, sf)), EV, [0.01, 0.05, 0.1], 0.8, True)
 
 
 @query("bonferroni_alpha", "select entity, view, round(least(1 - 1e-10, greatest(1e-10, cast(0.05 as double) / count(*))), 6) + 0 as alpha from fx_scores group by entity, view")
@@ -223,7 +233,7 @@ def _(spark, sf):
     return conformal.far_summary(conformal.far_eval(halves(spark, sf), EV, [0.01, 0.05, 0.1]), ["view"])
 
 
-@query("fixed_quantile_eval", SP + """, q as (select entity, view, quantile_cont(s, cast(0.95 as double)) as thr from sp where split = 'train' group by entity, view), h as (select entity, view, thr, avg(case when label = 0 then case when s > thr then 1.0 else 0 end end) as far, avg(case when label = 1 then case when s > thr then 1.0 else 0 end end) as recall from sp join q using (entity, view) where split = 'test' group by entity, view, thr)
+@query("fixed_quantile_eval", SP + """, ns as materialized (select * replace (round(s, 9) as s) from sp), q as (select entity, view, round(quantile_cont(s, cast(0.95 as double)), 9) as thr from ns where split = 'train' group by entity, view), h as (select entity, view, thr, avg(case when label = 0 then case when s > thr then 1.0 else 0 end end) as far, avg(case when label = 1 then case when s > thr then 1.0 else 0 end end) as recall from ns join q using (entity, view) where split = 'test' group by entity, view, thr)
 select entity, view, round(thr, 6) + 0 as thr, round(far, 6) + 0 as far, round(recall, 6) + 0 as recall, round(abs(far - cast(0.05 as double)), 6) + 0 as gap from h""")
 def _(spark, sf):
-    return conformal.fixed_quantile_eval(halves(spark, sf), EV, 0.05)
+    return conformal.fixed_quantile_eval(nine(halves(spark, sf)), EV, 0.05, 9)
