@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidewatch.operators import metrics, ranges, sweeps
+from tidewatch.operators import conformal, metrics, prep, ranges, sweeps
 
 K = ["entity"]
 
@@ -23,6 +23,7 @@ OPERATORS = {
     "config": lambda p: sweeps.apply_config(p.selectExpr("*", "0 as ds"), K, "ds", {0: ("zscore", 0.3, 5, "median")}),
     "ensemble": lambda p: sweeps.ensemble_auto(p.selectExpr("entity", "t", "label", "stack(2, 'a', a, 'b', b) as (view, s)"), K),
     "metrics": lambda p: metrics.all_metrics(p.withColumnRenamed("b", "s"), K),
+    "far": lambda p: conformal.far_eval(prep.half_split(p.where("entity is not null").withColumnRenamed("a", "s"), K), K, [0.05, 0.2], 0.4),
     "curve": lambda p: metrics.curve(p.withColumnRenamed("a", "s"), K),
 }
 
@@ -31,6 +32,7 @@ OPERATORS = {
 def test_short_and_long_series_give_the_same(spark, monkeypatch, name):
     table = pairs(spark, {"a": 30, "b": 5, None: 25, "c": 90})
     with monkeypatch.context() as m:
+        m.setattr(conformal, "counted", None)
         m.setattr(metrics, "points", None)  # series that fit a task never lie in ranges of scores
         short = told(OPERATORS[name](table))
     monkeypatch.setattr(ranges, "BLOCK", 28)  # a and c are long

@@ -1,12 +1,13 @@
 """Conformal calibration with control of the false-alarm rate, set-based."""
 
-from functools import reduce
+from functools import partial, reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.ranges import counted
+from tidewatch.operators.ranges import by_size, counted
+from tidewatch.sources.shared import written
 
 
 def order_index(n: Column, alpha: Column) -> Column:
@@ -91,14 +92,43 @@ def train_tail(df: DataFrame, keys: list[str], ratio: float) -> DataFrame:
 
 
 def far_eval(df: DataFrame, keys: list[str], alphas: list[float], ratio: float = 0.2) -> DataFrame:
-    """Calibration on the train tail, evaluation on test, for each level."""
+    """Calibration on the train tail, evaluation on test, for each level.
+
+    The scores are computed once and written: scores that were computed twice might differ by a bit and miss each other.
+    """
+    rows = written(df.select(*keys, "split", "t", "s", "label"))
+    return by_size(rows, keys, partial(far_eval_short, keys=keys, alphas=alphas, ratio=ratio), partial(far_eval_long, keys=keys, alphas=alphas, ratio=ratio))
+
+
+def far_eval_short(df: DataFrame, keys: list[str], alphas: list[float], ratio: float) -> DataFrame:
+    """:func:`far_eval` of series that a task may sort whole: ranks and thresholds by windows over each series alone."""
+    by, part = Window.partitionBy(*keys), Window.partitionBy(*keys, "split")
+    count = F.count("*").over(part)
+    back = F.row_number().over(part.orderBy(F.desc("t")))
+    cal = (F.col("split") == "train") & (F.col("__b") <= F.greatest(F.lit(1), F.least(F.floor(F.col("__n") * F.lit(ratio)), F.col("__n") - 1)))
+    rows = df.withColumns({"__b": back, "__n": count}).withColumn("__cal", cal.cast("int")).where("__cal = 1 or split = 'test'")
+    rank = F.row_number().over(Window.partitionBy(*keys, "__cal").orderBy("s"))
+    rows = rows.withColumns({"__r": rank, "__above": F.sum("__cal").over(by.orderBy(F.desc("s"))), "n_cal": F.sum("__cal").over(by)})  # the frame holds equal scores
+    thr = [F.max(F.when((F.col("__cal") == 1) & (F.col("__r") == order_index(F.col("n_cal"), F.lit(a))), F.col("s"))).over(by) for a in alphas]
+    test = rows.withColumn("__thr", F.array(*thr)).where("__cal = 0 and n_cal > 0").withColumn("p_value", (1 + F.col("__above")) / (F.col("n_cal") + 1))
+    share = lambda i, label: F.avg(F.when(F.col("label") == label, (F.col("s") > F.col("__thr")[i]).cast("double")))
+    each = F.array(*[F.struct(F.lit(a).alias("alpha"), share(i, 0).alias("far"), share(i, 1).alias("coverage")) for i, a in enumerate(alphas)])
+    out = test.groupBy(*keys).agg(each.alias("__x"), F.avg("p_value").alias("mean_p"), F.count("*").alias("n_test"), F.max("n_cal").alias("n_cal"))
+    return with_gaps(out.withColumn("x", F.explode("__x")).select(*keys, "x.alpha", "x.far", "x.coverage", "mean_p", "n_test", "n_cal"))
+
+
+def with_gaps(out: DataFrame) -> DataFrame:
+    return out.select("*", F.abs(F.col("far") - F.col("alpha")).alias("gap"), (F.col("far") <= F.col("alpha")).alias("controlled"))
+
+
+def far_eval_long(df: DataFrame, keys: list[str], alphas: list[float], ratio: float) -> DataFrame:
     cal = train_tail(df.where("split = 'train'"), keys, ratio)
     test = conformal_p(cal, df.where("split = 'test'"), keys).crossJoin(F.broadcast(levels(df, alphas)))
     thr = conformal_threshold(cal.crossJoin(F.broadcast(levels(df, alphas))), keys, F.col("alpha"), ["alpha"])
     hit = test.join(thr, [*keys, "alpha"]).withColumn("hit", (F.col("s") > F.col("thr")).cast("double"))
     far = F.avg(F.when(F.col("label") == 0, F.col("hit")))
     out = hit.groupBy(*keys, "alpha").agg(far.alias("far"), F.avg(F.when(F.col("label") == 1, F.col("hit"))).alias("coverage"), F.avg("p_value").alias("mean_p"), F.count("*").alias("n_test"), F.max("n_cal").alias("n_cal"))
-    return out.select("*", F.abs(F.col("far") - F.col("alpha")).alias("gap"), (F.col("far") <= F.col("alpha")).alias("controlled"))
+    return with_gaps(out)
 
 
 def far_summary(evals: DataFrame, group: list[str]) -> DataFrame:
