@@ -97,6 +97,47 @@ def test_running_statistics(spark):
         assert tuple(got[e])[1:] == g.stats() and got[e]["n_alarms"] == sum(flags) and got[e]["far"] == sum(flags) / 60
 
 
+@pytest.mark.parametrize("stats", [False, True])
+def test_python_is_called_for_groups_of_entities(spark, tmp_path, monkeypatch, stats):
+    """300 entities, one of them null, others numbers that no double holds: far fewer calls, and the batch guard's rows."""
+
+    class Counting(guard.GuardState):
+        log = str(tmp_path / "calls")
+
+        def handleExpiredTimer(self, **args):
+            with open(self.log, "a") as f:
+                f.write(".")
+            yield from guard.GuardState.handleExpiredTimer(self, **args)
+
+    monkeypatch.setattr(guard, "GuardState", Counting)
+    rng = np.random.default_rng(7)
+    names = [None, *range(2**60 + 1, 2**60 + 300)]
+    kind = "entity long, ts timestamp, t long, s double"
+    cal = spark.createDataFrame([(e, float(x)) for e in names for x in rng.normal(size=20)], "entity long, s double")
+    rows = [(e, START + datetime.timedelta(hours=t), 2**60 + t, float(x)) for e in names for t, x in enumerate(rng.normal(size=24))]
+    end = START + datetime.timedelta(days=9)
+    sent = spark.createDataFrame([*((*r, r[1]) for r in rows), (None, end, None, None, end)], kind + ", arrival timestamp")
+    folder = replay.write_arrivals(sent, "arrival", [START + datetime.timedelta(hours=12), end], "entity")
+    out = guard.guard_stream(replay.read_arrivals(spark, folder).withWatermark("ts", "6 hours"), cal, mode="aci", event_time="ts", stats=stats, window=15)
+    got = replay.run_update(out, ["entity"], "n_predictions") if stats else replay.run_append(out)
+    assert 0 < len((tmp_path / "calls").read_text()) < 300
+    want = guard.guard_batch(spark.createDataFrame(rows, kind), cal, mode="aci", window=15)
+    if stats:
+        last = want.groupBy("entity").agg(F.max("n_seen").alias("n_predictions"), F.max("n_alarms").alias("n_alarms"), F.max_by("drift", "t").alias("drift"))
+        assert told(got.select(*last.columns)) == told(last) and got.count() == 300
+    else:
+        assert told(got) == told(want) and got.count() == 300 * 24
+
+
+def test_calibration_scores_of_more_than_one_arrow_batch(spark):
+    rng = np.random.default_rng(8)
+    cal = spark.createDataFrame([("a", float(x)) for x in rng.normal(size=12_000)], "entity string, s double")
+    rows = [("a", START + datetime.timedelta(hours=t), t, float(x)) for t, x in enumerate(rng.normal(size=30))]
+    folder = replay.write_arrivals(spark.createDataFrame([(*r, r[1]) for r in rows], ROWS + ", arrival timestamp"), "arrival", [], "entity")
+    out = replay.run_append(guard.guard_stream(replay.read_arrivals(spark, folder), cal, mode="fixed"))
+    assert told(out) == told(guard.guard_batch(spark.createDataFrame(rows, ROWS), cal, mode="fixed")) and out.count() == 30
+
+
 def test_scores_of_a_stream_of_vectors(spark):
     rng = np.random.default_rng(3)
     prec = np.cov(rng.normal(size=(5, 40)))

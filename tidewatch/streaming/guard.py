@@ -6,7 +6,7 @@ or waits with each row until the watermark has passed its event time, so that la
 place; rows later than the watermark are dropped.  One entity is one sequence of steps and so one
 task, whatever its length; entities spread.  A score that is null or not finite is an error, as is an
 entity without calibration scores or a score without ``t``; a row with neither is a heartbeat, which
-only moves the watermark.
+only moves the watermark.  In a stream the guards of a group of entities are one state.
 """
 
 import bisect
@@ -19,12 +19,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import NumericType
 
 OUT = "t long, s double, p_value double, threshold double, flag boolean, drift boolean, n_alarms long, n_seen long"
 STATS = "n_calibration long, level double, fixed_threshold double, rolling_threshold double, n_alarms long, n_predictions long, far double, drift boolean"
 #: What a guard remembers beside its buffer.
 STATUS = "rolling double, drift boolean, level double, alarms long, seen long, last long"
 EPS = 1e-10
+#: Entities that share a call of Python, a state and a timer in a stream; and rows of their output that go on together.
+GROUP, OUT_ROWS = 128, 10_000
+#: Kinds of the columns of waiting rows: number of the entity, event time in ms, t, s.
+WAITING = ("<i4", "<i8", "<i8", "<f8")
+#: Bits of ``nulls__``.
+NO_KEY, NO_T, NO_S = 4, 2, 1
 
 
 def order_statistic(xs: list | np.ndarray, alpha: float) -> float:
@@ -139,82 +146,145 @@ def guard_batch(df: DataFrame, cal: DataFrame, key: str = "entity", mode: str =
 
 
 class GuardState(StatefulProcessor):
-    """The guard as typed state of a stream: calibration scores, buffer, status, and rows that wait for the watermark."""
+    """The guards of a group of entities as typed state of a stream: calibration scores, buffers and status, and rows that wait for the watermark.
 
-    def __init__(self, key: str, mode: str, options: dict, event_time: str | None, stats: bool):
-        self.key, self.mode, self.options, self.event_time, self.stats = key, mode, options, event_time, stats
+    A group's entities are numbered in the order of ``cal``, and ``guards`` lies in the same order.  Waiting rows are
+    kept as they came, a row of state a piece of input: entities' numbers, event times, ``t`` and ``s``, as bytes.
+    """
+
+    def __init__(self, key: str, kind: str, mode: str, options: dict, event_time: str | None, stats: bool):
+        self.key, self.kind, self.mode, self.options, self.event_time, self.stats = key, kind, mode, options, event_time, stats
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.cal = handle.getValueState("cal", "scores binary")
-        self.buffer = handle.getListState("buffer", "x double")
-        self.status = handle.getValueState("status", STATUS)
-        self.waiting = handle.getListState("waiting", "ms long, t long, s double")
+        self.cal = handle.getListState("cal", f"entity {self.kind}, scores binary")
+        self.guards = handle.getListState("guards", f"buffer binary, {STATUS}")
+        self.waiting = handle.getListState("waiting", "who binary, ms binary, t binary, s binary")
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
-        self.cal.update((np.sort(initialState["s"].to_numpy(float)).tobytes(),))
+        scores = [np.sort(np.asarray(x, float)).tobytes() for x in initialState["s"]]  # each entity in one piece, in one row
+        self.cal.appendList(list(zip(entities(initialState), scores, strict=True)))
 
-    def take(self, key: tuple, ts: list, ss: list) -> Iterator[pd.DataFrame]:
-        """Steps in order go through the guard, and its state is kept."""
-        if not ts:
+    def take(self, cal: list[tuple], who: np.ndarray, ts: np.ndarray, ss: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Steps go through the guards of their entities, in order, and the state is kept."""
+        if not len(who):
             return
-        cal = self.cal.get()
-        if cal is None:
-            raise ValueError(f"no calibration scores of {key[0]}")
-        guard = Guard(np.frombuffer(bytes(cal[0])), self.mode, buffer=[float(x[0]) for x in self.buffer.get()], status=self.status.get(), **self.options)
-        out = seen_rows(guard, ts, ss, self.key, key[0])
-        if guard.buffer:
-            self.buffer.put([(float(x),) for x in guard.buffer])
-        else:  # state holds no empty lists; an entity whose first scores are all alarms has none to remember
-            self.buffer.clear()
-        self.status.update(guard.status())
-        yield pd.DataFrame([(key[0], *guard.stats())], columns=[self.key, *names(STATS)]) if self.stats else out
+        order = np.lexsort((ss, ts, who))
+        who, ts, ss = who[order], ts[order], ss[order]
+        kept = list(self.guards.get()) or [(b"", *[None] * len(names(STATUS)))] * len(cal)
+        bounds = [0, *(np.flatnonzero(np.diff(who)) + 1).tolist(), len(who)]
+        rows: list[tuple] = []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            n = int(who[a])
+            entity, scores = cal[n]
+            buffer, *status = kept[n]
+            guard = Guard(np.frombuffer(bytes(scores)), self.mode, buffer=np.frombuffer(bytes(buffer)).tolist(), status=None if status[2] is None else tuple(status), **self.options)
+            seen = [(entity, *r) for t, s in zip(ts[a:b].tolist(), ss[a:b].tolist(), strict=True) if (r := guard.see(t, s)) is not None]
+            kept[n] = (np.array(guard.buffer, float).tobytes(), *guard.status())
+            rows += [(entity, *guard.stats())] if self.stats else seen
+            if len(rows) >= OUT_ROWS:
+                yield self.frame(rows)
+                rows = []
+        self.guards.put(kept)
+        if rows:
+            yield self.frame(rows)
+
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[self.key, *names(STATS if self.stats else OUT)], dtype=object)  # whole numbers beside nulls stay whole
+
+    def arrived(self, pdf: pd.DataFrame, number: dict) -> pd.DataFrame:
+        """All but heartbeats, with the numbers of their entities."""
+        pdf = pdf[pdf["nulls__"] & (NO_T | NO_S) != (NO_T | NO_S)]
+        if (pdf["nulls__"] & NO_T).any():
+            raise ValueError("a score without t has no place in the order")
+        keys = entities(pdf)
+        if unknown := set(keys) - number.keys():
+            raise ValueError(f"no calibration scores of {unknown.pop()}")
+        return pdf.assign(who=np.array([number[k] for k in keys], np.int32))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        pdf = real_rows(pd.concat(list(rows)))
+        cal = list(self.cal.get())
+        number = {e: n for n, (e, _) in enumerate(cal)}
+        pieces = [p for pdf in rows if len(p := self.arrived(pdf, number))]
+        if not pieces:
+            return
         if self.event_time is None:
-            pdf = pdf.sort_values(["t", "s"])
-            yield from self.take(key, pdf["t"].tolist(), pdf["s"].tolist())
-        elif len(pdf):
+            pdf = pd.concat(pieces)
+            yield from self.take(cal, pdf["who"].to_numpy(), pdf["t"].to_numpy(), pdf["s"].to_numpy())
+            return
+        first = None
+        for pdf in pieces:
             ms = -(-pdf["us__"].to_numpy(np.int64) // 1000)  # rounds up, so that a timer never fires before its row's time
-            self.waiting.appendList([(int(m), int(t), float(s)) for m, t, s in zip(ms, pdf["t"], pdf["s"], strict=True)])
-            first = int(ms.min())
-            if first < min(self.handle.listTimers(), default=first + 1):
-                self.handle.registerTimer(first)
+            self.waiting.appendValue(as_bytes(pdf["who"].to_numpy(), ms, pdf["t"].to_numpy(), pdf["s"].to_numpy()))
+            first = int(ms.min()) if first is None else min(first, int(ms.min()))
+        if first < min(self.handle.listTimers(), default=first + 1):
+            self.handle.registerTimer(first)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(r) for r in self.waiting.get()]
-        due = sorted((t, s) for ms, t, s in held if ms <= now)
-        later = [r for r in held if r[0] > now]
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(min(r[0] for r in later))
-        else:
+        held = [tuple(np.frombuffer(bytes(x), kind) for x, kind in zip(piece, WAITING, strict=True)) for piece in self.waiting.get()]
+        if not held:
+            return
+        who, ms, ts, ss = (np.concatenate(column) for column in zip(*held, strict=True))
+        due = ms <= now
+        if due.all():
             self.waiting.clear()
-        yield from self.take(key, [t for t, _ in due], [s for _, s in due])
+        else:
+            self.handle.registerTimer(int(ms[~due].min()))
+            if due.any():
+                self.waiting.put([as_bytes(who[~due], ms[~due], ts[~due], ss[~due])])
+        if due.any():
+            yield from self.take(list(self.cal.get()), who[due], ts[due], ss[due])
 
     def close(self) -> None:
         pass
 
 
+def as_bytes(*columns: np.ndarray) -> tuple:
+    """Columns of waiting rows as state."""
+    return tuple(np.ascontiguousarray(x, kind).tobytes() for x, kind in zip(columns, WAITING, strict=True))
+
+
+def entities(pdf: pd.DataFrame) -> list:
+    """The keys of rows, None where they are null."""
+    return [None if null else k for k, null in zip(pdf["key__"].tolist(), (pdf["nulls__"] & NO_KEY != 0).tolist(), strict=True)]
+
+
+def whole(df: DataFrame, c: str) -> Column:
+    """A column without nulls if it holds numbers, which pandas would else take as floats."""
+    kind = df.schema[c].dataType
+    return F.coalesce(F.col(c), F.lit(0).cast(kind)) if isinstance(kind, NumericType) else F.col(c)
+
+
 def guard_stream(
-    stream: DataFrame, cal: DataFrame, key: str = "entity", mode: str = "rolling", event_time: str | None = None, stats: bool = False, **options: float
+    stream: DataFrame, cal: DataFrame, key: str = "entity", mode: str = "rolling", event_time: str | None = None, stats: bool = False, groups: int | None = None, **options: float
 ) -> DataFrame:
     """The same guard over a stream; calibration scores are its initial state, given once a key.
 
     With ``event_time``, a column that has a watermark, rows wait for it and come out in order of t;
     else each micro-batch is sorted by itself.  ``stats`` gives, in update mode, a row of running
     statistics a key and micro-batch instead.  The state store is RocksDB, which typed state needs.
+
+    Python, state and timers are called once a micro-batch for a group of entities, not for each.
+    ``groups`` is their number, by default one for every ``GROUP`` entities of ``cal``, or more on
+    many cores; a stream that goes on from a checkpoint must be given the number it began with.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    state = GuardState(key, mode, options, event_time, stats)
-    cols = [key, "t", "s", *([event_time, F.unix_micros(event_time).alias("us__")] if event_time else [])]
-    return (
-        stream.select(*cols)
-        .groupBy(key)
-        .transformWithStateInPandas(state, schema_of(stream, key, STATS if stats else OUT), "update" if stats else "append", "eventtime" if event_time else "none", initialState=cal.select(key, "s").groupBy(key))
-    )
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind, none = stream.schema[key].dataType, F.lit(float("nan"))
+    first = cal.select(F.col(key).cast(kind).alias(key), F.coalesce(F.col("s").cast("double"), none).alias("s")).groupBy(key).agg(F.collect_list("s").alias("s"))
+    groups = groups or max(-(-first.count() // GROUP), 4 * spark.sparkContext.defaultParallelism)
+    group = F.pmod(F.xxhash64(key), F.lit(groups)).alias("group__")
+    null = lambda c, bit: F.when(F.col(c).isNull(), bit).otherwise(0)
+    initial = first.select(group, whole(first, key).alias("key__"), null(key, NO_KEY).alias("nulls__"), "s")
+    rows = stream.select(
+        group, whole(stream, key).alias("key__"), (null(key, NO_KEY) + null("t", NO_T) + null("s", NO_S)).alias("nulls__"), whole(stream, "t").cast("long").alias("t"), F.coalesce(F.col("s").cast("double"), none).alias("s"),
+        *([event_time, F.unix_micros(event_time).alias("us__")] if event_time else []),
+    )
+    return rows.groupBy("group__").transformWithStateInPandas(
+        GuardState(key, kind.simpleString(), mode, options, event_time, stats), schema_of(stream, key, STATS if stats else OUT), "update" if stats else "append", "eventtime" if event_time else "none",
+        initialState=initial.groupBy("group__"),
+    )
 
 
 def stream_fixed(stream: DataFrame, thresholds: DataFrame, key: str = "entity") -> DataFrame:
