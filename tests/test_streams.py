@@ -129,6 +129,36 @@ def test_python_is_called_for_groups_of_entities(spark, tmp_path, monkeypatch, s
         assert told(got) == told(want) and got.count() == 300 * 24
 
 
+@pytest.mark.parametrize("stats", [False, True])
+def test_a_group_reads_few_rows_of_state(spark, tmp_path, monkeypatch, stats):
+    """Calibration scores and guards of a group of entities are a row of state each, not one an entity."""
+
+    class Counting(guard.GuardState):
+        log = str(tmp_path / "rows")
+
+        def handleExpiredTimer(self, **args):
+            with open(self.log, "a") as f:
+                f.write(f"{len(list(self.cal.get()))}\n")
+            yield from guard.GuardState.handleExpiredTimer(self, **args)
+
+    monkeypatch.setattr(guard, "GuardState", Counting)
+    rng = np.random.default_rng(11)
+    names = [None, *(f"e{k}" for k in range(99))]
+    cal = spark.createDataFrame([(e, float(x)) for k, e in enumerate(names) for x in rng.normal(size=5 + k % 7)], "entity string, s double")
+    rows = [(e, START + datetime.timedelta(hours=t), t, float(x)) for k, e in enumerate(names) for t, x in enumerate(rng.normal(size=k % 24) * (1 + k % 3))]
+    end = START + datetime.timedelta(days=9)
+    sent = spark.createDataFrame([*((*r, r[1]) for r in rows), (None, end, None, None, end)], ROWS + ", arrival timestamp")
+    folder = replay.write_arrivals(sent, "arrival", [START + datetime.timedelta(hours=h) for h in (8, 16)] + [end], "entity")
+    out = guard.guard_stream(replay.read_arrivals(spark, folder).withWatermark("ts", "2 hours"), cal, mode="aci", event_time="ts", stats=stats, groups=4, window=15)
+    got = replay.run_update(out, ["entity"], "n_predictions") if stats else replay.run_append(out)
+    want = guard.guard_batch(spark.createDataFrame(rows, ROWS), cal, mode="aci", window=15)
+    if stats:
+        last = want.groupBy("entity").agg(F.max("n_seen").alias("n_predictions"), F.max("n_alarms").alias("n_alarms"), F.max_by("drift", "t").alias("drift"))
+        got, want = got.select(*last.columns), last
+    assert told(got) == told(want) and got.count()
+    assert set((tmp_path / "rows").read_text().split()) == {"1"}
+
+
 def test_calibration_scores_of_more_than_one_arrow_batch(spark):
     rng = np.random.default_rng(8)
     cal = spark.createDataFrame([("a", float(x)) for x in rng.normal(size=12_000)], "entity string, s double")

@@ -23,8 +23,8 @@ from pyspark.sql.types import NumericType
 
 OUT = "t long, s double, p_value double, threshold double, flag boolean, drift boolean, n_alarms long, n_seen long"
 STATS = "n_calibration long, level double, fixed_threshold double, rolling_threshold double, n_alarms long, n_predictions long, far double, drift boolean"
-#: What a guard remembers beside its buffer.
-STATUS = "rolling double, drift boolean, level double, alarms long, seen long, last long"
+#: What a guard remembers beside its buffer, behind the length of that; NaN is no rolling threshold, and none seen is no status.
+KEPT = np.dtype([("size", "<i4"), ("rolling", "<f8"), ("drift", "?"), ("level", "<f8"), ("alarms", "<i8"), ("seen", "<i8"), ("last", "<i8")])
 EPS = 1e-10
 #: Entities that share a call of Python, a state and a timer in a stream; and rows of their output that go on together.
 GROUP, OUT_ROWS = 128, 10_000
@@ -148,8 +148,9 @@ def guard_batch(df: DataFrame, cal: DataFrame, key: str = "entity", mode: str =
 class GuardState(StatefulProcessor):
     """The guards of a group of entities as typed state of a stream: calibration scores, buffers and status, and rows that wait for the watermark.
 
-    A group's entities are numbered in the order of ``cal``, and ``guards`` lies in the same order.  Waiting rows are
-    kept as they came, a row of state a piece of input: entities' numbers, event times, ``t`` and ``s``, as bytes.
+    A group's entities are numbered in the order of ``cal``, and ``guards`` lies in the same order.  Each row of state
+    that Python reads costs more than a step of a guard, so a group has one for its guards, one a piece of its initial
+    state, and one a piece of input for waiting rows, kept as they came: entities' numbers, event times, ``t`` and ``s``.
     """
 
     def __init__(self, key: str, kind: str, mode: str, options: dict, event_time: str | None, stats: bool):
@@ -157,13 +158,19 @@ class GuardState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.cal = handle.getListState("cal", f"entity {self.kind}, scores binary")
-        self.guards = handle.getListState("guards", f"buffer binary, {STATUS}")
+        self.cal = handle.getListState("cal", f"entity array<{self.kind}>, size binary, scores binary")
+        self.guards = handle.getValueState("guards", "buffers binary, kept binary")
         self.waiting = handle.getListState("waiting", "who binary, ms binary, t binary, s binary")
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
-        scores = [np.sort(np.asarray(x, float)).tobytes() for x in initialState["s"]]  # each entity in one piece, in one row
-        self.cal.appendList(list(zip(entities(initialState), scores, strict=True)))
+        if initialState.empty:
+            return
+        scores = [np.sort(np.asarray(x, float)) for x in initialState["s"]]  # each entity in one piece
+        self.cal.appendValue((entities(initialState), np.array([len(x) for x in scores], "<i4").tobytes(), np.concatenate(scores).tobytes()))
+
+    def calibration(self) -> list[tuple]:
+        """The group's entities, each with its calibration scores."""
+        return [x for entity, size, scores in self.cal.get() for x in zip(entity, cut(scores, np.frombuffer(bytes(size), "<i4")), strict=True)]
 
     def take(self, cal: list[tuple], who: np.ndarray, ts: np.ndarray, ss: np.ndarray) -> Iterator[pd.DataFrame]:
         """Steps go through the guards of their entities, in order, and the state is kept."""
@@ -171,21 +178,26 @@ class GuardState(StatefulProcessor):
             return
         order = np.lexsort((ss, ts, who))
         who, ts, ss = who[order], ts[order], ss[order]
-        kept = list(self.guards.get()) or [(b"", *[None] * len(names(STATUS)))] * len(cal)
+        before = self.guards.get()
+        kept = np.zeros(len(cal), KEPT) if before is None else np.frombuffer(bytes(before[1]), KEPT).copy()
+        buffers = cut(b"" if before is None else before[0], kept["size"])
         bounds = [0, *(np.flatnonzero(np.diff(who)) + 1).tolist(), len(who)]
         rows: list[tuple] = []
         for a, b in zip(bounds, bounds[1:], strict=False):
             n = int(who[a])
             entity, scores = cal[n]
-            buffer, *status = kept[n]
-            guard = Guard(np.frombuffer(bytes(scores)), self.mode, buffer=np.frombuffer(bytes(buffer)).tolist(), status=None if status[2] is None else tuple(status), **self.options)
+            _, rolling, *rest = kept[n].item()
+            status = (None if math.isnan(rolling) else rolling, *rest) if kept[n]["seen"] else None
+            guard = Guard(scores, self.mode, buffer=buffers[n].tolist(), status=status, **self.options)
             seen = [(entity, *r) for t, s in zip(ts[a:b].tolist(), ss[a:b].tolist(), strict=True) if (r := guard.see(t, s)) is not None]
-            kept[n] = (np.array(guard.buffer, float).tobytes(), *guard.status())
+            buffers[n] = np.array(guard.buffer, float)
+            rolling, *rest = guard.status()
+            kept[n] = (len(guard.buffer), math.nan if rolling is None else rolling, *rest)
             rows += [(entity, *guard.stats())] if self.stats else seen
             if len(rows) >= OUT_ROWS:
                 yield self.frame(rows)
                 rows = []
-        self.guards.put(kept)
+        self.guards.update((np.concatenate(buffers).tobytes(), kept.tobytes()))
         if rows:
             yield self.frame(rows)
 
@@ -203,7 +215,7 @@ class GuardState(StatefulProcessor):
         return pdf.assign(who=np.array([number[k] for k in keys], np.int32))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        cal = list(self.cal.get())
+        cal = self.calibration()
         number = {e: n for n, (e, _) in enumerate(cal)}
         pieces = [p for pdf in rows if len(p := self.arrived(pdf, number))]
         if not pieces:
@@ -234,7 +246,7 @@ class GuardState(StatefulProcessor):
             if due.any():
                 self.waiting.put([as_bytes(who[~due], ms[~due], ts[~due], ss[~due])])
         if due.any():
-            yield from self.take(list(self.cal.get()), who[due], ts[due], ss[due])
+            yield from self.take(self.calibration(), who[due], ts[due], ss[due])
 
     def close(self) -> None:
         pass
@@ -245,6 +257,11 @@ def as_bytes(*columns: np.ndarray) -> tuple:
     return tuple(np.ascontiguousarray(x, kind).tobytes() for x, kind in zip(columns, WAITING, strict=True))
 
 
+def cut(xs: bytes, size: np.ndarray) -> list[np.ndarray]:
+    """Doubles kept one behind the other, in parts of these sizes."""
+    return np.split(np.frombuffer(bytes(xs)), np.cumsum(size)[:-1])
+
+
 def entities(pdf: pd.DataFrame) -> list:
     """The keys of rows, None where they are null."""
     return [None if null else k for k, null in zip(pdf["key__"].tolist(), (pdf["nulls__"] & NO_KEY != 0).tolist(), strict=True)]
