@@ -1,5 +1,7 @@
 """What is refused, and cases at the edge of definitions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,19 @@ def test_comparison_with_sources(spark):
     assert got == [("m", 0, 0.6, "main", "1 more", True), ("n", 0, 0.6, "other", "", True), ("n", 1, 0.2, "other", "", True)]
 
 
+def test_means_are_compared_as_computed_once(spark):
+    """Sums of doubles differ from one computation to the next where executors fetch blocks in any order; here a random last part stands for it."""
+    kind = "method string, ds int, auc double"
+    last = F.udf(lambda x: x + random.SystemRandom().random() * 1e-9, "double").asNondeterministic()
+    main = spark.createDataFrame([(m, d, 0.5 + i / 10) for i, m in enumerate("mno") for d in range(9)], kind).withColumn("auc", last("auc"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = stats.comparison_sources([("main", main), ("other", main.where("method = 'm'"))], "method", "ds", "auc").where("best").collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert sorted((r["method"], r["ds"]) for r in got) == [("o", d) for d in range(9)]
+
+
 def test_validation_of_channels_labels_and_files(spark):
     rows = [("a", "train" if t < 3 else "test", t, c, 1.0, 0) for t in range(5) for c in range(2)] + [("b", "train", 0, 0, 1.0, 0), ("c", "test", 0, 0, None, 7)]
     df = spark.createDataFrame(rows, "entity string, split string, t long, ch int, v double, label int")

@@ -297,13 +297,14 @@ def comparison_sources(ledgers: list[tuple[str, DataFrame]], row: str, column: s
 
     ``ledgers`` are candidates in order of preference, each with its name: a cell takes the first that
     has a value for it.  ``note`` says how many others have one too; ``best`` marks the greatest
-    values of each column.
+    values of each column.  The cells are written once: a mean that is computed again, from blocks that
+    arrive in another order, may differ in its last bits from the greatest of its column.
     """
     one = lambda i, name, df: df.groupBy(row, column).agg(F.avg(metric).alias("value")).where("value is not null").select(row, column, "value", F.lit(i).alias("i"), F.lit(name).alias("source"))
     every = reduce(DataFrame.unionByName, [one(i, name, df) for i, (name, df) in enumerate(ledgers)])
     cell = every.groupBy(row, column).agg(F.min(F.struct("i", "value", "source")).alias("c"), (F.count("*") - 1).alias("others"))
     note = F.when(F.col("others") > 0, F.concat(F.col("others").cast("string"), F.lit(" more"))).otherwise("")
-    out = cell.select(row, column, F.col("c.value").alias("value"), F.col("c.source").alias("source"), note.alias("note"))
+    out = written(cell.select(row, column, F.col("c.value").alias("value"), F.col("c.source").alias("source"), note.alias("note")))
     most = out.groupBy(column).agg(F.max("value").alias("most"))
     return out.join(most, column).select(row, column, "value", "source", "note", (F.col("value") == F.col("most")).alias("best"))
 
