@@ -49,6 +49,20 @@ def test_equal_scores_are_equal_whatever_their_mean_was_summed_from(spark, tmp_p
     assert {r["far"] for r in registry.QUERIES[name](spark, str(tmp_path)).where("view = 'dev'").collect()} == {0.0}
 
 
+@pytest.mark.parametrize("name", ["all_metrics", "auc_pr", "f1_pa_oracle", "comparison_sources"])
+def test_users_without_errors(spark, tmp_path, name):
+    """Large tables hold users without an error, with errors only, and with a single event."""
+    rng = np.random.default_rng(6)
+    kinds = {u: ("error" if u == 2 else None, "view" if u in (1, 5) else None, 1 if u > 5 else 30) for u in range(8)}
+    rows = [(u, t, only or none or ("error" if rng.random() < 0.4 else "click"), float(rng.integers(1, 60)) / 4) for u, (only, none, n) in kinds.items() for t in range(n)]
+    ts = [datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=t) for _, t, _, _ in rows]
+    events = {"event_id": pa.array(range(len(rows)), pa.int64()), "ts": pa.array(ts, pa.timestamp("us")), "user_id": pa.array([r[0] for r in rows], pa.int64()), "event_type": pa.array([r[2] for r in rows]), "value": pa.array([r[3] for r in rows], pa.float64())}
+    for table, empty in EMPTY.items():
+        pq.write_table(pa.table(events if table == "events" else empty), tmp_path / f"{table}.parquet")
+    got, want = both(spark, tmp_path, name)
+    assert got == want and len(got) == (10 if name == "comparison_sources" else 24)
+
+
 #: Tables that the fixtures' SQL names, without rows.
 EMPTY = {
     "events": {"event_id": pa.array([], pa.int64()), "ts": pa.array([], pa.timestamp("us")), "user_id": pa.array([], pa.int64()), "event_type": pa.array([], pa.string()), "value": pa.array([], pa.float64())},
