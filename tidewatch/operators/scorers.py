@@ -61,7 +61,7 @@ def moments(train: DataFrame, keys: list[str], f: str, finish: object, schema: s
         held: dict = {}
         for b in batches:
             for k, rows in b.groupby(keys, dropna=False).indices.items():
-                k = k if isinstance(k, tuple) else (k,)
+                k = tuple(None if pd.isna(x) else x for x in (k if isinstance(k, tuple) else (k,)))  # a column of NaN alone is none of strings
                 new = moments_of(np.stack(b[f].to_numpy()[rows]))
                 held[k] = merged([held[k], new]) if k in held else new
         yield pd.DataFrame([row(k, TaskContext.get().partitionId(), c, m) for k, (c, m) in held.items()], columns=columns)
